@@ -15,13 +15,20 @@ QUERIES: dict[str, Build] = {}
 SQL: dict[str, str] = {}
 
 
+# Plans of tables and views (never data), kept per application and folder.
+_PLANS: dict[tuple[str, str], dict[str, DataFrame]] = {}
+
+
 class Frames:
     """The tables of one data folder and the stand-in views over them, built on demand."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark = prepare(spark)
         self.sf_dir = sf_dir
-        self._made: dict[str, DataFrame] = {}
+        key = (spark.sparkContext.applicationId, sf_dir)
+        self._made = _PLANS.setdefault(key, {})
+        if any(df.sparkSession is not spark for df in self._made.values()):
+            self._made = _PLANS[key] = {}
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._made:

@@ -61,7 +61,7 @@ VIEWS: dict[str, str] = {
         select o_orderkey as id, o_custkey as cell_id, o_orderdate as computed_at,
                case when o_orderpriority = '1-URGENT' then '+48h' else '24h' end as horizon,
                case when o_orderpriority = '1-URGENT' then 'v1-forecast+48h' else 'v1' end as pipeline_version,
-               round(o_totalprice / cast(500000 as double), 6) as score,
+               o_totalprice / cast(500009 as double) as score,
                cast(o_orderkey % 101 as double) / cast(100 as double) as s,
                cast(o_orderkey * 3 % 101 as double) / cast(100 as double) as m,
                cast(o_orderkey * 7 % 101 as double) / cast(100 as double) as e,
@@ -84,13 +84,13 @@ VIEWS: dict[str, str] = {
         from events""",
     "fx_rain": """
         select user_id as series_id, date_trunc('hour', ts) as ts,
-               sum(case when event_type in ('view', 'click') then round(value / cast(10 as double), 3) else cast(0 as double) end) as mm
+               sum(case when event_type in ('view', 'click') then value / cast(10.7 as double) else cast(0 as double) end) as mm
         from events group by user_id, date_trunc('hour', ts)""",
     "fx_bundle": """
         select o_orderkey as id, s.cell_id, o_orderdate as valuation_time,
                s.susc_ispra, s.iffi_density_500, s.slope_deg, s.pai_class_norm, s.litho_weight, s.flood_hazard_norm,
                cast(1 + o_orderkey % 72 as double) as event_hours,
-               case when o_orderkey % 6 = 0 then null else round(o_totalprice / cast(2000 as double), 3) end as event_mm,
+               case when o_orderkey % 6 = 0 then null else o_totalprice / cast(2000 as double) end as event_mm,
                case when o_orderkey % 7 = 0 then null else cast(o_orderkey * 13 % 300 as double) end as api_30_mm,
                case when o_orderkey % 4 = 0 then cast(o_orderkey % 120 as double) end as api_baseline_mm,
                case when o_orderkey % 5 = 0 then null else cast(o_orderkey % 50 as double) / cast(100 as double) end as soil_moisture,
@@ -138,6 +138,12 @@ VIEWS: dict[str, str] = {
     "fx_slides": """
         select event_id, event_id % (select count(*) from customer) as cell_id, ts as event_time, value
         from events where event_type = 'error'""",
+    # dated events per cell on the time axis of the assessments
+    "fx_truth": f"""
+        select o_orderkey as event_id, o_custkey as cell_id, o_orderdate + (o_orderkey % 40 + 1) * interval '1' day as event_time,
+               cast(10.0017 as double) + cast(0.01 as double) * {_bits("o_custkey", 0)} + cast(o_orderkey % 5 as double) * cast(0.0009 as double) as x,
+               cast(38.0013 as double) + cast(0.01 as double) * {_bits("o_custkey", 1)} + cast(o_orderkey % 7 as double) * cast(0.0005 as double) as y
+        from orders where o_orderstatus = 'F'""",
     "fx_samples": """
         select d.doc_id as cell_id, d.source as split_block, l.quality as label,
                cast(d.n_chars as double) as n_chars,

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from slopewatch.operators.running import is_small
+
 HOUR_US = 3_600_000_000
 
 
@@ -50,39 +52,27 @@ def asof_join(
     )
     # rows of one instant that cannot win are dropped before the shuffle
     best = keyed.groupBy(*on, "_us").agg(F.min_by("_r", "_tie").alias("_r"))
-    r = best.withColumn("_b", F.floor(F.col("_us") / width))
-    l = left.withColumn("_us", us(left_ts)).withColumn("_b", F.floor(F.col("_us") / width))
-
-    # summary rows: last and first right row of every non-empty bucket
-    r_sum = r.groupBy(*on, "_b").agg(
-        F.max_by("_r", "_us").alias("_last"), F.min_by("_r", "_us").alias("_first")
-    )
-    nil = F.lit(None).cast(r_sum.schema["_last"].dataType)
-    l_sum = l.select(*on, "_b").distinct().select(*on, "_b", nil.alias("_last"), nil.alias("_first"))
-    merged = r_sum.unionByName(l_sum).groupBy(*on, "_b").agg(
-        F.first("_last", ignorenulls=True).alias("_last"), F.first("_first", ignorenulls=True).alias("_first")
-    )
-    per_key = Window.partitionBy(*on).orderBy("_b")
-    carry = merged.select(
-        *on,
-        "_b",
-        F.last("_last", ignorenulls=True).over(per_key.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
-        F.first("_first", ignorenulls=True).over(per_key.rowsBetween(1, Window.unboundedFollowing)).alias("_after"),
-    )
+    # small inputs: one bucket per key, nothing to carry
+    one_bucket = is_small(left) and is_small(right)
+    bucket = F.lit(0).cast("bigint") if one_bucket else F.floor(F.col("_us") / width)
+    r = best.withColumn("_b", bucket)
+    l = left.withColumn("_us", us(left_ts)).withColumn("_b", bucket)
 
     # one stream of left rows, right rows and carried rows per (key, bucket)
     row = F.struct(*[F.col(c) for c in left.columns]).alias("_l")
     none_l = F.lit(None).cast(l.select(row).schema["_l"].dataType).alias("_l")
     none_r = F.lit(None).cast(r.schema["_r"].dataType).alias("_r")
-    stream = (
-        l.select(*on, "_b", "_us", F.lit(1).alias("_side"), row, none_r)
-        .unionByName(r.select(*on, "_b", "_us", F.lit(0).alias("_side"), none_l, "_r"))
-        .unionByName(carry.filter(F.col("_before").isNotNull()).select(
-            *on, "_b", F.col("_before._us").alias("_us"), F.lit(0).alias("_side"), none_l, F.col("_before").alias("_r")))
+    stream = l.select(*on, "_b", "_us", F.lit(1).alias("_side"), row, none_r).unionByName(
+        r.select(*on, "_b", "_us", F.lit(0).alias("_side"), none_l, "_r")
     )
-    if direction == "nearest":
-        stream = stream.unionByName(carry.filter(F.col("_after").isNotNull()).select(
-            *on, "_b", F.col("_after._us").alias("_us"), F.lit(0).alias("_side"), none_l, F.col("_after").alias("_r")))
+    if not one_bucket:
+        carry = _carry(l, r, on)
+        for col in ("_before", "_after") if direction == "nearest" else ("_before",):
+            stream = stream.unionByName(
+                carry.filter(F.col(col).isNotNull()).select(
+                    *on, "_b", F.col(f"{col}._us").alias("_us"), F.lit(0).alias("_side"), none_l, F.col(col).alias("_r")
+                )
+            )
 
     side = F.when(F.col("_side") == 0, 1).otherwise(0) if strict else F.col("_side")
     order = Window.partitionBy(*on, "_b").orderBy("_us", side)
@@ -106,3 +96,23 @@ def asof_join(
         gap = F.abs(F.col("_pick._us") - F.col("_us"))
         found = found.withColumn("_pick", F.when(gap <= int(tolerance_hours * HOUR_US), F.col("_pick")))
     return found.select("_l.*", F.when(F.col("_pick").isNotNull(), F.col("_pick").dropFields("_us", "_tie")).alias(match))
+
+
+def _carry(l: DataFrame, r: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Per (key, bucket): the last right row of earlier buckets, the first of later ones."""
+    r_sum = r.groupBy(*on, "_b").agg(
+        F.max_by("_r", "_us").alias("_last"), F.min_by("_r", "_us").alias("_first")
+    )
+    nil = F.lit(None).cast(r_sum.schema["_last"].dataType)
+    l_sum = l.select(*on, "_b").distinct().select(*on, "_b", nil.alias("_last"), nil.alias("_first"))
+    merged = r_sum.unionByName(l_sum).groupBy(*on, "_b").agg(
+        F.first("_last", ignorenulls=True).alias("_last"), F.first("_first", ignorenulls=True).alias("_first")
+    )
+    per_key = Window.partitionBy(*on).orderBy("_b")
+    earlier, later = per_key.rowsBetween(Window.unboundedPreceding, -1), per_key.rowsBetween(1, Window.unboundedFollowing)
+    return merged.select(
+        *on,
+        "_b",
+        F.last("_last", ignorenulls=True).over(earlier).alias("_before"),
+        F.first("_first", ignorenulls=True).over(later).alias("_after"),
+    )

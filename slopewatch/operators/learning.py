@@ -100,12 +100,23 @@ def class_weights(samples: DataFrame, label: str = "label") -> DataFrame:
     return samples.groupBy(label).agg((total / (2.0 * F.count(F.lit(1)))).alias("weight"))
 
 
+def guarded_corr(a: str, b: str, least: int = 1) -> Column:
+    """Pearson r; null below ``least`` pairs or without variance on a side.
+
+    Built on covariance: ``corr`` itself divides by zero under ANSI rules.
+    """
+    pair = F.col(a).isNotNull() & F.col(b).isNotNull()
+    x, y = F.when(pair, F.col(a)), F.when(pair, F.col(b))
+    spread = F.sqrt(F.var_pop(x) * F.var_pop(y))
+    return F.when(F.count(x) >= least, F.try_divide(F.covar_pop(x, y), spread))
+
+
 def correlations(df: DataFrame, features: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Pearson r per feature pair, 0 where a side has no variance (long form)."""
     names = list(features)
     pairs = [(i, j) for j in range(len(names)) for i in range(j)]
     wide = df.groupBy(*by).agg(
-        *[F.when((F.var_pop(names[i]) > 0) & (F.var_pop(names[j]) > 0), F.corr(names[i], names[j])).alias(f"r_{i}_{j}") for i, j in pairs]
+        *[guarded_corr(names[i], names[j]).alias(f"r_{i}_{j}") for i, j in pairs]
     )
     rows = F.array(*[
         F.struct(F.lit(names[i]).alias("a"), F.lit(names[j]).alias("b"), F.lit(i).alias("i"), F.lit(j).alias("j"),

@@ -126,9 +126,8 @@ def salient(cells: DataFrame, p: dict[str, Any] = PARAMS, by: str = "aoi_id") ->
     from slopewatch.operators.running import exact_percentiles
 
     z = p["zones"]
-    counts = cells.groupBy(by).agg(F.count(F.lit(1)).alias("total"))
-    cut = exact_percentiles(cells, "score", {"background": z["reference_pct"]}, [by])
-    limits = counts.join(cut, by).withColumn(
+    stats = exact_percentiles(cells, "score", {"background": z["reference_pct"]}, [by], also=[F.count(F.lit(1)).alias("total")])
+    limits = stats.withColumn(
         "floor", F.when(F.col("total") > z["volume_trigger"], F.col("background") + z["margin"])
     )
     kept = lookup_join(cells, limits.select(by, "floor"), by, "inner").filter(F.col("floor").isNull() | (F.col("score") >= F.col("floor"))).drop("floor")

@@ -15,6 +15,25 @@ from pyspark.sql import functions as F
 
 DAY_US = 86_400_000_000
 
+# Inputs up to this size run as one plain window or one built-in aggregate per
+# key; beyond it the sliced form takes over. Both give the same rows.
+SMALL_INPUT_BYTES = 64 * 1024 * 1024
+SMALL_INPUT_CONF = "slopewatch.small.input.bytes"
+
+
+def input_bytes(df: DataFrame) -> float:
+    """Bytes of all files and tables the plan reads; infinite when unknown."""
+    try:
+        leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+        return float(sum(int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size())))
+    except Exception:  # no JVM plan at hand (remote session): assume large
+        return float("inf")
+
+
+def is_small(df: DataFrame) -> bool:
+    limit = float(df.sparkSession.conf.get(SMALL_INPUT_CONF, str(SMALL_INPUT_BYTES)))
+    return input_bytes(df) <= limit
+
 
 def time_slice(ts: Column, width_hours: float = 24.0) -> Column:
     """Bucket number of a timestamp; the slice key of time-ordered series."""
@@ -36,6 +55,16 @@ def sliced_running(
     include the current row, ``prior_maxes`` stop at the row before it.
     """
     sums, maxes, prior = dict(sums or {}), dict(maxes or {}), dict(prior_maxes or {})
+    if is_small(df):
+        whole = Window.partitionBy(*(by or [F.lit(0)])).orderBy(slice_col, *order)
+        running, ahead = whole.rowsBetween(Window.unboundedPreceding, 0), whole.rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumns(
+            {
+                **{n: F.sum(e).over(running) for n, e in sums.items()},
+                **{n: F.max(e).over(running) for n, e in maxes.items()},
+                **{n: F.max(e).over(ahead) for n, e in prior.items()},
+            }
+        )
     inside = Window.partitionBy(*by, slice_col).orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
@@ -83,7 +112,10 @@ def blocked(df: DataFrame, by: Sequence[str], slice_col: str, order: Sequence[st
     one (``is_context``), so windows over ``(by, block)`` ordered by ``seq``
     see every row they may reach; drop the context rows afterwards.
     """
-    n = numbered(df, by, slice_col, order).withColumn("block", F.floor((F.col("seq") - 1) / block_rows))
+    n = numbered(df, by, slice_col, order)
+    if is_small(df):
+        return n.withColumns({"block": F.lit(0).cast("bigint"), "is_context": F.lit(False)})
+    n = n.withColumn("block", F.floor((F.col("seq") - 1) / block_rows))
     tail = (F.col("seq") - 1) % block_rows >= block_rows - lookback
     copies = F.when(tail, F.array(F.struct(F.col("block").alias("b"), F.lit(False).alias("x")),
                                   F.struct((F.col("block") + 1).alias("b"), F.lit(True).alias("x")))
@@ -122,7 +154,8 @@ def cumulative_by_value(
     Columns: ``by``, the value, each total ``n`` and its running form ``cum_n``.
     """
     distinct = df.groupBy(*by, value).agg(*[F.sum(e).alias(n) for n, e in sums.items()])
-    cut = value_slices(distinct, by, value, slices)
+    small = is_small(df)
+    cut = distinct.withColumn("slice", F.lit(0)) if small else value_slices(distinct, by, value, slices)
     if descending:
         cut = cut.withColumn("slice", -F.col("slice"))
     order = [F.desc(value) if descending else F.asc(value)]
@@ -137,19 +170,23 @@ def exact_percentiles(
     points: Mapping[str, float],
     by: Sequence[str] = (),
     slices: int = 64,
+    also: Sequence[Column] = (),
 ) -> DataFrame:
     """Linear-interpolated percentiles per key, exact at any group size.
 
     Built on running counts, so no aggregation buffer holds a group's values.
+    ``also`` are further aggregates over the same non-null rows.
     """
     present = df.filter(F.col(value).isNotNull())
+    if is_small(df):
+        return present.groupBy(*by).agg(*also, *[F.percentile(value, float(p)).alias(n) for n, p in points.items()])
     runs = cumulative_by_value(present, value, {"n": F.lit(1).cast("bigint")}, by, slices=slices)
-    sizes = present.groupBy(*by).agg(F.count(F.lit(1)).alias("_size"))
+    sizes = present.groupBy(*by).agg(F.count(F.lit(1)).alias("_size"), *also)
     if by:
         on = [F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in by]
         runs = runs.alias("r").join(sizes.alias("s"), on).select("r.*", "s._size")
     else:
-        runs = runs.withColumn("_size", sizes.scalar())
+        runs = runs.withColumn("_size", sizes.select("_size").scalar())
     first, last = F.col("cum_n") - F.col("n"), F.col("cum_n") - 1
     aggs = []
     for name, p in points.items():
@@ -161,10 +198,14 @@ def exact_percentiles(
             F.max(k - lo).alias(f"_w_{name}"),
         ]
     got = runs.groupBy(*by).agg(*aggs)
-    return got.select(
+    out = got.select(
         *by,
         *[
             (F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_w_{n}")).alias(n)
             for n in points
         ],
     )
+    if not also:
+        return out
+    rest = sizes.drop("_size")
+    return rest.join(out, list(by)) if by else rest.join(out)
