@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("scoring", "rollups", "series")
+MODULES = ("scoring", "rollups", "series", "evaluation")
 
 
 def load_all() -> None:

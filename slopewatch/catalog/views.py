@@ -14,7 +14,11 @@ TABLES = (
 
 
 def _bits(key: str, offset: int) -> str:
-    return "(" + " + ".join(f"(({key} >> {2 * i + offset}) & 1) * {2**i}" for i in range(12)) + ")"
+    """Every second bit of a key, packed; bit operations need no overflow checks."""
+    out = f"(({key} >> {offset}) & 1)"
+    for i in range(1, 12):
+        out = f"({out} | ((({key} >> {2 * i + offset}) & 1) << {i}))"
+    return out
 
 
 def lattice(key: str) -> tuple[str, str]:

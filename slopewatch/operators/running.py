@@ -23,11 +23,10 @@ SMALL_INPUT_CONF = "slopewatch.small.input.bytes"
 
 def input_bytes(df: DataFrame) -> float:
     """Bytes of all files and tables the plan reads; infinite when unknown."""
-    try:
-        leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-        return float(sum(int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size())))
-    except Exception:  # no JVM plan at hand (remote session): assume large
+    if not hasattr(df, "_jdf"):  # no JVM plan at hand (remote session): assume large
         return float("inf")
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    return float(sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())))
 
 
 def is_small(df: DataFrame) -> bool:
