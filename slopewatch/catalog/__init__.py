@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("scoring", "rollups", "series", "evaluation")
+MODULES = ("scoring", "rollups", "series", "evaluation", "spatial", "tables")
 
 
 def load_all() -> None:

@@ -47,7 +47,7 @@ def _(fx):
     return fx["fx_scored"].agg(r6(F.avg(F.pow(F.col("prob") - F.col("label"), F.lit(2.0))), "brier"))
 
 
-@query("agg24_operating_points", f"""with q as (select t as recall_target, (select quantile_cont(prob, 1 - t) from fx_scored where label = 1) as threshold from (values (0.5), (0.7), (0.9)) v(t)),
+@query("agg24_operating_points", f"""with q as (select 0.5 as recall_target, quantile_cont(prob, 0.5) as threshold from fx_scored where label = 1 union all select 0.7, quantile_cont(prob, 0.3) from fx_scored where label = 1 union all select 0.9, quantile_cont(prob, 0.1) from fx_scored where label = 1),
     c as (select recall_target, threshold, {CONF.format(t='threshold')} from q, fx_scored group by recall_target, threshold)
     select recall_target::double as recall_target, round(threshold, 6) as threshold, round({HIT}, 6) as hit_rate, round({FAR}, 6) as far, round({HIT} + {SPEC} - 1, 6) as tss from c""")
 def _(fx):

@@ -121,8 +121,8 @@ VIEWS: dict[str, str] = {
         select p_partkey as geom_id,
                cast(10.003 as double) + cast(0.01 as double) * {_PCOL} as cx,
                cast(38.002 as double) + cast(0.01 as double) * {_PROW} as cy,
-               cast(0.004 as double) + cast(0.0007 as double) * p_size as rx,
-               cast(0.003 as double) + cast(0.0004 as double) * p_size as ry,
+               cast(0.00413 as double) + cast(0.000713 as double) * p_size as rx,
+               cast(0.00317 as double) + cast(0.000419 as double) * p_size as ry,
                case p_partkey % 6 when 0 then 'AA' when 1 then 'P1' when 2 then 'P2' when 3 then 'P3' when 4 then 'P4' else 'UNKNOWN' end as hazard_class,
                p_brand as authority, p_type as label
         from part""",
@@ -132,6 +132,24 @@ VIEWS: dict[str, str] = {
                cast(10.0041 as double) + cast(0.01 as double) * {_SCOL} as x,
                cast(38.0037 as double) + cast(0.01 as double) * {_SROW} as y
         from supplier""",
+    # short line segments starting at the network points
+    "fx_faults": """
+        select id, x as x1, y as y1, x + cast(0.011 as double) + cast(id % 7 as double) * cast(0.003 as double) as x2,
+               y + cast(0.004 as double) - cast(id % 5 as double) * cast(0.005 as double) as y2
+        from fx_network""",
+    # ground pixels: 5 x 5 per cell, height and land-cover code by formula
+    "fx_pixels": f"""
+        select c_custkey as cell_id, cast(floor(n_nationkey / cast(5 as double)) as int) as row, n_nationkey % 5 as col,
+               cast(100 + c_custkey % 50 as double) + cast(n_nationkey % 5 as double) * cast(c_custkey % 7 as double)
+                 + cast(n_nationkey * n_nationkey % 11 as double) * cast(0.37 as double) as z,
+               c_custkey * 31 % 9 + n_nationkey * 17 % 4 as code
+        from customer cross join nation""",
+    # radar pixels: one per event on the cell lattice
+    "fx_radar": f"""
+        select event_id, cast(10 as double) + cast(0.01 as double) * {_bits("(event_id * 7 % 4096)", 0)} as x,
+               cast(38 as double) + cast(0.01 as double) * {_bits("(event_id * 7 % 4096)", 1)} as y,
+               case when event_id % 17 = 0 then cast(-9999 as double) else value end as mm_h
+        from events""",
     # inventory points: one per embedding, scattered inside the lattice
     "fx_inventory": f"""
         select vec_id as id, label,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slopewatch.operators.running import cumulative_by_value, exact_percentiles
@@ -120,21 +120,17 @@ def population_stability(reference: DataFrame, candidate: DataFrame, value: str
         candidate.select(F.col(value).alias("v"), F.lit(1).alias("src"))
     ).withColumn("_e", edges)
     v, e = F.col("v"), F.col("_e")
-    inside = [
-        (v >= e[i]) & ((v < e[i + 1]) | ((v == e[i + 1]) if i == buckets - 1 else F.lit(False))) for i in range(buckets)
-    ]
-    index = None
-    for i, test in enumerate(inside):
-        index = F.when(test, i) if index is None else index.when(test, i)
-    counts = both.withColumn("b", index).filter(F.col("b").isNotNull()).groupBy("src", "b").agg(F.count(F.lit(1)).alias("n"))
-    flat = counts.groupBy().agg(
-        *[F.sum(F.when((F.col("src") == s) & (F.col("b") == i), F.col("n")).otherwise(0)).alias(f"n{s}_{i}") for s in (0, 1) for i in range(buckets)]
+    inside = v.between(e[0], e[buckets])
+    index = F.least(F.size(F.filter(e, lambda x: x <= v)) - 1, F.lit(buckets - 1))
+    counts = both.filter(inside).groupBy(index.alias("b")).agg(
+        F.count_if(F.col("src") == 0).alias("nr"), F.count_if(F.col("src") == 1).alias("nc")
     )
-    share = lambda s, i: F.greatest(
-        F.lit(1e-6), F.col(f"n{s}_{i}") / F.greatest(F.lit(1), sum((F.col(f"n{s}_{j}") for j in range(1, buckets)), F.col(f"n{s}_0")))
-    )
-    terms = [(share(1, i) - share(0, i)) * (F.log(share(1, i)) - F.log(share(0, i))) for i in range(buckets)]
-    return flat.select(F.greatest(F.lit(0.0), F.coalesce(sum(terms[1:], terms[0]), F.lit(0.0))).alias("psi"))
+    # at most one row per bucket; a bucket empty on both sides adds nothing
+    whole = Window.partitionBy(F.lit(0))
+    share = lambda c: F.greatest(F.lit(1e-6), F.col(c) / F.greatest(F.lit(1), F.sum(c).over(whole)))
+    shares = counts.select(share("nr").alias("r"), share("nc").alias("q"))
+    term = (F.col("q") - F.col("r")) * (F.log("q") - F.log("r"))
+    return shares.agg(F.greatest(F.lit(0.0), F.coalesce(F.sum(term), F.lit(0.0))).alias("psi"))
 
 
 def ks_distance(reference: DataFrame, candidate: DataFrame, value: str = "v") -> DataFrame:

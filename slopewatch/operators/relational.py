@@ -140,3 +140,8 @@ def unchanged(current: DataFrame, registry: DataFrame, keys: Sequence[str]) -> D
     last = latest_per_key(registry, keys, ["fetched_at"]).select(*keys, F.col("version").alias("_last"))
     joined = current.join(last, list(keys), "left")
     return joined.withColumn("skip", F.coalesce(F.col("version") == F.col("_last"), F.lit(False))).drop("_last")
+
+
+def most_recent(df: DataFrame, keys: Sequence[str], when: str) -> DataFrame:
+    """Latest value of one column per key."""
+    return df.groupBy(*keys).agg(F.max(when).alias(when))
