@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("scoring", "rollups", "series", "evaluation", "spatial", "tables")
+MODULES = ("scoring", "rollups", "series", "evaluation", "spatial", "tables", "streams")
 
 
 def load_all() -> None:
