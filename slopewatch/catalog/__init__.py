@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("scoring", "rollups", "series", "evaluation", "spatial", "tables", "streams")
+MODULES = ("scoring", "rollups", "series", "evaluation", "spatial", "tables", "streams", "jobs")
 
 
 def load_all() -> None:
