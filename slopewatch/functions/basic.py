@@ -17,10 +17,9 @@ def _c(x: Column | str) -> Column:
 
 def clamp01(x: Column | str) -> Column:
     """Limit to [0, 1]; a missing or NaN value counts as 0."""
-    x = _c(x)
-    return F.when(x.isNull() | F.isnan(x), F.lit(0.0)).otherwise(
-        F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
-    )
+    # the argument occurs once, so nested limits do not multiply the expression tree
+    known = F.nanvl(F.coalesce(_c(x).cast("double"), F.lit(0.0)), F.lit(0.0))
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), known))
 
 
 def saturated(x: Column | str, full: float) -> Column:

@@ -73,21 +73,22 @@ def run(bundle: DataFrame, as_of: Column, horizon: str = "24h", scorer: str = "d
     return rows, exposed.withColumn("priority", F.col("score") * (1 + F.col("exposure.factor")))
 
 
-def forecast_sweep(cells: DataFrame, static: DataFrame, rain: DataFrame, areas: DataFrame, as_of: Any, horizons: tuple[int, ...] = (24, 48, 72)) -> DataFrame:
-    """Forecast rows at each horizon, kept from Moderate upwards.
+def forecast_sweep(cells: DataFrame, static: DataFrame, rain: DataFrame, areas: DataFrame, as_of: Any, horizons: tuple[int, ...] = (24, 48, 72),
+                   p: dict[str, Any] = PARAMS) -> DataFrame:
+    """Forecast rows at each horizon, kept from Moderate upwards, in one plan.
 
-    The antecedent sums stop at the run time; only the rain window moves ahead.
+    Horizons become part of the rain node's key, so all of them share one scan
+    and one scoring projection. Antecedent sums of the areas stop at the run time.
     """
     from slopewatch.functions.basic import at_least
 
-    out = None
-    for h in horizons:
-        target = as_of + F.make_dt_interval(hours=F.lit(h))
-        bundle = assemble(cells, static, rain_features(rain, target), areas)
-        rows, _ = run(bundle, as_of, f"+{h}h")
-        kept = rows.filter(at_least("level", "Moderate"))
-        out = kept if out is None else out.unionByName(kept)
-    return out
+    ahead = F.explode(F.array(*[F.lit(h) for h in horizons]))
+    target = as_of + F.make_dt_interval(hours=F.col("node_id.h"))
+    keyed = lambda df: df.withColumn("_h", ahead).withColumn("node_id", F.struct("node_id", F.col("_h").alias("h"))).drop("_h")
+    bundle = assemble(keyed(cells), static, rain_features(keyed(rain), target), areas)
+    tag = F.concat(F.lit("+"), F.col("node_id.h").cast("string"), F.lit("h"))
+    rows = assessment_rows(score_with(bundle, "deterministic", p), as_of, tag, F.concat(F.lit("v1-forecast"), tag))
+    return rows.filter(at_least("level", "Moderate"))
 
 
 def months_since_area_fire(fires: DataFrame, as_of: Column) -> DataFrame:

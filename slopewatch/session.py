@@ -14,8 +14,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # partial aggregation and window group limits before the shuffle
-    "spark.sql.optimizer.windowGroupLimitThreshold": "1000",
+    # no call-site capture per column expression; plans here hold thousands
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 ROCKSDB_PROVIDER = (

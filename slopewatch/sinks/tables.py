@@ -22,7 +22,7 @@ from slopewatch.operators.relational import (
 from slopewatch.params import PARAMS
 
 
-def assessment_rows(scored: DataFrame, run_ts: Column, horizon: str = "24h", pipeline: str = "v1",
+def assessment_rows(scored: DataFrame, run_ts: Column, horizon: str | Column = "24h", pipeline: str | Column = "v1",
                     explanation: Column | None = None) -> DataFrame:
     """Rows of the assessment log; the whole run shares one time and every component is kept."""
     b = F.col("breakdown")
@@ -30,11 +30,13 @@ def assessment_rows(scored: DataFrame, run_ts: Column, horizon: str = "24h", pip
         *[b[c].alias(c) for c in "smefhk"], b["static_terms"].alias("static_terms"), b["meteo_terms"].alias("meteo_terms"),
         F.col("hard_escalation").alias("hard_escalation"),
     )
-    kind = "forecast" if horizon.startswith("+") else "observed"
+    horizon = F.lit(horizon) if isinstance(horizon, str) else horizon
+    pipeline = F.lit(pipeline) if isinstance(pipeline, str) else pipeline
+    kind = F.when(horizon.startswith("+"), "forecast").otherwise("observed")
     return scored.select(
-        "cell_id", "aoi_id", run_ts.alias("computed_at"), F.lit(horizon).alias("horizon"), F.lit(kind).alias("kind"), "score", "level",
+        "cell_id", "aoi_id", run_ts.alias("computed_at"), horizon.alias("horizon"), kind.alias("kind"), "score", "level",
         factors.alias("factors"), (explanation if explanation is not None else F.lit(None).cast("string")).alias("explanation"),
-        F.lit(pipeline).alias("pipeline_version"), F.to_date(run_ts).alias("run_date"),
+        pipeline.alias("pipeline_version"), F.to_date(run_ts).alias("run_date"),
     )
 
 
