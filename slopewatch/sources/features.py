@@ -338,12 +338,12 @@ def document_kind(name: Column) -> Column:
 
 def document_title(content: Column) -> Column:
     """First non-empty line without heading marks, at most 240 characters."""
-    lines = F.transform(F.split(content, r"\r\n|\r|\n"), lambda s: F.trim(F.regexp_replace(F.trim(s), "^#+", "")))
+    lines = F.transform(F.split(content, r"\r\n|\r|\n"), lambda s: F.regexp_replace(s, r"^\s*#*\s*|\s+$", ""))
     return F.substring(F.get(F.filter(lines, lambda s: s != ""), F.lit(0)), 1, 240)
 
 
 def typed_documents(raw: DataFrame) -> DataFrame:
-    kinds = raw.withColumn("kind", document_kind(F.col("source"))).filter(F.col("kind").isNotNull() & (F.length(F.trim("content")) > 0))
+    kinds = raw.withColumn("kind", document_kind(F.col("source"))).filter(F.col("kind").isNotNull() & F.col("content").rlike(r"\S"))
     stem = F.regexp_replace(F.regexp_extract("source", r"([^/]+)$", 1), r"\.[^.]+$", "")
     return kinds.withColumn("title", F.coalesce(document_title(F.col("content")), stem))
 

@@ -71,11 +71,21 @@ def suppress_batch(alerts: DataFrame, key: str, minutes: float, slice_hours: flo
     islands = sliced_running(prev.withColumn("_start", starts).drop("_prev"), [key], "_slice", ["us"], sums={"island": F.col("_start")})
     kind = dict(times.dtypes)[key]
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("us", ignore_index=True)
-        return pdf.loc[pd.Series(greedy_dispatch(pdf["us"], window_us)), [key, "us"]]
-
-    sent = islands.select(key, "island", "us").groupBy(key, "island").applyInPandas(walk, f"{key} {kind}, us bigint")
+    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # rows arrive ordered by key, island and time; the state crosses batch borders
+        group, last = None, None
+        for pdf in frames:
+            keep = []
+            for k, island, us in zip(pdf[key].tolist(), pdf["island"].tolist(), pdf["us"].tolist()):
+                if (k, island) != group:
+                    group, last = (k, island), None
+                send = last is None or us - last > window_us
+                last = us if send else last
+                keep.append(send)
+            yield pdf.loc[keep, [key, "us"]]
+
+    placed = islands.select(key, "island", "us").repartition(key, "island").sortWithinPartitions(key, "island", "us")
+    sent = placed.mapInPandas(walk, f"{key} {kind}, us bigint")
     return sent.withColumn("ts", F.timestamp_micros("us"))
 
 

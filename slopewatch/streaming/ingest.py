@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,28 +107,35 @@ class QualityState(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         cfg, need = self.cfg, self.cfg["flatline_samples"] - 1
         prop = key[1]
-        stored = self.history.get() if self.history.exists() else None
-        past = list(stored[0]) if stored else []
-        last_us = stored[1] if stored else None
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["phenomenon_time", "id"], kind="stable", ignore_index=True)
-        us = batch["phenomenon_time"].astype("datetime64[us]").astype("int64")
-        series = pd.Series(past + batch["result_value"].tolist(), dtype="float64")
-        prev = series.shift(1).iloc[len(past):].reset_index(drop=True)
-        tail = series.shift(1).rolling(need)
-        flat = ((tail.min() == series) & (tail.max() == series)).iloc[len(past):].reset_index(drop=True)
-        prev_us = us.shift(1)
-        if last_us is not None and len(batch):
-            prev_us.iloc[0] = last_us
-        low, high = cfg["range"].get(prop, (float("-inf"), float("inf")))
-        label = pd.Series("ok", index=batch.index)
+        stored = self.history.get()  # None for a new key
+        past = np.asarray(stored[0] if stored else [], dtype="float64")
+        frames = list(rows)
+        batch = frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
+        us = batch["phenomenon_time"].to_numpy().astype("datetime64[us]").astype("int64")
+        order = np.lexsort((batch["id"].to_numpy(), us))
+        batch, us = batch.iloc[order], us[order]
+        v = batch["result_value"].to_numpy(dtype="float64")
+        series = np.concatenate([past, v])
+        at = np.arange(len(past), len(series))
+        prev = np.where(at > 0, series[at - 1], np.nan)
+        prev_us = np.concatenate([[stored[1] if stored else us[0]], us[:-1]])
+        # length of the run of equal values that ends just before each row
+        same = np.concatenate([[False], series[1:] == series[:-1]])
+        start = np.maximum.accumulate(np.where(same, 0, np.arange(len(series))))
+        run = at - start[at]
+        low, high = cfg["range"].get(prop, (-np.inf, np.inf))
+        label = np.full(len(v), "ok", dtype=object)
         label[(us - prev_us) > cfg["gap_minutes"] * 60_000_000] = "gap"
-        label[flat] = "flatline"
-        label[(batch["result_value"] - prev).abs() > cfg["spike_factor"] * cfg["sigma"].get(prop, float("inf"))] = "spike"
-        label[~batch["result_value"].between(low, high)] = "range"
+        label[run >= need] = "flatline"
+        with np.errstate(invalid="ignore"):
+            label[np.abs(v - prev) > cfg["spike_factor"] * cfg["sigma"].get(prop, np.inf)] = "spike"
+        label[(v < low) | (v > high)] = "range"
         if "bad_unit" in batch:
-            label[batch["bad_unit"].astype(bool)] = "unit"
-        self.history.update((series.tail(need).tolist(), int(us.iloc[-1])))
-        yield batch[["id", "device_id", "observed_property", "phenomenon_time", "result_value"]].assign(quality=label)
+            label[batch["bad_unit"].to_numpy(dtype=bool)] = "unit"
+        self.history.update((series[-need:].tolist(), int(us[-1])))
+        out = batch[["id", "device_id", "observed_property", "phenomenon_time", "result_value"]].copy()
+        out["quality"] = label
+        yield out
 
     def close(self) -> None:
         pass
