@@ -152,7 +152,9 @@ def _(fx):
     return placed.join(cells, ["row_idx", "col_idx"]).groupBy("aoi_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-ZONED = f"(select cell_id, cast(replace(aoi_id, 'aoi-', '') as int) as aoi, lon, lat, score from {STATE} s where {RANK_CASE} >= 3)"
+# numbers only: latest cells at High or above with their area
+ZONED = """(select l.cell_id, n.n_regionkey as aoi, c.lon, c.lat, l.score from (select o_custkey as cell_id, o_totalprice / cast(500009 as double) as score,
+    row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as rn from orders) l join fx_cells c on c.cell_id = l.cell_id join nation n on n.n_nationkey = c.istat_code where l.rn = 1 and l.score >= 0.55)"""
 ZONES = f"""z as materialized (select *, cast(round((lon - 10) / 0.01) as int) as cx, cast(round((lat - 38) / 0.01) as int) as cy from {ZONED} q),
     e as materialized (select a.cell_id as a, b.cell_id as b from z a join z b on a.aoi = b.aoi and (a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy) <= 4),
     r as (select a as cell_id, a as root from e where a = b union select e.b, r.root from r join e on e.a = r.cell_id),
@@ -182,10 +184,6 @@ def _(fx):
     return s.orderBy(F.desc("max_score"), "dominant_cell").limit(50).select("zone", r6(F.col("max_score"), "max_score"))
 
 
-MATCH = f"""(select m.zone, e.event_id, min({hav('z.lon', 'z.lat', 'e.x', 'e.y')}) as d from z join m on m.cell_id = z.cell_id join fx_truth e
-    on {hav('z.lon', 'z.lat', 'e.x', 'e.y')} <= 2000 where e.event_time > timestamp '2000-06-01' and e.event_time <= timestamp '2000-09-01' group by m.zone, e.event_id)"""
-
-
 def match_zones(fx: Frames, members, radius_m: float):
     """(zone, event) pairs within the radius with their least distance, and the events of the window."""
     events = fx["fx_truth"].filter((F.col("event_time") > day("2000-06-01")) & (F.col("event_time") <= day("2000-09-01")))
@@ -195,15 +193,21 @@ def match_zones(fx: Frames, members, radius_m: float):
     return hit.groupBy("zone", "event_id").agg(F.min("dist_m").alias("dist_m")), events
 
 
-def zone_matches(fx: Frames):
-    members = high_zones(fx).select("zone", F.col("lon").alias("ax"), F.col("lat").alias("ay"))
-    k, events = match_zones(fx, members, 2000.0)
-    return k, members, events
+@query("join17_zone_events", f"""select s.istat_code as zone, e.event_id, round(min({hav('s.lon', 's.lat', 'e.x', 'e.y')}), 3) as dist_m from {STATE} s join fx_truth e on {hav('s.lon', 's.lat', 'e.x', 'e.y')} <= 2000
+    where s.score >= 0.55 and e.event_time > timestamp '2000-06-01' and e.event_time <= timestamp '2000-09-01' group by s.istat_code, e.event_id""")
+def _(fx):
+    zoned = state(fx).filter(B.at_least("level", "High")).select(F.col("istat_code").alias("zone"), F.col("lon").alias("ax"), F.col("lat").alias("ay"))
+    return match_zones(fx, zoned, 2000.0)[0].select("zone", "event_id", F.round("dist_m", 3).alias("dist_m"))
 
 
-@query("join17_zone_events", f"with recursive {ZONES} select zone, event_id, round(d, 3) as dist_m from {MATCH} t")
+@query("pip8_report_verification")
 def _(fx):
-    return zone_matches(fx)[0].select("zone", "event_id", F.round("dist_m", 3).alias("dist_m"))
+    from slopewatch.operators.evaluation import zone_verification
+
+    members = high_zones(fx).select("zone", F.col("lon").alias("ax"), F.col("lat").alias("ay"))
+    k, events = match_zones(fx, members, 2000.0)
+    lead = events.select("event_id", B.hours_between("event_time", day("2000-06-01")).alias("lead_h"))
+    return zone_verification(k, members.select("zone"), lead)
 
 
 MUNI_ZONES = f"(select cell_id, istat_code as zone, lon, lat from {STATE} s where {RANK_CASE} = 4)"

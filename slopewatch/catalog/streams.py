@@ -116,7 +116,7 @@ def greedy(source: str, key: str, hours: int) -> str:
     select k as {key}, us from g"""
 
 
-ALERT_ROWS = f"(select cell_id, epoch_us(computed_at) as us from fx_rated where {HIGH})"
+ALERT_ROWS = "(select o_custkey as cell_id, epoch_us(o_orderdate) as us from orders where o_totalprice / cast(500009 as double) >= 0.55)"
 
 
 @query("str8_alert_dedup", greedy(ALERT_ROWS, "cell_id", 24 * 120))
@@ -132,10 +132,10 @@ def _(fx):
     return sent.select(F.col("user_id").cast("bigint").alias("user_id"), B.epoch_us("ts").alias("us"))
 
 
-@query("str9_forecast_dedup", greedy("(select c_nationkey as istat, epoch_us(a.computed_at) as us from fx_assess a join customer on c_custkey = a.cell_id where a.horizon like '+%')", "istat", 24 * 30))
+@query("str9_forecast_dedup", greedy("(select c_nationkey as istat, epoch_us(o_orderdate) as us from orders join customer on c_custkey = o_custkey where o_totalprice / cast(500009 as double) >= 0.55)", "istat", 24 * 30))
 def _(fx):
     place = fx["customer"].select(F.col("c_custkey").alias("cell_id"), F.col("c_nationkey").alias("istat"))
-    rows = fx["fx_assess"].filter(F.col("horizon").startswith("+")).join(place, "cell_id").select("istat", F.col("computed_at").alias("ts"))
+    rows = fx["fx_rated"].filter(B.at_least("level", "High")).join(place, "cell_id").select("istat", F.col("computed_at").alias("ts"))
     return A.suppress_batch(rows, "istat", 60 * 24 * 30).select("istat", "us")
 
 

@@ -165,7 +165,7 @@ VIEWS: dict[str, str] = {
         select o_orderkey as event_id, o_custkey as cell_id, o_orderdate + (o_orderkey % 40 + 1) * interval '1' day as event_time,
                cast(10.0017 as double) + cast(0.01 as double) * {_bits("o_custkey", 0)} + cast(o_orderkey % 5 as double) * cast(0.0009 as double) as x,
                cast(38.0013 as double) + cast(0.01 as double) * {_bits("o_custkey", 1)} + cast(o_orderkey % 7 as double) * cast(0.0005 as double) as y
-        from orders where o_orderstatus = 'F'""",
+        from orders where o_totalprice >= cast(330000 as double)""",
     "fx_samples": """
         select d.doc_id as cell_id, d.source as split_block, l.quality as label,
                cast(d.n_chars as double) as n_chars,
