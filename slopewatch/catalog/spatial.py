@@ -335,13 +335,9 @@ AREA = f"v as (select geom_id, hazard_class, " + ", ".join(f"{x} as x{i}, {y} as
 
 @query("agg31_area_per_class", f"with {AREA} select hazard_class, count(*) as n, round(sum(a) / 1e6, 4) as area_km2 from s group by hazard_class")
 def _(fx):
-    pts = rings(fx).select("geom_id", F.posexplode(F.arrays_zip("xs", "ys")).alias("i", "p")).select("geom_id", "i", "p.xs", "p.ys")
-    x, y = G.to_3035("xs", "ys")
-    metric = pts.select("geom_id", "i", x.alias("x"), y.alias("y"))
-    # vertices of one ring only: four values per polygon here, a bounded part after tiling otherwise
-    ring = metric.groupBy("geom_id").agg(F.array_sort(F.collect_list(F.struct("i", "x", "y"))).alias("r"))
-    area = ring.select("geom_id", G.shoelace(F.transform("r", lambda v: v["x"]), F.transform("r", lambda v: v["y"])).alias("a"))
-    return area.join(fx["fx_hazard"].select("geom_id", "hazard_class"), "geom_id").groupBy("hazard_class").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("a") / 1e6, 4).alias("area_km2"))
+    areas = X.metric_areas(edges(fx))
+    named = areas.join(fx["fx_hazard"].select("geom_id", "hazard_class"), "geom_id")
+    return named.groupBy("hazard_class").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("area_m2") / 1e6, 4).alias("area_km2"))
 
 
 BOXES = "(select aoi_id, min(lon) - 0.005 as x0, min(lat) - 0.005 as y0, max(lon) + 0.005 as x1, max(lat) + 0.005 as y1 from fx_cells group by aoi_id)"

@@ -193,7 +193,9 @@ def positive_probability(model, df: DataFrame, name: str = "prob") -> DataFrame:
 
 def out_of_fold(samples: DataFrame, k: int, **fit: Any) -> DataFrame:
     """Predictions for every row by a model that never saw its block; one fit per fold."""
-    data = samples.join(F.broadcast(folds(samples, k)), "split_block").persist()
+    from slopewatch.operators.relational import lookup_join
+
+    data = lookup_join(samples, folds(samples, k), "split_block", "inner").persist()
     parts = []
     for i in range(k):
         held, train = data.filter(F.col("fold") == i), data.filter(F.col("fold") != i)

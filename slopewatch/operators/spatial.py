@@ -55,6 +55,18 @@ def ring_boxes(edges: DataFrame, geom_id: str = "geom_id") -> DataFrame:
     )
 
 
+def metric_areas(edges: DataFrame, geom_id: str = "geom_id") -> DataFrame:
+    """Area in square metres per geometry on the equal-area grid, ``area_m2``.
+
+    A sum over edges, so a ring of any length combines on the map side. The
+    offset keeps the products small.
+    """
+    (x1, y1), (x2, y2) = to_3035("x1", "y1"), to_3035("x2", "y2")
+    near = edges.select(geom_id, *[(c - o).alias(n) for c, o, n in ((x1, 4.3e6, "a"), (y1, 2.2e6, "b"), (x2, 4.3e6, "c"), (y2, 2.2e6, "d"))])
+    cross = F.col("a") * F.col("d") - F.col("c") * F.col("b")
+    return near.groupBy(geom_id).agg((F.abs(F.sum(cross)) / 2).alias("area_m2"))
+
+
 def edges_by_slab(edges: DataFrame, slab: float) -> DataFrame:
     """Edges repeated for every latitude slab they touch; the stand-in for subdivision."""
     lo = tile_of(F.least("y1", "y2"), slab)
