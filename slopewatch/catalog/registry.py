@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slopewatch.catalog.views import TABLES, VIEWS
+from slopewatch.catalog.views import SPARK_NAMES, TABLES, VIEWS
 from slopewatch.session import prepare
 
 Build = Callable[["Frames"], DataFrame]
@@ -36,6 +36,8 @@ class Frames:
                 self._made[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
             else:
                 text = VIEWS[name]
+                for theirs, ours in SPARK_NAMES.items():
+                    text = text.replace(theirs, ours)
                 needs = used_names(text)
                 self._made[name] = self.spark.sql(
                     re.sub(r"\b(" + "|".join(needs) + r")\b(?!\.)", r"{\1}", text) if needs else text,

@@ -1,6 +1,7 @@
 """Stand-in views: the shapes of a hazard store, derived from the given tables.
 
-Every text runs unchanged in Spark SQL and in ANSI SQL engines. Cells sit on a
+Every text runs in Spark SQL and in ANSI SQL engines (only the name of the row
+generator differs, see ``SPARK_NAMES``). Cells sit on a
 square lattice of 0.01 degrees that grows evenly with the customer table: row
 and column are the odd and even bits of the key.
 """
@@ -12,6 +13,9 @@ TABLES = (
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
+# row generator: SQL text -> Spark
+SPARK_NAMES = {"unnest(generate_series(": "explode(sequence("}
+
 
 def _bits(key: str, offset: int) -> str:
     """Every second bit of a key, packed; bit operations need no overflow checks."""
@@ -138,12 +142,12 @@ VIEWS: dict[str, str] = {
                y + cast(0.004 as double) - cast(id % 5 as double) * cast(0.005 as double) as y2
         from fx_network""",
     # ground pixels: 5 x 5 per cell, height and land-cover code by formula
-    "fx_pixels": f"""
-        select c_custkey as cell_id, cast(floor(n_nationkey / cast(5 as double)) as int) as row, n_nationkey % 5 as col,
-               cast(100 + c_custkey % 50 as double) + cast(n_nationkey % 5 as double) * cast(c_custkey % 7 as double)
-                 + cast(n_nationkey * n_nationkey % 11 as double) * cast(0.37 as double) as z,
-               c_custkey * 31 % 9 + n_nationkey * 17 % 4 as code
-        from customer cross join nation""",
+    "fx_pixels": """
+        select c_custkey as cell_id, cast(floor(n / cast(5 as double)) as int) as row, cast(n % 5 as int) as col,
+               cast(100 + c_custkey % 50 as double) + cast(n % 5 as double) * cast(c_custkey % 7 as double)
+                 + cast(n * n % 11 as double) * cast(0.37 as double) as z,
+               c_custkey * 31 % 9 + n * 17 % 4 as code
+        from (select c_custkey, unnest(generate_series(0, 24)) as n from customer) px""",
     # radar pixels: one per event on the cell lattice
     "fx_radar": f"""
         select event_id, cast(10 as double) + cast(0.01 as double) * {_bits("(event_id * 7 % 4096)", 0)} as x,
