@@ -5,17 +5,32 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from slopewatch.llm import mixing
-from slopewatch.llm.texts import table
+from slopewatch.llm import langid, mixing, quality
+from slopewatch.llm.texts import held_out, table
+
+
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.learned(docs.filter(~held_out(F.col("doc_id"), 4, 2)))
+    return langid.identified(docs, model).withColumn("held_out", held_out(F.col("doc_id"), 4, 2))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    weights = quality.learned(docs, labels.filter(~held_out(F.col("doc_id"), 5, 0)))
+    return quality.scored(docs, weights).withColumns(
+        {"held_out": held_out(F.col("doc_id"), 5, 0), "predicted": (F.col("score") >= quality.THRESHOLD).cast("int")}
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_mixing": op4_mixing}
+    return {"op1_language": op1_language, "op4_mixing": op4_mixing, "op6_quality": op6_quality}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -11,7 +11,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from slopewatch.session import prepare, shared_path
 
@@ -76,18 +77,23 @@ class Texts:
         bounds = np.frombuffer(column.buffers()[1], kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
         return cls(np.frombuffer(column.buffers()[2], np.uint8)[bounds[0] : bounds[-1]], bounds - bounds[0])
 
-    def words(self, table: np.ndarray) -> Words:
-        """Maximal runs of bytes that ``table`` gives a value, never across texts."""
+    def words(self, table: np.ndarray, kinds: np.ndarray | None = None) -> Words:
+        """Maximal runs of bytes that ``table`` gives a value, never across texts.
+
+        With ``kinds``, a class per byte, a run also ends where the class changes.
+        """
         value = table[self.data]
         inside = value != 0
         first, last = self.bounds[:-1], self.bounds[1:]
         full = last > first
-        before, after = np.zeros_like(inside), np.zeros_like(inside)
-        before[1:], after[:-1] = inside[:-1], inside[1:]
-        before[first[full]] = False
-        after[last[full] - 1] = False
-        starts = np.flatnonzero(inside & ~before)
-        ends = np.flatnonzero(inside & ~after) + 1
+        opens, closes = inside.copy(), inside.copy()
+        kind = inside if kinds is None else kinds[self.data]
+        change = kind[1:] != kind[:-1]
+        opens[1:] &= change
+        closes[:-1] &= change
+        opens[first[full]] = inside[first[full]]
+        closes[last[full] - 1] = inside[last[full] - 1]
+        starts, ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
         power, inverse = _powers(len(value) + 1)
         value *= power[: len(value)]
         sums = np.zeros(len(value) + 1, np.uint64)
@@ -129,6 +135,25 @@ class Words:
         return mix(h[keep] + np.minimum(n[text[keep]], k).astype(np.uint64)), text[keep]
 
 
+def held_out(doc_id: Column, parts: int, rest: int) -> Column:
+    """Is the document kept out of learning? Checksum of the id as text, modulo ``parts``; a null id is not."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == rest, F.lit(False))
+
+
+def bounded_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """About ``most`` rows of each ``key`` at most: those whose hash falls below the key's rate.
+
+    Rows are chosen by the hash of their id, so reruns agree. One count per key
+    is kept; ``key`` has few values.
+    """
+    rates = {r[key]: r["count"] for r in rows.groupBy(key).count().collect()}
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1 << 30)) / float(1 << 30)
+    below = F.lit(False)
+    for value, n in rates.items():
+        below = below | ((F.col(key) == F.lit(value)) & (draw < most / n))
+    return rows.filter(below)
+
+
 def segment_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Sums of ``values[bounds[i]:bounds[i + 1]]`` in double precision."""
     total = np.zeros((len(values) + 1, *values.shape[1:]))
