@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slopewatch.llm import langid, mixing, quality
+from slopewatch.llm import langid, licences, mixing, quality, toxicity
 from slopewatch.llm.texts import held_out, table
 
 
@@ -29,8 +29,21 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    index = toxicity.learned(docs, labels.filter(~held_out(F.col("doc_id"), 4, 2)))
+    return toxicity.scored(docs, index).withColumns(
+        {"held_out": held_out(F.col("doc_id"), 4, 2), "predicted": (F.col("score") >= toxicity.THRESHOLD).cast("int")}
+    )
+
+
+def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scanned(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_language": op1_language, "op4_mixing": op4_mixing, "op6_quality": op6_quality}
+    return {"op1_language": op1_language, "op4_mixing": op4_mixing, "op6_quality": op6_quality,
+            "op7_toxicity": op7_toxicity, "op10_licences": op10_licences}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -99,14 +99,21 @@ class Texts:
         sums = np.zeros(len(value) + 1, np.uint64)
         np.cumsum(value, out=sums[1:])
         hashes = mix((sums[ends] - sums[starts]) * inverse[starts])
-        return Words(hashes, starts, ends, np.searchsorted(starts, self.bounds))
+        return Words(hashes, starts, ends, np.searchsorted(starts, self.bounds), sums, inverse)
 
 
 class Words:
     """Word hashes in order; text ``i`` has the words ``bounds[i]`` to ``bounds[i + 1]``."""
 
-    def __init__(self, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, bounds: np.ndarray) -> None:
+    def __init__(self, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, bounds: np.ndarray, sums: np.ndarray, inverse: np.ndarray) -> None:
         self.hashes, self.starts, self.ends, self.bounds = hashes, starts, ends, bounds
+        self._sums, self._inverse = sums, inverse
+
+    def beginnings(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the words of more than ``n`` bytes and hashes of their first ``n``; never equal to a word's."""
+        at = np.flatnonzero(self.ends - self.starts > n)
+        start = self.starts[at]
+        return at, mix((self._sums[start + n] - self._sums[start]) * self._inverse[start] + np.uint64(n))
 
     @property
     def counts(self) -> np.ndarray:
