@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slopewatch.llm import langid, licences, mixing, quality, toxicity
+from slopewatch.llm import langid, licences, mixing, packing, quality, syncmers, toxicity
 from slopewatch.llm.texts import held_out, table
 
 
@@ -17,6 +17,14 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identified(docs, model).withColumn("held_out", held_out(F.col("doc_id"), 4, 2))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.sequences(table(spark, sf_dir, "documents"))
+
+
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprinted(table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -42,7 +50,7 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_language": op1_language, "op4_mixing": op4_mixing, "op6_quality": op6_quality,
+    return {"op1_language": op1_language, "op2_packing": op2_packing, "op3_fingerprints": op3_fingerprints, "op4_mixing": op4_mixing, "op6_quality": op6_quality,
             "op7_toxicity": op7_toxicity, "op10_licences": op10_licences}
 
 
