@@ -97,9 +97,8 @@ def learned(docs: DataFrame, labels: DataFrame, most: int = LEARN_DOCS) -> np.nd
     weight per hashed feature at most. Null labels and labels of no document are
     skipped; without any, all weights are 0 and every score is 0.5.
     """
-    known = docs.select("doc_id", "text").join(
-        bounded_sample(labels.select("doc_id", F.col("quality").cast("int").alias("y")).filter("y is not null"), "y", most), "doc_id"
-    )
+    chosen = bounded_sample(labels.select("doc_id", F.col("quality").cast("int").alias("y")).filter("y is not null"), "y", most)
+    known = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # two longs for each of the bounded sample
     dealt = known.withColumn("_shard", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(SHARDS))).repartition(SHARDS, "_shard").sortWithinPartitions("doc_id", "y")
     parts = dealt.select("text", "y").mapInArrow(_train, "at long, w double, shards long")
     got = parts.groupBy("at").agg(F.sum("w").alias("w"), F.sum("shards").alias("shards")).toArrow()

@@ -160,7 +160,7 @@ def learned(docs: DataFrame, labels: DataFrame, most: int = LEARN_DOCS) -> Index
     """
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("y")).filter("y is not null")
     total = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
-    rows = docs.select("doc_id", "text").join(bounded_sample(known, "y", most), "doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(bounded_sample(known, "y", most)), "doc_id")  # two longs for each of the bounded sample
     sample = stored(rows, "examples")
     kept = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
     pos, n = kept.get(1, 0), sum(kept.values())
