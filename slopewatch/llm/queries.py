@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slopewatch.llm import langid, licences, mixing, neardup, packing, quality, syncmers, toxicity
+from slopewatch.llm import covertree, langid, licences, mixing, neardup, packing, quality, syncmers, toxicity
 from slopewatch.llm.texts import held_out, table
 
 
@@ -45,6 +45,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_vector_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.grouped(table(spark, sf_dir, "embeddings"))
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.grouped(table(spark, sf_dir, "documents"), k=2)
 
@@ -56,8 +60,8 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_language": op1_language, "op2_packing": op2_packing, "op3_fingerprints": op3_fingerprints, "op4_mixing": op4_mixing, "op6_quality": op6_quality,
             "op7_toxicity": op7_toxicity,
-            "op9_near_duplicates": op9_near_duplicates, "op10_licences": op10_licences}
+            "op8_vector_duplicates": op8_vector_duplicates, "op9_near_duplicates": op9_near_duplicates, "op10_licences": op10_licences}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mixing.SQL, "op9_near_duplicates": neardup.SQL}
+    return {"op4_mixing": mixing.SQL, "op8_vector_duplicates": covertree.SQL, "op9_near_duplicates": neardup.SQL}
