@@ -17,10 +17,11 @@ from slopewatch.llm.tokens import WordTokens
 CAPACITY = 2048
 VOCABULARY = "word_bpe_49k.json"
 END = (0).to_bytes(4, "little")
-ROUNDS = 96  # priced patterns in a phase
-STEP = 0.25  # share of the scarcest length's demand that a round covers
+ROUNDS = 240  # knapsacks of a linear program, at most
+SEEDS = 12  # patterns taken from each
+STEP = 0.5  # share of the scarcest length's demand that a round covers
 ETA = 4.0  # how strongly cover lowers a length's price
-LOOSE = 30_000  # pieces left over that best fit may place one by one
+LOOSE = 200_000  # pieces left over that best fit may place one by one
 CELLS = 4096  # parts of a length's pieces that are numbered on their own, at most (about)
 
 Pattern = tuple[tuple[int, int], ...]  # (length, pieces of it)
@@ -46,8 +47,8 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, k
     return map_texts(docs.select("doc_id", "text"), work, schema)
 
 
-def priced(lengths: np.ndarray, price: np.ndarray, capacity: int) -> dict[int, int]:
-    """The most valuable pattern: knapsack by dynamic programming over the capacity."""
+def knapsack(lengths: np.ndarray, price: np.ndarray, capacity: int) -> np.ndarray:
+    """For every room the number of the length to take first in its most valuable filling, -1 for none."""
     best, chosen = np.zeros(capacity + 1), np.full(capacity + 1, -1)
     fits = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
     for c in range(int(lengths[0]), capacity + 1):
@@ -57,45 +58,56 @@ def priced(lengths: np.ndarray, price: np.ndarray, capacity: int) -> dict[int, i
             best[c], chosen[c] = value[i], i
         else:
             best[c] = best[c - 1]
+    return chosen
+
+
+def filling(lengths: np.ndarray, chosen: np.ndarray, room: int) -> dict[int, int]:
+    """Pieces by number of their length in the most valuable filling of a room."""
     pattern: dict[int, int] = {}
-    c = capacity
-    while c > 0:
-        if chosen[c] < 0:
-            c -= 1
+    while room > 0:
+        i = int(chosen[room])
+        if i < 0:
+            room -= 1
         else:
-            pattern[int(chosen[c])] = pattern.get(int(chosen[c]), 0) + 1
-            c -= int(lengths[chosen[c]])
+            pattern[i] = pattern.get(i, 0) + 1
+            room -= int(lengths[i])
     return pattern
 
 
 def configuration_lp(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> dict[Pattern, float]:
-    """Fractional uses of patterns that take no length beyond its demand.
+    """Fractional uses of patterns that cover every length's demand.
 
     Prices start at the lengths' share of the capacity, the dual of the volume
-    bound. Each round prices a pattern, uses it for ``STEP`` of its scarcest
-    demand, and lowers the price of what it covers exponentially; the uses are
-    scaled down to the most covered length at the end.
+    bound, and fall exponentially with what a length has been covered. Each
+    round prices by one knapsack and takes from it, for each of the least covered
+    lengths, the most valuable pattern with that length, used for ``STEP`` of its
+    scarcest demand.
     """
     cover, uses = np.zeros(len(lengths)), {}
     for _ in range(ROUNDS):
-        price = lengths / capacity * np.exp(-ETA * cover / max(cover.max(), 1.0)) if cover.any() else lengths / capacity
-        pattern = priced(lengths, price, capacity)
-        at, many = np.array(list(pattern)), np.array(list(pattern.values()))
-        step = STEP * (demand[at] / many).min()
-        cover[at] += many * step / demand[at]
-        key = tuple(sorted((int(lengths[i]), n) for i, n in pattern.items()))
-        uses[key] = uses.get(key, 0.0) + step
-    scale = 1 / cover.max()
-    return {p: x * scale for p, x in uses.items()}
+        needy = np.lexsort((-lengths, cover))[:SEEDS]
+        if cover[needy[0]] >= 1:
+            break
+        chosen = knapsack(lengths, lengths / capacity * np.exp(-ETA * np.minimum(cover, 2.0)), capacity)
+        for i in needy:
+            pattern = filling(lengths, chosen, capacity - int(lengths[i]))
+            pattern[int(i)] = pattern.get(int(i), 0) + 1
+            at, many = np.array(list(pattern)), np.array(list(pattern.values()))
+            step = STEP * (demand[at] / many).min()
+            cover[at] += many * step / demand[at]
+            key = tuple(sorted((int(lengths[j]), n) for j, n in pattern.items()))
+            uses[key] = uses.get(key, 0.0) + step
+    return uses
 
 
 def packed(histogram: Mapping[int, int], capacity: int = CAPACITY) -> list[tuple[Pattern, int]]:
     """Patterns with whole uses that take every piece exactly once.
 
-    Phases solve the LP for what is left and round down; where that yields
-    nothing, the priced pattern is used as often as it can be. What rounding
-    leaves, at most ``LOOSE`` pieces, is placed by best fit decreasing. Work and
-    result depend on the number of different lengths, not of pieces.
+    The LP's uses are rounded up as far as pieces are left, the largest first; what
+    rounding leaves is solved again while that places much of it. At most
+    ``LOOSE`` pieces are placed by best fit decreasing at the end; beyond that the
+    best pattern of all is used as often as it can be, again and again. Work
+    depends on the number of different lengths, not of pieces.
     """
     left = {int(n): int(k) for n, k in histogram.items() if k}
     out: list[tuple[Pattern, int]] = []
@@ -109,18 +121,21 @@ def packed(histogram: Mapping[int, int], capacity: int = CAPACITY) -> list[tuple
             if not left[n]:
                 del left[n]
 
-    while sum(left.values()) > LOOSE:
+    moving = True
+    while left and moving:
         before = sum(left.values())
         lengths = np.array(sorted(left))
-        for pattern, x in configuration_lp(lengths, np.array([left[n] for n in lengths], float), capacity).items():
-            times = min(int(x + 1e-9), *(left.get(n, 0) // k for n, k in pattern))
+        uses = configuration_lp(lengths, np.array([left[n] for n in lengths], float), capacity)
+        for pattern, x in sorted(uses.items(), key=lambda u: (-u[1], u[0])):
+            times = min(int(np.ceil(x)), *(left.get(n, 0) // k for n, k in pattern))
             if times:
                 use(pattern, times)
-        if sum(left.values()) > 0.9 * before:  # demands too small for fractions: whole uses one pattern at a time
-            lengths = np.array(sorted(left))
-            found = priced(lengths, lengths / capacity, capacity)
-            pattern = tuple((int(lengths[i]), min(k, left[int(lengths[i])])) for i, k in sorted(found.items()))
-            use(pattern, min(left[n] // k for n, k in pattern))
+        moving = sum(left.values()) < 0.7 * before and sum(left.values()) > LOOSE
+    while sum(left.values()) > LOOSE:
+        lengths = np.array(sorted(left))
+        found = filling(lengths, knapsack(lengths, lengths / capacity, capacity), capacity)
+        pattern = tuple((int(lengths[i]), min(k, left[int(lengths[i])])) for i, k in sorted(found.items()))
+        use(pattern, min(left[n] // k for n, k in pattern))
     out.extend((tuple(sorted(p.items())), 1) for p in best_fit(left, capacity))
     return out
 
