@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slopewatch.llm import covertree, langid, licences, mixing, neardup, packing, quality, syncmers, toxicity
+import corpus_pipeline
+from slopewatch.llm import covertree, langid, licences, lines, mixing, neardup, packing, quality, syncmers, toxicity
 from slopewatch.llm.texts import held_out, table
 
 
@@ -29,6 +30,12 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = lines.judged(table(spark, sf_dir, "documents"))
+    named = ("copy_of_doc", "copy_of_line", "near_doc", "near_line")  # -1: none
+    return got.select("doc_id", "line_no", "n_words", "kept", *[F.coalesce(c, F.lit(-1)).cast("long").alias(c) for c in named])
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     weights = quality.learned(docs, labels.filter(~held_out(F.col("doc_id"), 5, 0)))
@@ -58,10 +65,10 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_language": op1_language, "op2_packing": op2_packing, "op3_fingerprints": op3_fingerprints, "op4_mixing": op4_mixing, "op6_quality": op6_quality,
+    return {"op1_language": op1_language, "op2_packing": op2_packing, "op3_fingerprints": op3_fingerprints, "op4_mixing": op4_mixing, "op5_lines": op5_lines, "op6_quality": op6_quality,
             "op7_toxicity": op7_toxicity,
-            "op8_vector_duplicates": op8_vector_duplicates, "op9_near_duplicates": op9_near_duplicates, "op10_licences": op10_licences}
+            "op8_vector_duplicates": op8_vector_duplicates, "op9_near_duplicates": op9_near_duplicates, "op10_licences": op10_licences, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mixing.SQL, "op8_vector_duplicates": covertree.SQL, "op9_near_duplicates": neardup.SQL}
+    return {"op4_mixing": mixing.SQL, "op5_lines": lines.SQL, "op8_vector_duplicates": covertree.SQL, "op9_near_duplicates": neardup.SQL}
