@@ -42,7 +42,8 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, most: float = MO
     left = F.sum("source_size").over(whole) - F.coalesce(F.sum("ceiling").over(upto), F.lit(0.0))
     shares = F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(upto), F.lit(0))
     levels = ranked.withColumn("level", left / shares)
-    level = F.min(F.when(F.col("level") <= F.col("turn"), F.col("level"))).over(whole)
+    # further on the levels only fall, so the first one that holds is the greatest
+    level = F.max(F.when(F.col("level") <= F.col("turn"), F.col("level"))).over(whole)
     return levels.select("source", "source_size", F.coalesce(F.least(level * F.col("weight"), F.col("ceiling")), F.col("ceiling")).alias("target"))
 
 
@@ -64,9 +65,8 @@ def mixed(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: float = MOST,
     base = docs.drop(*made)
     sizes = stored(base.select("doc_id", "source", size_of(F.col("text")).alias("size")), "sizes")
     aims = stored(targets(sizes, weights, most), "targets")
-    rated = sizes.join(_small(aims), sizes["source"].eqNullSafe(aims["source"])).select(
-        sizes["source"], "doc_id", "size", "target", (F.col("target") / F.col("source_size")).alias("rate")
-    )
+    rate = F.coalesce(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)), F.lit(0.0))
+    rated = sizes.join(_small(aims), sizes["source"].eqNullSafe(aims["source"])).select(sizes["source"], "doc_id", "size", "target", rate.alias("rate"))
     fraction = F.col("rate") - F.floor("rate")
     extra = [F.sum(F.when(F.expr(DRAW_SQL.format(seed=s)) < fraction, F.col("size")).otherwise(0)).alias(f"d{s}") for s in range(draws)]
     sums = rated.groupBy("source").agg(F.first("target").alias("target"), F.sum(F.floor("rate") * F.col("size")).alias("whole"), *extra)
@@ -74,7 +74,6 @@ def mixed(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: float = MOST,
     seeds = stored(sums.select("source", F.array_min(F.array(*miss))["seed"].alias("seed")), "seeds")
     plan = stored(aims.join(seeds, aims["source"].eqNullSafe(seeds["source"])).select(aims["*"], "seed"), "plan")
     keyed = plan.withColumnRenamed("source", "_source")
-    rate = F.coalesce(F.col("target") / F.when(F.col("source_size") > 0, F.col("source_size")), F.lit(0.0))
     chosen = F.expr(DRAW_SQL.format(seed="seed")) < rate - F.floor(rate)
     copies = (F.floor(rate) + F.when(chosen, 1).otherwise(0)).cast("int")
     sized = base.withColumn("size", size_of(F.col("text")))
@@ -109,7 +108,7 @@ WITH sizes AS (
     (sum(source_size) OVER () - coalesce(sum(ceiling) OVER before, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
   FROM ranked WINDOW before AS (ORDER BY ceiling / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), aims AS (
-  SELECT source, source_size, coalesce(least((min(level) FILTER (WHERE level <= turn) OVER ()) * weight, ceiling), ceiling) AS target FROM levels
+  SELECT source, source_size, coalesce(least((max(level) FILTER (WHERE level <= turn) OVER ()) * weight, ceiling), ceiling) AS target FROM levels
 ), rated AS (
   SELECT s.doc_id, s.source, s.size, a.source_size, a.target, coalesce(a.target / nullif(a.source_size, 0), 0) AS rate
   FROM sizes s JOIN aims a ON s.source IS NOT DISTINCT FROM a.source
