@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from slopewatch.llm.texts import Texts, bounded_sample, map_texts, record, stored, symbol_table
 
-LEARN_DOCS = 5000  # labelled documents of each class in the index, at most (about)
-TERMS = 4096  # vocabulary: the terms most dependent on the label, at most
+LEARN_DOCS = 2500  # labelled documents of each class in the index, at most (about)
+TERMS = 512  # vocabulary: the terms most dependent on the label, at most
 MIN_DOCS, MIN_CHI2 = 4, 20.0  # a term's documents among the examples, and its dependence on the label
 BEGINNINGS = (4, 5, 6, 7, 8)  # bytes of a word's beginning that are terms of their own
 LEVELS = 3
@@ -99,7 +99,7 @@ class Index:
     weight: np.ndarray
     first: np.ndarray  # postings of (term, block) start here
     most: np.ndarray  # (term, block) greatest weight
-    doc_id: np.ndarray  # of the examples, ascending
+    doc_id: np.ndarray  # of the examples, by leading term and id
     toxic: np.ndarray
     vote: np.ndarray  # labelled documents that an example stands for
     prior: float  # share of label 1 among labelled documents without any term
@@ -107,8 +107,16 @@ class Index:
     @classmethod
     def of(cls, vocabulary: Vocabulary, idf: np.ndarray, doc_id: np.ndarray, toxic: np.ndarray, vote: np.ndarray,
            example: np.ndarray, term: np.ndarray, n: np.ndarray, prior: float) -> Index:
-        blocks = -(-len(doc_id) // BLOCK)
         weight = unit(example, term, n, idf)
+        # examples of one leading term side by side, so that a block's greatest weights are told apart
+        leading = np.zeros(len(doc_id), np.int64)
+        rising = np.argsort(weight, kind="stable")
+        leading[example[rising]] = term[rising]
+        order = np.lexsort((doc_id, leading))
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        example, doc_id, toxic, vote = place[example], doc_id[order], toxic[order], vote[order]
+        blocks = -(-len(doc_id) // BLOCK)
         order = np.lexsort((example, term))
         example, term, weight = example[order], term[order], weight[order]
         cell = term * blocks + example // BLOCK
@@ -126,8 +134,10 @@ class Index:
         blocks = np.argsort(-bound, kind="stable")
         blocks = blocks[bound[blocks] > 0]
         best, cosine = np.zeros(0, np.int64), np.zeros(0)
-        for at in range(0, len(blocks), 8):
-            part = blocks[at : at + 8]
+        at, many = 0, 8
+        while at < len(blocks):
+            part = blocks[at : at + many]
+            at, many = at + many, 2 * many
             if len(best) == k and bound[part[0]] < cosine[-1] - 1e-12:
                 break
             cell = (term[:, None] * self.most.shape[1] + part).ravel()
