@@ -13,8 +13,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from slopewatch.operators.running import is_small
-
 HOUR_US = 3_600_000_000
 
 
@@ -52,9 +50,7 @@ def asof_join(
     )
     # rows of one instant that cannot win are dropped before the shuffle
     best = keyed.groupBy(*on, "_us").agg(F.min_by("_r", "_tie").alias("_r"))
-    # small inputs: one bucket per key, nothing to carry
-    one_bucket = is_small(left) and is_small(right)
-    bucket = F.lit(0).cast("bigint") if one_bucket else F.floor(F.col("_us") / width)
+    bucket = F.floor(F.col("_us") / width)
     r = best.withColumn("_b", bucket)
     l = left.withColumn("_us", us(left_ts)).withColumn("_b", bucket)
 
@@ -65,14 +61,13 @@ def asof_join(
     stream = l.select(*on, "_b", "_us", F.lit(1).alias("_side"), row, none_r).unionByName(
         r.select(*on, "_b", "_us", F.lit(0).alias("_side"), none_l, "_r")
     )
-    if not one_bucket:
-        carry = _carry(l, r, on)
-        for col in ("_before", "_after") if direction == "nearest" else ("_before",):
-            stream = stream.unionByName(
-                carry.filter(F.col(col).isNotNull()).select(
-                    *on, "_b", F.col(f"{col}._us").alias("_us"), F.lit(0).alias("_side"), none_l, F.col(col).alias("_r")
-                )
+    carry = _carry(l, r, on)
+    for col in ("_before", "_after") if direction == "nearest" else ("_before",):
+        stream = stream.unionByName(
+            carry.filter(F.col(col).isNotNull()).select(
+                *on, "_b", F.col(f"{col}._us").alias("_us"), F.lit(0).alias("_side"), none_l, F.col(col).alias("_r")
             )
+        )
 
     side = F.when(F.col("_side") == 0, 1).otherwise(0) if strict else F.col("_side")
     order = Window.partitionBy(*on, "_b").orderBy("_us", side)

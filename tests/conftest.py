@@ -13,13 +13,3 @@ def spark():
     session = local_session(4, app="tests")
     yield session
     session.stop()
-
-
-@pytest.fixture
-def sliced(spark):
-    """Force the sliced form of every running operator, whatever the input size."""
-    from slopewatch.operators.running import SMALL_INPUT_CONF
-
-    spark.conf.set(SMALL_INPUT_CONF, "-1")
-    yield spark
-    spark.conf.unset(SMALL_INPUT_CONF)
