@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slopewatch.llm.texts import SPACE, Texts, Words, _powers, map_texts, mix, record, stored, symbol_table
+from slopewatch.llm.texts import SPACE, Texts, Words, _powers, map_texts, mix, record, stored, symbol_table, unused
 
 MIN_WORDS = 5  # shorter lines carry too little to be called copies
 _SYMBOLS = symbol_table(SPACE, lower=True)
@@ -173,19 +173,20 @@ def cleaned(docs: DataFrame) -> DataFrame:
 
     Documents that lose every word are dropped, those that had none stay.
     """
-    dropped = judged(docs).filter("not kept").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("line_no", "line")).alias("_gone"))
+    key, listed = unused("_id", docs), unused("_gone", docs)
+    dropped = judged(docs).filter("not kept").groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.struct("line_no", "line")).alias(listed))
     names = docs.columns
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts, gone = batch.column("text").to_pylist(), batch.column("_gone").to_pylist()
+        texts, gone = batch.column("text").to_pylist(), batch.column(listed).to_pylist()
         lines = Lines(Texts.of_column(batch.column("text")))
         line = lines.hashes(lines.first, lines.last).view(np.int64)
         at = np.searchsorted(lines.text, np.arange(len(texts) + 1))
         keep = np.ones(len(texts), bool)
         for i, g in enumerate(gone):
             if g:
-                listed = {(x["line_no"], x["line"]) for x in g}
-                mine = [k for k in zip(lines.number[at[i] : at[i + 1]].tolist(), line[at[i] : at[i + 1]].tolist(), strict=True) if k in listed]
+                out_of = {(x["line_no"], x["line"]) for x in g}
+                mine = [k for k in zip(lines.number[at[i] : at[i + 1]].tolist(), line[at[i] : at[i + 1]].tolist(), strict=True) if k in out_of]
                 out = {n for n, _ in mine}
                 keep[i] = len(mine) < at[i + 1] - at[i]
                 texts[i] = "\n".join(t for n, t in enumerate(texts[i].split("\n")) if n not in out)
@@ -194,7 +195,7 @@ def cleaned(docs: DataFrame) -> DataFrame:
             columns["n_chars"] = pa.array([None if t is None else len(t) for t in texts]).cast(batch.column("n_chars").type)
         return record(**columns).filter(pa.array(keep))
 
-    return map_texts(docs.join(dropped, docs["doc_id"].eqNullSafe(F.col("_id")), "left").select(*names, "_gone"), work, docs.schema)
+    return map_texts(docs.join(dropped, docs["doc_id"].eqNullSafe(F.col(key)), "left").select(*names, listed), work, docs.schema)
 
 
 #: The same rows in SQL, -1 where no line is named.

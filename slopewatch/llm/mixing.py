@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slopewatch.llm.texts import stored
+from slopewatch.llm.texts import stored, unused
 
 WEIGHTS = (5, 2, 1)
 MOST = 3.0  # repetitions of a source at most
@@ -73,11 +73,12 @@ def mixed(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: float = MOST,
     miss = [F.struct(F.abs(F.col("whole") + F.col(f"d{s}") - F.col("target")).alias("miss"), F.lit(s).alias("seed")) for s in range(draws)]
     seeds = stored(sums.select("source", F.array_min(F.array(*miss))["seed"].alias("seed")), "seeds")
     plan = stored(aims.join(seeds, aims["source"].eqNullSafe(seeds["source"])).select(aims["*"], "seed"), "plan")
-    keyed = plan.withColumnRenamed("source", "_source")
-    chosen = F.expr(DRAW_SQL.format(seed="seed")) < rate - F.floor(rate)
+    key, seed = unused("_source", base), unused("_seed", base)
+    keyed = plan.withColumnsRenamed({"source": key, "seed": seed})
+    chosen = F.expr(DRAW_SQL.format(seed=seed)) < rate - F.floor(rate)
     copies = (F.floor(rate) + F.when(chosen, 1).otherwise(0)).cast("int")
     sized = base.withColumn("size", size_of(F.col("text")))
-    out = sized.join(_small(keyed), sized["source"].eqNullSafe(F.col("_source"))).withColumn("copies", copies)
+    out = sized.join(_small(keyed), sized["source"].eqNullSafe(F.col(key))).withColumn("copies", copies)
     return out.select(*base.columns, "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
@@ -85,7 +86,7 @@ def emitted(docs: DataFrame, **options: object) -> DataFrame:
     """The mix itself: every document ``copies`` times, in the columns of ``docs``; size-0 documents are never taken."""
     columns = docs.columns
     taken = mixed(docs, **options).filter("taken > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[c for c in columns if c in taken.columns])
+    return taken.withColumn(unused("_copy", taken), F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[c for c in columns if c in taken.columns])
 
 
 def _small(df: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slopewatch.llm.texts import SPACE, Texts, map_texts, mix, record, stored, symbol_table
+from slopewatch.llm.texts import SPACE, Texts, map_texts, mix, record, stored, symbol_table, unused
 from slopewatch.operators.components import connected
 
 SHINGLE = 5
@@ -249,8 +249,9 @@ def grouped(docs: DataFrame, k: int = SHINGLE, similarity: int = SIMILARITY) ->
 
 def thinned(docs: DataFrame, k: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
     """``docs`` without the documents that are not the first of their group, all columns."""
-    gone = stored(grouped(docs, k, similarity).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
+    name = unused("_gone", docs)
+    gone = stored(grouped(docs, k, similarity).filter("not kept").select(F.col("doc_id").alias(name)).distinct(), "gone")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col(name)), "left_anti")
 
 
 #: The same rows in SQL: all links between different sets of shingles, then the smallest id reachable.

@@ -132,10 +132,9 @@ class Words:
         n, text = self.counts, self.text_of
         h = np.zeros(len(self.hashes), np.uint64)
         for j in range(k):
-            part = np.zeros_like(h)
-            part[: len(h) - j] = self.hashes[j:]
-            if j:  # words of the next text do not count
-                part[: len(h) - j][text[j:] != text[: len(h) - j]] = 0
+            part, m = np.zeros_like(h), max(len(h) - j, 0)
+            part[:m] = self.hashes[j:]
+            part[:m][text[j:] != text[:m]] = 0  # words of the next text do not count
             h = h * np.uint64(_P) + part
         place = np.arange(len(h)) - self.bounds[text]
         keep = place <= np.maximum(n[text] - k, 0)
@@ -209,6 +208,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """``name``, lengthened until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write the rows once to the shared folder and go on from there, free of lineage."""
     path = shared_path(df.sparkSession, label)
