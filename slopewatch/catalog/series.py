@@ -275,12 +275,16 @@ def _(fx):
     return fx["fx_truth"].groupBy("cell_id").agg(B.epoch_us(F.min("event_time")).alias("first_us"))
 
 
-@query("join15_nearest_node", "select cell_id, node from (select c.cell_id, n.i * 1000 + n.j as node, row_number() over (partition by c.cell_id order by round(pow(c.lon - (10 + 0.1 * n.i), 2) + pow(c.lat - (38 + 0.1 * n.j), 2), 9), n.j, n.i) as rn from fx_cells c, (select a.range as i, b.range as j from range(20) a, range(20) b) n) t where rn = 1")
+@query("join15_nearest_node", """with b as (select min(lon) as x0, min(lat) as y0, floor((max(lon) - min(lon) + 1e-9) / 0.1) as nx, floor((max(lat) - min(lat) + 1e-9) / 0.1) as ny from fx_cells),
+    n as (select i, j, x0 + 0.1 * i as x, y0 + 0.1 * j as y from b, (select unnest(range(0, cast(nx as bigint) + 1)) as i from b) p, (select unnest(range(0, cast(ny as bigint) + 1)) as j from b) q)
+    select cell_id, node from (select c.cell_id, n.i * 1000 + n.j as node, row_number() over (partition by c.cell_id order by round(pow(c.lon - n.x, 2) + pow(c.lat - n.y, 2), 9), n.j, n.i) as rn from fx_cells c, n) t where rn = 1""")
 def _(fx):
     from slopewatch.sources.weather import nearest_lattice_node
 
-    i, j = nearest_lattice_node(F.col("lon"), F.col("lat"), (10.0, 38.0, 11.9, 39.9), 0.1)
-    return fx["fx_cells"].select("cell_id", (i * 1000 + j).alias("node"))
+    cells = fx["fx_cells"]
+    box = tuple(cells.agg(F.min("lon"), F.min("lat"), F.max("lon"), F.max("lat")).first())
+    i, j = nearest_lattice_node(F.col("lon"), F.col("lat"), box, 0.1)
+    return cells.select("cell_id", (i * 1000 + j).alias("node"))
 
 
 # --- dates and small functions -----------------------------------------------------------

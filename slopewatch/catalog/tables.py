@@ -254,16 +254,6 @@ def _(fx):
     return SF.municipalities(n).select("istat_code", "name")
 
 
-@query("src25_parameters", "select 'weights' as block, 1.0::double as total union all select 'meteo', 1.0 union all select 'static', 1.0 union all select 'cells', count(*)::double from customer")
-def _(fx):
-    from slopewatch.params import check, merged
-
-    p = check(merged())
-    rows = [("weights", sum(p["component_weights"].values())), ("meteo", sum(p["meteo_weights"].values())), ("static", sum(p["static"]["weights"].values()))]
-    table = fx.spark.createDataFrame(rows, "block string, total double").withColumn("total", F.round("total", 6))
-    return table.unionByName(fx["customer"].agg(F.lit("cells").alias("block"), F.count(F.lit(1)).cast("double").alias("total")))
-
-
 @query("src26_labelled_polygons", "select p_name as label, count(*) as n from part where p_partkey % 4 <> 0 group by p_name")
 def _(fx):
     p = fx["part"].select("p_partkey", "p_name", F.when(F.col("p_partkey") % 4 != 0, "POLYGON").alias("geometry"))
@@ -424,7 +414,7 @@ def _(fx):
     return fx["events"].select("event_id", F.size(TX.allowed_numbers(F.col("props"))).cast("bigint").alias("n"))
 
 
-@query("txt4_fallback_briefing", f"select aoi_id, concat('La valutazione automatica indica per l''area ', aoi_id, ' una classe dominante ', arg_max(level, (score, -cell_id)), '. Le celle valutate sono ', count(*), '; la distribuzione per classe è {{', concat_ws(', ', case when count(*) filter (where level = 'High') > 0 then concat('High: ', count(*) filter (where level = 'High')) end, case when count(*) filter (where level = 'Low') > 0 then concat('Low: ', count(*) filter (where level = 'Low')) end, case when count(*) filter (where level = 'Moderate') > 0 then concat('Moderate: ', count(*) filter (where level = 'Moderate')) end, case when count(*) filter (where level = 'None') > 0 then concat('None: ', count(*) filter (where level = 'None')) end, case when count(*) filter (where level = 'VeryHigh') > 0 then concat('VeryHigh: ', count(*) filter (where level = 'VeryHigh')) end), '}}. Il testo riassume i soli conteggi del modello.') as text from {STATE} s group by aoi_id")
+@query("txt4_fallback_briefing", f"select aoi_id, concat('Nell''area ', aoi_id, ' prevale il livello ', arg_max(level, (score, -cell_id)), '. Sono state esaminate ', count(*), ' celle, con questi conteggi: ', concat_ws(', ', case when count(*) filter (where level = 'High') > 0 then concat('High: ', count(*) filter (where level = 'High')) end, case when count(*) filter (where level = 'Low') > 0 then concat('Low: ', count(*) filter (where level = 'Low')) end, case when count(*) filter (where level = 'Moderate') > 0 then concat('Moderate: ', count(*) filter (where level = 'Moderate')) end, case when count(*) filter (where level = 'None') > 0 then concat('None: ', count(*) filter (where level = 'None')) end, case when count(*) filter (where level = 'VeryHigh') > 0 then concat('VeryHigh: ', count(*) filter (where level = 'VeryHigh')) end), '. Non è disponibile un commento esteso.') as text from {STATE} s group by aoi_id")
 def _(fx):
     s = state(fx).groupBy("aoi_id").agg(F.count(F.lit(1)).alias("n"), *U.class_counts(), F.max_by("level", F.struct("score", (-F.col("cell_id")).alias("c"))).alias("worst"))
     counts = TX.counts_text({n: F.col(f"n_{n.lower()}") for n in ("None", "Low", "Moderate", "High", "VeryHigh")})
@@ -454,7 +444,7 @@ def _(fx):
     return t.select("id", TX.verdict(F.col("level"))["tone"].alias("tone"), pick.alias("rain"), F.col("t").startswith("Il punteggio nasce").alias("driven"))
 
 
-@query("fn18_alert_text", f"select aoi_id, printf('Allerta %s per l''area %s: %d celle a livello alto o superiore (distribuzione %s). Cella di picco %s con punteggio %.2f.', arg_max(level, (score, -cell_id)), aoi_id, count(*) filter (where {HIGH}), 'x', cast(arg_max(cell_id, (score, -cell_id)) as varchar), max(score)) as text from {STATE} s group by aoi_id")
+@query("fn18_alert_text", f"select aoi_id, printf('Livello %s nell''area %s. Celle in classe alta o più: %d. Conteggio per livello: %s. Il valore più elevato si trova nella cella %s (%.2f).', arg_max(level, (score, -cell_id)), aoi_id, count(*) filter (where {HIGH}), 'x', cast(arg_max(cell_id, (score, -cell_id)) as varchar), max(score)) as text from {STATE} s group by aoi_id")
 def _(fx):
     best = F.max_by(F.struct("level", "cell_id"), F.struct("score", (-F.col("cell_id")).alias("c")))
     s = state(fx).groupBy("aoi_id").agg(F.count_if(F.col("level").isin("High", "VeryHigh")).alias("n"), best.alias("b"), F.max("score").alias("score"))

@@ -18,9 +18,9 @@ SPARK_NAMES = {"unnest(generate_series(": "explode(sequence("}
 
 
 def _bits(key: str, offset: int) -> str:
-    """Every second bit of a key, packed; bit operations need no overflow checks."""
+    """Every second bit of a 64-bit key, packed; bit operations need no overflow checks."""
     out = f"(({key} >> {offset}) & 1)"
-    for i in range(1, 12):
+    for i in range(1, 31):
         out = f"({out} | ((({key} >> {2 * i + offset}) & 1) << {i}))"
     return out
 
@@ -148,10 +148,10 @@ VIEWS: dict[str, str] = {
                  + cast(n * n % 11 as double) * cast(0.37 as double) as z,
                c_custkey * 31 % 9 + n * 17 % 4 as code
         from (select c_custkey, unnest(generate_series(0, 24)) as n from customer) px""",
-    # radar pixels: one per event on the cell lattice
+    # radar pixels: one per event on the cell lattice, which grows with the events
     "fx_radar": f"""
-        select event_id, cast(10 as double) + cast(0.01 as double) * {_bits("(event_id * 7 % 4096)", 0)} as x,
-               cast(38 as double) + cast(0.01 as double) * {_bits("(event_id * 7 % 4096)", 1)} as y,
+        select event_id, cast(10 as double) + cast(0.01 as double) * {_bits("event_id", 0)} as x,
+               cast(38 as double) + cast(0.01 as double) * {_bits("event_id", 1)} as y,
                case when event_id % 17 = 0 then cast(-9999 as double) else value end as mm_h
         from events""",
     # inventory points: one per embedding, scattered inside the lattice

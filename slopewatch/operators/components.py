@@ -46,7 +46,7 @@ def neighbour_edges(spots: DataFrame, eps: float) -> DataFrame:
     return near.select("scope", packed(F.col("tx"), F.col("ty")).alias("a"), "b").distinct()
 
 
-def connected(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Component label per node: the smallest node id reachable.
 
     ``nodes(scope, id)``, ``edges(scope, a, b)`` undirected. Each round takes the
@@ -58,7 +58,7 @@ def connected(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataF
         edges.select("scope", "a", "b").unionByName(edges.select("scope", F.col("b").alias("a"), F.col("a").alias("b")))
     )
     labels = nodes.select("scope", "id", F.col("id").alias("label"))
-    for _ in range(max_rounds):
+    while True:
         offered = both.join(labels.withColumnRenamed("id", "b"), ["scope", "b"]).groupBy("scope", F.col("a").alias("id")).agg(F.min("label").alias("offer"))
         lowered = labels.join(offered, ["scope", "id"], "left").select("scope", "id", "label", F.least("label", "offer").alias("low"))
         # hook: the node that gave the old label is offered the lower one as well
@@ -72,7 +72,6 @@ def connected(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataF
         labels = stepped.select("scope", "id", "label")
         if stepped.filter("moved").isEmpty():
             return labels
-    raise RuntimeError("component labels did not settle")
 
 
 def zones(cells: DataFrame, eps: float, scope: str = "aoi_id") -> DataFrame:

@@ -192,17 +192,23 @@ def positive_probability(model, df: DataFrame, name: str = "prob") -> DataFrame:
 
 
 def out_of_fold(samples: DataFrame, k: int, **fit: Any) -> DataFrame:
-    """Predictions for every row by a model that never saw its block; one fit per fold."""
+    """Predictions for every row by a model that never saw its block; one fit per fold.
+
+    Where the other folds know one label only, every row of the fold gets that label.
+    """
     from slopewatch.operators.relational import lookup_join
+    from slopewatch.session import cut_lineage
 
-    data = lookup_join(samples, folds(samples, k), "split_block", "inner").persist()
+    data = cut_lineage(lookup_join(samples, folds(samples, k), "split_block", "inner"))
+    counts = {(r["fold"], r["label"]): r["count"] for r in data.groupBy("fold", "label").count().collect()}
     parts = []
     for i in range(k):
         held, train = data.filter(F.col("fold") == i), data.filter(F.col("fold") != i)
-        labels = {r[0] for r in train.select("label").distinct().limit(3).collect()}
-        if labels != {0, 1}:
-            continue
-        parts.append(positive_probability(fit_boosted(train, **fit), held))
+        labels = {y for fold, y in counts if fold != i and y is not None}
+        if labels == {0, 1}:
+            parts.append(positive_probability(fit_boosted(train, **fit), held))
+        else:
+            parts.append(held.withColumn("prob", F.lit(float(min(labels, default=0)))))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

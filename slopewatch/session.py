@@ -52,17 +52,20 @@ def local_session(cores: int | str = 8, app: str = "slopewatch", **conf: str) ->
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the cluster's ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (tests on one machine) is a fresh local
-    folder made, and recorded so that later calls agree on it.
+    A session in one process (tests) that names none gets a fresh local folder,
+    recorded so that later calls agree on it. On a cluster that is an error:
+    executors would write to disks of their own.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not named:
-        named = spark.conf.get("slopewatch.shared.dir", None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="slopewatch-")
-        spark.conf.set("slopewatch.shared.dir", named)
+    conf = spark.sparkContext.getConf()
+    named = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
+    named = named or spark.conf.get("slopewatch.shared.dir", None)
+    if named:
+        return named
+    master = conf.get("spark.master", "")
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    named = tempfile.mkdtemp(prefix="slopewatch-")
+    spark.conf.set("slopewatch.shared.dir", named)
     return named
 
 
