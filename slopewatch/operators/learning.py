@@ -71,7 +71,7 @@ def training_set(events: DataFrame, cells: DataFrame, cutoff: Column, p: dict[st
     # rank by hash in balanced slices of the hash space, so no single task orders the pool
     key = F.md5(F.concat_ws("|", F.lit(str(t["seed"])), F.col("cell_id").cast("string")))
     ranked = sliced_running(
-        quiet.withColumn("_k", key).withColumn("_s", F.conv(F.substring("_k", 1, 2), 16, 10).cast("int")),
+        quiet.withColumn("_k", key).withColumn("_s", F.conv(F.substring("_k", 1, 3), 16, 10).cast("int")),
         [], "_s", ["_k", "cell_id"], sums={"_rank": F.lit(1).cast("bigint")},
     )
     background = ranked.filter(F.col("_rank") <= wanted).select(

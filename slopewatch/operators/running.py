@@ -92,13 +92,18 @@ def blocked(df: DataFrame, by: Sequence[str], slice_col: str, order: Sequence[st
     return spread.withColumns({"block": F.col("_copy.b"), "is_context": F.col("_copy.x")}).drop("_copy")
 
 
+def slices_of(df: DataFrame, slices: int | None = None) -> int:
+    """Number of value slices: four per shuffle partition, which is set with the data, and 64 at least."""
+    return slices or max(64, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def value_slices(distinct: DataFrame, by: Sequence[str], value: str, slices: int) -> DataFrame:
     """Append ``slice``: position of the value among approximate quantile edges.
 
     The edges only balance the work; results do not depend on them.
     """
     points = [i / slices for i in range(1, slices)]
-    edges = distinct.groupBy(*by).agg(F.percentile_approx(value, points, 2000).alias("_edges"))
+    edges = distinct.groupBy(*by).agg(F.percentile_approx(value, points, max(2000, 20 * slices)).alias("_edges"))
     if by:
         on = [F.col(f"d.{k}").eqNullSafe(F.col(f"e.{k}")) for k in by]
         joined = distinct.alias("d").join(edges.alias("e"), on).select("d.*", "e._edges")
@@ -114,7 +119,7 @@ def cumulative_by_value(
     sums: Mapping[str, Column],
     by: Sequence[str] = (),
     descending: bool = False,
-    slices: int = 64,
+    slices: int | None = None,
 ) -> DataFrame:
     """One row per distinct value with its own totals and the running totals up to it.
 
@@ -122,7 +127,7 @@ def cumulative_by_value(
     Columns: ``by``, the value, each total ``n`` and its running form ``cum_n``.
     """
     distinct = df.groupBy(*by, value).agg(*[F.sum(e).alias(n) for n, e in sums.items()])
-    cut = value_slices(distinct, by, value, slices)
+    cut = value_slices(distinct, by, value, slices_of(df, slices))
     if descending:
         cut = cut.withColumn("slice", -F.col("slice"))
     order = [F.desc(value) if descending else F.asc(value)]
@@ -136,7 +141,7 @@ def exact_percentiles(
     value: str,
     points: Mapping[str, float],
     by: Sequence[str] = (),
-    slices: int = 64,
+    slices: int | None = None,
     also: Sequence[Column] = (),
 ) -> DataFrame:
     """Linear-interpolated percentiles per key, exact at any group size.
