@@ -25,7 +25,7 @@ BANDS, ROWS = 20, 4  # a pair of similarity 0.8 shares no band with probability
 BITS = 512  # of an odd sketch
 SIEVE = 0.55  # sketch estimate below which a pair of 0.8 falls with probability 1e-7
 CHUNK = 1024  # members of a bucket that are compared at once
-TRIES = (4, 64, 1 << 40)  # best partners tried per set and foreign component, by round; the last round tries all
+TRIES = (16, 1 << 40)  # best partners tried per set and foreign component, by round; the last round tries all
 
 _SYMBOLS = symbol_table(SPACE, lower=True)
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -227,18 +227,19 @@ def grouped(docs: DataFrame, k: int = SHINGLE, similarity: int = SIMILARITY) ->
     wanted = buckets.select("sid").distinct().join(classes.select("sid", "doc_id"), "sid")
     sets = stored(full_sets(base, wanted, k), "sets")
     links = stored(confirmed(tested, sets, similarity), "links")
+    labels = stored(_labels(links), "labels")
     for tries in TRIES:
-        labels = stored(_labels(links), "labels")
         known = buckets.join(labels, "sid", "left").select("key", "sid", F.coalesce("label", "sid").alias("label"))
         open_keys = known.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l != h").select("key")
         members = known.join(open_keys, "key").join(info, "sid")
         fresh = stored(_blocks(members, tries, similarity).join(tested, ["a", "b"], "left_anti"), "fresh")
-        found = stored(confirmed(fresh, sets, similarity), "found")
-        tested = tested.unionByName(fresh)
         if fresh.isEmpty():
             break
-        links = links.unionByName(found)
-    labels = _labels(links)
+        found = stored(confirmed(fresh, sets, similarity), "found")
+        tested = tested.unionByName(fresh)
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            labels = stored(_labels(links), "labels")
     ids = classes.select("sid", "doc_id").join(labels, "sid")
     named = ids.join(ids.groupBy("label").agg(F.min("doc_id").alias("component_id")), "label").select("sid", "component_id")
     alone = classes.join(named, "sid", "left").select("sid", F.coalesce("component_id", "doc_id").alias("component_id"))
