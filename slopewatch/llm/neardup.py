@@ -25,7 +25,6 @@ BANDS, ROWS = 20, 4  # a pair of similarity 0.8 shares no band with probability
 BITS = 512  # of an odd sketch
 SIEVE = 0.55  # sketch estimate below which a pair of 0.8 falls with probability 1e-7
 CHUNK = 1024  # members of a bucket that are compared at once
-TRIES = (16, 1 << 40)  # best partners tried per set and foreign component, by round; the last round tries all
 
 _SYMBOLS = symbol_table(SPACE, lower=True)
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -126,19 +125,20 @@ def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return map_texts(rows, work, "sid long, members binary").dropDuplicates(["sid"])
 
 
+def _members(raw: bytes) -> np.ndarray:
+    wide = np.zeros((len(raw) // 6, 8), np.uint8)
+    wide[:, 2:] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return wide.view(np.uint64).ravel()
+
+
 def confirmed(edges: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """The ``edges(a, b)`` whose full sets are similar enough."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def members(raw: bytes) -> np.ndarray:
-            wide = np.zeros((len(raw) // 6, 8), np.uint8)
-            wide[:, 2:] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-            return wide.view(np.uint64).ravel()
-
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                p, q = members(x.as_py()), members(y.as_py())
+                p, q = _members(x.as_py()), _members(y.as_py())
                 both = len(p) + len(q) - len(np.union1d(p, q))
                 keep.append(100 * both >= similarity * (len(p) + len(q) - both))
             yield record(a=batch.column("a"), b=batch.column("b")).filter(pa.array(keep, pa.bool_()))
@@ -154,49 +154,92 @@ def _labels(edges: DataFrame) -> DataFrame:
     return connected(nodes, linked).select(F.col("id").alias("sid"), "label")
 
 
-def _blocks(members: DataFrame, tries: int, similarity: int) -> DataFrame:
-    """Candidate (a, b) from ``members(key, sid, label, n, sketch)`` of buckets with several components.
+def common_counts(a: list[np.ndarray], b: list[np.ndarray], width: int = 2048) -> np.ndarray:
+    """Sizes of the intersections of all sets of ``a`` with all of ``b``: products of 0/1 matrices over their common members."""
+    va, vb = np.concatenate(a), np.concatenate(b)
+    ra, rb = np.repeat(np.arange(len(a)), [len(x) for x in a]), np.repeat(np.arange(len(b)), [len(x) for x in b])
+    both = np.intersect1d(va, vb)
+    out = np.zeros((len(a), len(b)), np.float32)
+    if not len(both):
+        return out
+    ca, cb = (np.minimum(np.searchsorted(both, v), len(both) - 1) for v in (va, vb))
+    ka, kb = both[ca] == va, both[cb] == vb
+    ra, ca, rb, cb = ra[ka], ca[ka], rb[kb], cb[kb]
+    for at in range(0, len(both), width):
+        part = [np.zeros((len(sets), width), np.float32) for sets in (a, b)]
+        for m, r, c in zip(part, (ra, rb), (ca, cb), strict=True):
+            inside = (c >= at) & (c < at + width)
+            m[r[inside], c[inside] - at] = 1
+        out += part[0] @ part[1].T
+    return out
+
+
+def _held(unit: dict[str, np.ndarray], similarity: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(a, b): each set and the one its component inside the two sides of a unit is named after; links on full sets."""
+    left, right = np.flatnonzero(unit["side"] == 0), np.flatnonzero(unit["side"] == 1)
+    n, m = unit["n"][left][:, None], unit["n"][right][None, :]
+    fit = (unit["label"][left][:, None] != unit["label"][right][None, :]) & (100 * np.minimum(n, m) >= similarity * np.maximum(n, m))
+    if fit.any():
+        fit &= _estimates(unit["sketch"][left], unit["sketch"][right]) >= SIEVE
+    i, j = np.flatnonzero(fit.any(axis=1)), np.flatnonzero(fit.any(axis=0))
+    if not len(i):
+        return []
+    count = common_counts([_members(x) for x in unit["members"][left[i]]], [_members(x) for x in unit["members"][right[j]]])
+    link = fit[np.ix_(i, j)] & (100 * count >= similarity * (n[i] + m[:, j] - count))
+    x, y = unit["sid"][left[i]], unit["sid"][right[j]]
+    lx, ly, top, moved = x.copy(), y.copy(), np.iinfo(np.int64).max, link.any()
+    while moved:
+        low_x = np.minimum(lx, np.where(link, ly[None, :], top).min(axis=1))
+        low_y = np.minimum(ly, np.where(link, low_x[:, None], top).min(axis=0))
+        moved = bool((low_x < lx).any() or (low_y < ly).any())
+        lx, ly = low_x, low_y
+    a, b = np.concatenate([lx, ly]), np.concatenate([x, y])
+    return [(a[a != b], b[a != b])]
+
+
+def _blocks(members: DataFrame, similarity: int) -> DataFrame:
+    """Further (a, b) from ``members(key, sid, label, n, sketch, members)`` of buckets with several components.
 
     Members outside the bucket's largest component are held against all members
-    of other components, chunk by chunk; each keeps its ``tries`` best partners
-    per foreign component that pass the sieve.
+    of other components, chunk by chunk, full sets included; a chunk pair gives at
+    most a row per set, not its pairs.
     """
     by_label = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
     keys = by_label.groupBy("key").agg(F.max(F.struct("c", "label"))["label"].alias("main"), F.sum("c").alias("all"), F.max("c").alias("most"))
     chunks = lambda n: F.ceil(n / CHUNK).cast("int")
+    carried = ["sid", "label", "n", "sketch", "members"]
     told = members.join(keys, "key").select(
-        "key", "sid", "label", "n", "sketch", (F.col("label") != F.col("main")).alias("stray"), chunks(F.col("all")).alias("many"), chunks(F.col("all") - F.col("most")).alias("few")
+        "key", *carried, (F.col("label") != F.col("main")).alias("stray"), chunks(F.col("all")).alias("many"), chunks(F.col("all") - F.col("most")).alias("few")
     )
     own = lambda n: F.pmod(F.xxhash64("sid"), n).cast("int")
-    strays = told.filter("stray").select("key", own(F.col("few")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("many") - 1)).alias("j"), F.lit(0).alias("side"), "sid", "label", "n", "sketch")
-    others = told.select("key", F.explode(F.sequence(F.lit(0), F.col("few") - 1)).alias("i"), own(F.col("many")).alias("j"), F.lit(1).alias("side"), "sid", "label", "n", "sketch")
-
-    def pairs(rows: pd.DataFrame) -> pd.DataFrame:
-        left, right = rows[rows["side"] == 0], rows[rows["side"] == 1]
-        n, m = left["n"].to_numpy()[:, None], right["n"].to_numpy()[None, :]
-        fit = (left["label"].to_numpy()[:, None] != right["label"].to_numpy()[None, :]) & (100 * np.minimum(n, m) >= similarity * np.maximum(n, m))
-        if not fit.any():
-            return pd.DataFrame({"a": [], "b": []})
-        near = np.where(fit, _estimates(np.stack(left["sketch"]), np.stack(right["sketch"])), -1.0)
-        i, j = np.nonzero(near >= SIEVE)
-        found = pd.DataFrame({"x": left["sid"].to_numpy()[i], "y": right["sid"].to_numpy()[j], "to": right["label"].to_numpy()[j], "near": near[i, j]})
-        found = found.sort_values(["x", "to", "near", "y"], ascending=[True, True, False, True])
-        found = found[found.groupby(["x", "to"]).cumcount() < tries]
-        return pd.DataFrame({"a": np.minimum(found["x"], found["y"]), "b": np.maximum(found["x"], found["y"])})
+    place = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
+    others = F.transform(F.sequence(F.lit(0), F.col("few") - 1), lambda i: place(i, own(F.col("many")), 1))
+    strays = F.transform(F.sequence(F.lit(0), F.col("many") - 1), lambda j: place(own(F.col("few")), j, 0))
+    dealt = told.withColumn("_at", F.explode(F.when(F.col("stray"), F.concat(others, strays)).otherwise(others))).select("key", "_at.i", "_at.j", "_at.side", *carried)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
+        rest: dict[str, np.ndarray] = {}
+
+        def held(rows: dict[str, np.ndarray], whole: bool) -> pd.DataFrame:
+            """Work on the units in ``rows``; the last one waits for more rows unless they are the ``whole`` rest."""
+            nonlocal rest
+            new = np.ones(len(rows["key"]), bool)
+            new[1:] = np.any([rows[c][1:] != rows[c][:-1] for c in ("key", "i", "j")], axis=0)
+            cut = np.append(np.flatnonzero(new), len(new))
+            last = len(cut) - 1 if whole else len(cut) - 2
+            found = [pair for k in range(last) for pair in _held({c: v[cut[k] : cut[k + 1]] for c, v in rows.items()}, similarity)]
+            rest = {c: v[cut[last] :] for c, v in rows.items()}
+            a, b = (np.concatenate([pair[side] for pair in found] or [np.zeros(0, np.int64)]) for side in (0, 1))
+            return pd.DataFrame({"a": a, "b": b})
+
         for batch in batches:
-            rows = batch if rest is None else pd.concat([rest, batch])
-            unit = rows[["key", "i", "j"]]
-            last = (unit == unit.iloc[-1]).all(axis=1).to_numpy()
-            rest = rows[last]
-            for _, group in rows[~last].groupby(["key", "i", "j"], sort=False):
-                yield pairs(group)
-        if rest is not None and len(rest):
-            yield pairs(rest)
+            if len(batch):
+                rows = {c: np.stack(batch[c]) if c == "sketch" else batch[c].to_numpy() for c in batch.columns}
+                yield held({c: np.concatenate([rest[c], v]) for c, v in rows.items()} if rest else rows, False)
+        if rest:
+            yield held(rest, True)
 
-    return strays.unionByName(others).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(run, "a long, b long").distinct()
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(run, "a long, b long").distinct()
 
 
 def grouped(docs: DataFrame, k: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
@@ -223,23 +266,16 @@ def grouped(docs: DataFrame, k: int = SHINGLE, similarity: int = SIMILARITY) ->
     right = info.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     stars = buckets.filter("sid != centre").select(F.col("centre").alias("a"), F.col("sid").alias("b")).distinct()
     sifted = stars.join(right, "b").join(left, "a").filter(_sizes_fit(F.col("na"), F.col("nb"), similarity) & (estimate(F.col("sa"), F.col("sb")) >= SIEVE))
-    tested = stored(sifted.select("a", "b"), "tested")
     wanted = buckets.select("sid").distinct().join(classes.select("sid", "doc_id"), "sid")
     sets = stored(full_sets(base, wanted, k), "sets")
-    links = stored(confirmed(tested, sets, similarity), "links")
+    links = stored(confirmed(sifted.select("a", "b"), sets, similarity), "links")
     labels = stored(_labels(links), "labels")
-    for tries in TRIES:
-        known = buckets.join(labels, "sid", "left").select("key", "sid", F.coalesce("label", "sid").alias("label"))
-        open_keys = known.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l != h").select("key")
-        members = known.join(open_keys, "key").join(info, "sid")
-        fresh = stored(_blocks(members, tries, similarity).join(tested, ["a", "b"], "left_anti"), "fresh")
-        if fresh.isEmpty():
-            break
-        found = stored(confirmed(fresh, sets, similarity), "found")
-        tested = tested.unionByName(fresh)
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            labels = stored(_labels(links), "labels")
+    known = buckets.join(labels, "sid", "left").select("key", "sid", F.coalesce("label", "sid").alias("label"))
+    open_keys = known.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l != h").select("key")
+    members = known.join(open_keys, "key").join(info, "sid").join(sets, "sid")
+    more = stored(_blocks(members, similarity), "more")
+    if not more.isEmpty():
+        labels = _labels(links.unionByName(more))
     ids = classes.select("sid", "doc_id").join(labels, "sid")
     named = ids.join(ids.groupBy("label").agg(F.min("doc_id").alias("component_id")), "label").select("sid", "component_id")
     alone = classes.join(named, "sid", "left").select("sid", F.coalesce("component_id", "doc_id").alias("component_id"))
