@@ -218,15 +218,16 @@ def _(fx):
     return rows.join(places, "cell_id").select(F.col("cell_id").alias("id"), F.col("place").alias("cell_id"), r6(F.col("probability"), "probability"), "risk_class", "role")
 
 
-@query("ml11_feature_parity", "select count(*) as n, 0::bigint as differing from fx_static")
+@query("ml11_feature_parity", "select cell_id, " + ", ".join(f"cast(coalesce({f}, 0) as double) as {f}" for f in FACTORS) + ", true as same from fx_static")
 def _(fx):
     s = fx["fx_static"]
     names = [f"static.{f}" for f in FACTORS]
     nested = s.select("cell_id", F.struct(*FACTORS).alias("static"))
-    train = nested.select("cell_id", F.hash(*L.feature_row(nested, names)).alias("a"))
+    train = nested.select("cell_id", F.struct(*L.feature_row(nested, names)).alias("a"))
     flat = s.select("cell_id", *[F.col(f).alias(f"static__{f}") for f in FACTORS])
-    serve = flat.select("cell_id", F.hash(*L.feature_row(flat, names)).alias("b"))
-    return train.join(serve, "cell_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("a") != F.col("b")).alias("differing"))
+    serve = flat.select("cell_id", F.struct(*L.feature_row(flat, names)).alias("b"))
+    values = [F.col(f"b.static__{f}").cast("double").alias(f) for f in FACTORS]
+    return train.join(serve, "cell_id").select("cell_id", *values, (F.col("a") == F.col("b")).alias("same"))
 
 
 @query("fn25_flat_features", "select cell_id, coalesce(susc_ispra, 0) as static__susc_ispra, 0::double as static__twi, coalesce(litho_weight, 0) as static__litho_weight from fx_static")

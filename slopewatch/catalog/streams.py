@@ -99,14 +99,14 @@ def _(fx):
     )
 
 
-@query("str7_motion_after_batch", f"with h as ({HOURLY}), p as (select *, last_value(velocity_mmd ignore nulls) over (partition by device_id order by bucket rows between unbounded preceding and 1 preceding) as pv from h) select cast(device_id as varchar) as device_id, epoch_us(bucket) as bucket_us, pv is not null as has_previous, velocity_mmd is not null as has_velocity from p")
+@query("str7_motion_after_batch", f"with h as ({HOURLY}), p as (select *, last_value(velocity_mmd ignore nulls) over (partition by device_id order by bucket rows between unbounded preceding and 1 preceding) as pv from h) select cast(device_id as varchar) as device_id, epoch_us(bucket) as bucket_us, round(coalesce(pv, -1), 6) as prev_velocity, round(coalesce(velocity_mmd, -1), 6) as velocity_mmd from p")
 def _(fx):
     from slopewatch.operators.sensors import with_motion
 
     obs = observation_stream(fx).withColumn("quality", F.lit("ok"))
     h = I.drain_latest(I.windowed_rollup(obs), "motion", ["device_id", "bucket"])
     m = with_motion(h, "device_id")
-    return m.select("device_id", B.epoch_us("bucket").alias("bucket_us"), F.col("prev_velocity").isNotNull().alias("has_previous"), F.col("velocity_mmd").isNotNull().alias("has_velocity"))
+    return m.select("device_id", B.epoch_us("bucket").alias("bucket_us"), *[r6(F.coalesce(c, F.lit(-1.0)), c) for c in ("prev_velocity", "velocity_mmd")])
 
 
 def greedy(source: str, key: str, hours: int) -> str:

@@ -220,12 +220,13 @@ def _(fx):
     return seg.groupBy(F.col("class").cast("bigint").alias("c")).agg(F.count(F.lit(1)).alias("segments"), r6(F.sum("x1"), "sx"))
 
 
-@query("src20_scatterers", "select count(*) as n, count(case when event_id % 3 <> 0 then 1 end) as with_accel, round(sum(value), 4) as v from events where event_id % 5 <> 0")
+@query("src20_scatterers", "select cast(coalesce(case when event_id % 3 <> 0 then event_id % 10 end, -1) as double) as accel, count(*) as n, round(sum(value), 4) as v from events where event_id % 5 <> 0 group by 1")
 def _(fx):
     e = F.col("event_id")
     props = [F.when(e % 5 == 0, "bad").otherwise(F.col("value").cast("string")).alias("velocity_mmy"), F.when(e % 3 != 0, e % 10).alias("acceleration")]
     rows = fx["events"].select(feature(props, point(F.lit(10.5), F.lit(38.5))).alias("feature"))
-    return SF.scatterers(rows).agg(F.count(F.lit(1)).alias("n"), F.count("accel_mmy2").alias("with_accel"), F.round(F.sum("velocity_mmy"), 4).alias("v"))
+    accel = F.coalesce("accel_mmy2", F.lit(-1.0)).alias("accel")
+    return SF.scatterers(rows).groupBy(accel).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("velocity_mmy"), 4).alias("v"))
 
 
 @query("src21_radar_pixels", "select event_id, mm_h from fx_radar where mm_h > -9999")
@@ -344,11 +345,11 @@ def _(fx):
     return joined.select(F.lit(True).alias("has_zones"), (F.col("signature") == F.col("_b")).alias("stable"))
 
 
-@query("snk11_feature_lines", "select count(*) as n, cast(sum(geom_id) as bigint) as ids from fx_hazard where hazard_class <> 'UNKNOWN'")
+@query("snk11_feature_lines", "select cast(geom_id as bigint) as id from fx_hazard where hazard_class <> 'UNKNOWN'")
 def _(fx):
     df = fx["fx_hazard"].join(rings(fx), "geom_id")
     lines = K.export_hazard_features(df, K.ring_geometry(F.col("xs"), F.col("ys")))
-    return lines.agg(F.count(F.lit(1)).alias("n"), F.sum(F.get_json_object("value", "$.id").cast("bigint")).alias("ids"))
+    return lines.select(F.get_json_object("value", "$.id").cast("bigint").alias("id"))
 
 
 @query("snk12_zone_collections", f"select count(*) as cells from {STATE} s where {HIGH}")
