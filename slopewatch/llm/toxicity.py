@@ -13,7 +13,8 @@ from slopewatch.llm.texts import Texts, bounded_sample, map_texts, record, store
 
 LEARN_DOCS = 2500  # labelled documents of each class in the index, at most (about)
 TERMS = 512  # vocabulary: the terms most dependent on the label, at most
-MIN_DOCS, MIN_CHI2 = 4, 20.0  # a term's documents among the examples, and its dependence on the label
+MIN_DOCS = 4  # examples that hold a term
+MIN_CHI2, MIN_SHARE = 20.0, 0.01  # a term's dependence on the label: beyond chance, and for this share of all examples (chi-square by their number)
 BEGINNINGS = (4, 5, 6, 7, 8)  # bytes of a word's beginning that are terms of their own
 LEVELS = 3
 NEIGHBOURS = 16
@@ -178,7 +179,7 @@ def learned(docs: DataFrame, labels: DataFrame, most: int = LEARN_DOCS) -> Index
     a, d = F.col("pos").cast("double"), F.col("docs").cast("double")
     gap = a * n - d * pos
     chi2 = gap * gap * n / F.nullif(d * (n - d) * F.lit(float(pos)) * F.lit(float(n - pos)), F.lit(0.0))
-    chosen = counts.withColumn("chi2", chi2).filter(f"docs >= {MIN_DOCS} and chi2 >= {MIN_CHI2}").orderBy(F.desc("chi2"), "term").limit(TERMS)
+    chosen = counts.withColumn("chi2", chi2).filter((d >= MIN_DOCS) & (F.col("chi2") >= max(MIN_CHI2, MIN_SHARE * n))).orderBy(F.desc("chi2"), "term").limit(TERMS)
     vocabulary = Vocabulary.of(np.array([r["term"] for r in chosen.select("term").collect()], np.int64).view(np.uint64))
     size = vocabulary.size
 
