@@ -239,3 +239,13 @@ def test_licences(spark):
     assert (got[2]["n_base"], got[2]["first_word"], got[2]["last_word"], got[2]["base_labels"]) == (3, 0, 4, "cc-by,reserved")
     assert got[3]["labels"] == "" and got[3]["score"] == 0.0 and got[3]["first_word"] is None
     assert got[4]["labels"] == "mit" and got[5]["labels"] == "apache-2.0" and got[6]["labels"] == "" and got[7]["labels"] == "gpl,gpl-3.0"
+
+
+def test_one_file_with_every_notice(spark):
+    file = "\n".join(f"{prose(12)}\n{notice}." for _, notice, _ in licences.TEMPLATES)
+    got = licences.scanned(spark.createDataFrame([(1, file), (2, prose(300))], "doc_id long, text string")).filter("doc_id = 1").first()
+    start, first = 12, {}
+    for label, notice, _ in licences.TEMPLATES:
+        first.setdefault(label, start)
+        start += len(notice.split()) + 12
+    assert {x["label"]: (x["first_word"], x["score"]) for x in got["notices"]} == {label: (at, 1.0) for label, at in first.items()}
