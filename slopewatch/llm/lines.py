@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from slopewatch.llm.texts import SPACE, Texts, Words, _powers, map_texts, mix, record, stored, symbol_table, unused
 
-MIN_WORDS = 5  # shorter lines carry too little to be called copies
+MIN_WORDS = 5  # shorter lines carry too little to be called near copies
 _SYMBOLS = symbol_table(SPACE, lower=True)
 
 
@@ -72,8 +72,8 @@ def _long(h: np.ndarray, mask: np.ndarray | None = None) -> pa.Array:
     return pa.array(h.view(np.int64), mask=mask)
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, n_words, line, k0..k3) of every non-blank line; no keys below ``MIN_WORDS``."""
+def numbered(docs: DataFrame, exact: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, line_no, n_words, line, k0..k3) of every non-blank line; no keys below ``MIN_WORDS``, no hash of the line below ``exact`` words."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         lines = Lines(Texts.of_column(batch.column("text")))
@@ -81,7 +81,7 @@ def numbered(docs: DataFrame) -> DataFrame:
         keys = {f"k{i}": _long(k, short) for i, k in enumerate(lines.halves())}
         return record(
             doc_id=batch.column("doc_id").take(pa.array(lines.text)), line_no=pa.array(lines.number.astype(np.int32)), n_words=pa.array(lines.n.astype(np.int32)),
-            line=_long(lines.hashes(lines.first, lines.last), short), **keys,
+            line=_long(lines.hashes(lines.first, lines.last), lines.n < exact), **keys,
         )
 
     return map_texts(docs, work, "doc_id long, line_no int, n_words int, line long, k0 long, k1 long, k2 long, k3 long")
@@ -97,25 +97,26 @@ def _within_one(a: list[str], b: list[str]) -> bool:
     return p + q >= len(long) - 1
 
 
-def judged(docs: DataFrame) -> DataFrame:
+def judged(docs: DataFrame, exact: int = MIN_WORDS) -> DataFrame:
     """(doc_id, line_no, n_words, line, kept, copy_of_doc, copy_of_line, near_doc, near_line) of every non-blank line.
 
     The order of lines is (doc_id, line_no). A line of ``MIN_WORDS`` or more words
     is kept unless an earlier one has the same words (case of A-Z aside) or is one
-    word edit away; the earliest such is named. Shorter lines are kept, blank ones not
+    word edit away; the earliest such is named. A shorter line of ``exact`` or more words
+    is kept unless an earlier one has the same words; still shorter ones are kept, blank ones not
     listed. Of a line that occurs several times the first counts in near
     comparisons. Null ids come first; rows that repeat an id and line are alike and share their fate;
     null and empty texts have no lines; extra columns are ignored.
     """
     low = F.lit(-(1 << 63))
     base = docs.select(F.coalesce("doc_id", low).alias("doc_id"), "text")
-    lines = stored(numbered(base), "lines")
+    lines = stored(numbered(base, exact), "lines")
     order = F.struct("doc_id", "line_no")
     keys = [f"k{i}" for i in range(4)]
     different = stored(lines.filter("line is not null").groupBy("line").agg(F.min(order).alias("first"), *[F.first(k).alias(k) for k in keys]), "different")
 
     # lines that share a half with a different line
-    spread = different.select("line", F.explode(F.array_distinct(F.array(*keys))).alias("key"))
+    spread = different.filter("k0 is not null").select("line", F.explode(F.array_distinct(F.array(*keys))).alias("key"))
     common = spread.groupBy("key").agg(F.min("line").alias("a"), F.max("line").alias("b")).filter("a != b").select("key")
     survivors = spread.join(common, "key").select("line").distinct().join(different.select("line", "first"), "line")
     places = survivors.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("first.line_no", "line")).alias("wanted"))
@@ -171,10 +172,10 @@ def judged(docs: DataFrame) -> DataFrame:
 def cleaned(docs: DataFrame) -> DataFrame:
     """``docs`` without the lines that are not kept, in the same columns; ``n_chars``, if there, is counted anew.
 
-    Documents that lose every word are dropped, those that had none stay.
+    Lines of any length are compared exactly, so that nothing is left of a whole copy. Documents that lose every word are dropped, those that had none stay.
     """
     key, listed = unused("_id", docs), unused("_gone", docs)
-    dropped = judged(docs).filter("not kept").groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.struct("line_no", "line")).alias(listed))
+    dropped = judged(docs, exact=1).filter("not kept").groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.struct("line_no", "line")).alias(listed))
     names = docs.columns
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:

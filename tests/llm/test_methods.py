@@ -164,6 +164,13 @@ def test_lines_against_all_pairs(spark):
         assert got[key] == (len(w) < lines.MIN_WORDS or (first[w] == key and not near)), (key, w)
 
 
+def test_copies_with_short_lines_vanish(spark):
+    text = "one two three four five six\nthing.\n\nseven eight nine ten eleven\nHaanth."
+    rows = [(1, text), (2, text), (3, "Thing.\na line of its own here\nhaanth."), (4, "another thing.")]
+    got = {r["doc_id"]: r["text"] for r in lines.cleaned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: text, 3: "a line of its own here", 4: "another thing."}
+
+
 def test_quality_on_held_out_rows(spark):
     rows = [(i, prose(80) + "." if i % 3 else " ".join(w + "!!" for w in prose(60).upper().split()), i) for i in range(900)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n long")
