@@ -171,6 +171,12 @@ def test_copies_with_short_lines_vanish(spark):
     assert got == {1: text, 3: "a line of its own here", 4: "another thing."}
 
 
+def test_short_boilerplate_is_kept_once(spark):
+    rows = [(i, f"{prose(8)}\nAll rights reserved.\n{i}\nall  rights reserved.") for i in range(30)]
+    kept = {r["doc_id"]: r["text"].split("\n") for r in lines.cleaned(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert kept[0][1:] == ["All rights reserved.", "0"] and all(kept[i][1:] == [str(i)] for i in range(1, 30))
+
+
 def test_quality_on_held_out_rows(spark):
     rows = [(i, prose(80) + "." if i % 3 else " ".join(w + "!!" for w in prose(60).upper().split()), i) for i in range(900)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n long")
