@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from slopewatch.llm import covertree, langid, licences, lines, mixing, neardup, packing, quality, syncmers, toxicity
+from slopewatch.llm import covertree, langid, licences, lines, mixing, neardup, packing, periodic, quality, syncmers, toxicity
 from slopewatch.llm.texts import held_out, table
 
 
@@ -64,11 +66,32 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scanned(table(spark, sf_dir, "documents"))
 
 
+def repeated_words(doc_id: int | None, n: int) -> np.ndarray | None:
+    """The contract's edit of one document in ten by its id: words from some place on repeat with a period."""
+    h = None if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if h is None or h % 10 or not n:
+        return None
+    g = h // 10
+    a = g % n
+    place = np.arange(n)
+    return np.where(place < a, place, a + (place - a) % (1 + (n - a) // (3 + g % 8)))
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = periodic.collapsed(table(spark, sf_dir, "documents"), repeated_words)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r.length.alias("l"), (-r.start).alias("s"), (-r.period).alias("p"))))
+    lines = F.concat_ws("", F.transform("runs", lambda r: F.concat_ws(",", r.start, r.length, F.concat(r.period.cast("string"), F.lit("\n")))))
+    return got.withColumn("_best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("_best.s")).alias("start"), F.col("_best.l").alias("length"), (-F.col("_best.p")).alias("period"),
+        F.expr("1000 * _best.l div -_best.p").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2(F.col("collapsed"), 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_language": op1_language, "op2_packing": op2_packing, "op3_fingerprints": op3_fingerprints, "op4_mixing": op4_mixing, "op5_lines": op5_lines, "op6_quality": op6_quality,
             "op7_toxicity": op7_toxicity,
-            "op8_vector_duplicates": op8_vector_duplicates, "op9_near_duplicates": op9_near_duplicates, "op10_licences": op10_licences, "pipeline": corpus_pipeline.run}
+            "op8_vector_duplicates": op8_vector_duplicates, "op9_near_duplicates": op9_near_duplicates, "op10_licences": op10_licences, "op13_runs": op13_runs, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mixing.SQL, "op5_lines": lines.SQL, "op8_vector_duplicates": covertree.SQL, "op9_near_duplicates": neardup.SQL}
+    return {"op4_mixing": mixing.SQL, "op5_lines": lines.SQL, "op8_vector_duplicates": covertree.SQL, "op9_near_duplicates": neardup.SQL, "op13_runs": periodic.SQL}

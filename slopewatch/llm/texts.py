@@ -141,6 +141,51 @@ class Words:
         return mix(h[keep] + np.minimum(n[text[keep]], k).astype(np.uint64)), text[keep]
 
 
+def split_words(texts: Texts, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, starts, ends, bounds) of ``Texts.words``, with working memory for ``SLICE_BYTES`` however long a text is.
+
+    The bytes are read in steps; a word across two steps gets the hash of its parts.
+    """
+    data, n = texts.data, len(texts.data)
+    cuts = np.zeros(n + 1, bool)  # texts begin or end here
+    cuts[texts.bounds] = True
+    sums: list[np.ndarray] = []
+    opens: list[np.ndarray] = []
+    closes: list[np.ndarray] = []
+    for at in range(0, n, SLICE_BYTES):
+        to = min(at + SLICE_BYTES, n)
+        value = table[data[at:to]]
+        inside = np.empty(to - at + 2, bool)  # with the bytes before and after
+        inside[1:-1] = value != 0
+        inside[0] = at > 0 and table[data[at - 1]] != 0
+        inside[-1] = to < n and table[data[to]] != 0
+        cut = cuts[at : to + 1]
+        first = np.flatnonzero(inside[1:-1] & (~inside[:-2] | cut[:-1]))
+        last = np.flatnonzero(inside[1:-1] & (~inside[2:] | cut[1:])) + 1
+        power, inverse = _powers(SLICE_BYTES + 1)
+        value *= power[: len(value)]
+        total = np.zeros(len(value) + 1, np.uint64)
+        np.cumsum(value, out=total[1:])
+        begun = bool(inside[0] and inside[1] and not cut[0])  # a word goes on from the step before
+        if begun:
+            first = np.r_[0, first]
+        going = len(first) > len(last)  # a word goes on in the next step
+        part = (total[np.r_[last, len(value)] if going else last] - total[first]) * inverse[first]
+        if begun:
+            length = at - opens[-1][-1] if len(opens[-1]) else 0
+            sums[-1][-1:] += part[:1] * np.uint64(pow(_P, int(length), 1 << 64))
+            first, part = first[1:], part[1:]
+        sums.append(part)
+        opens.append(first + at)
+        closes.append(last + at)
+        while len(opens) > 1 and not len(opens[-1]):  # all of this step belongs to an earlier word
+            opens.pop(), sums.pop()
+    if not sums:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
+    starts, ends = np.concatenate(opens), np.concatenate(closes)
+    return mix(np.concatenate(sums)), starts, ends, np.searchsorted(starts, texts.bounds)
+
+
 def held_out(doc_id: Column, parts: int, rest: int) -> Column:
     """Is the document kept out of learning? Checksum of the id as text, modulo ``parts``; a null id is not."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == rest, F.lit(False))
