@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from slopewatch.llm import covertree, langid, licences, lines, mixing, neardup, packing, periodic, quality, syncmers, toxicity
+from slopewatch.llm import covertree, langid, licences, lines, mixing, neardup, packing, periodic, phrases, quality, syncmers, toxicity
 from slopewatch.llm.texts import held_out, table
 
 
@@ -66,6 +66,10 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scanned(table(spark, sf_dir, "documents"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def repeated_words(doc_id: int | None, n: int) -> np.ndarray | None:
     """The contract's edit of one document in ten by its id: words from some place on repeat with a period."""
     h = None if doc_id is None else zlib.crc32(str(doc_id).encode())
@@ -90,8 +94,10 @@ def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_language": op1_language, "op2_packing": op2_packing, "op3_fingerprints": op3_fingerprints, "op4_mixing": op4_mixing, "op5_lines": op5_lines, "op6_quality": op6_quality,
             "op7_toxicity": op7_toxicity,
-            "op8_vector_duplicates": op8_vector_duplicates, "op9_near_duplicates": op9_near_duplicates, "op10_licences": op10_licences, "op13_runs": op13_runs, "pipeline": corpus_pipeline.run}
+            "op8_vector_duplicates": op8_vector_duplicates, "op9_near_duplicates": op9_near_duplicates, "op10_licences": op10_licences, "op11_phrases": op11_phrases,
+            "op13_runs": op13_runs, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mixing.SQL, "op5_lines": lines.SQL, "op8_vector_duplicates": covertree.SQL, "op9_near_duplicates": neardup.SQL, "op13_runs": periodic.SQL}
+    return {"op4_mixing": mixing.SQL, "op5_lines": lines.SQL, "op8_vector_duplicates": covertree.SQL, "op9_near_duplicates": neardup.SQL, "op11_phrases": phrases.SQL,
+            "op13_runs": periodic.SQL}
