@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from slopewatch.llm import covertree, langid, licences, lines, mixing, neardup, packing, periodic, phrases, quality, syncmers, toxicity
+from slopewatch.llm import automaton, covertree, langid, licences, lines, mixing, neardup, packing, periodic, phrases, quality, syncmers, toxicity
 from slopewatch.llm.texts import held_out, table
 
 
@@ -70,6 +70,13 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = automaton.encoded(table(spark, sf_dir, "documents"), spelled=True)
+    return got.select(
+        "doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2(F.col("ids"), 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256")
+    )
+
+
 def repeated_words(doc_id: int | None, n: int) -> np.ndarray | None:
     """The contract's edit of one document in ten by its id: words from some place on repeat with a period."""
     h = None if doc_id is None else zlib.crc32(str(doc_id).encode())
@@ -95,7 +102,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_language": op1_language, "op2_packing": op2_packing, "op3_fingerprints": op3_fingerprints, "op4_mixing": op4_mixing, "op5_lines": op5_lines, "op6_quality": op6_quality,
             "op7_toxicity": op7_toxicity,
             "op8_vector_duplicates": op8_vector_duplicates, "op9_near_duplicates": op9_near_duplicates, "op10_licences": op10_licences, "op11_phrases": op11_phrases,
-            "op13_runs": op13_runs, "pipeline": corpus_pipeline.run}
+            "op12_tokens": op12_tokens, "op13_runs": op13_runs, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
