@@ -15,6 +15,7 @@ LONGEST = 4  # words of a candidate
 TOP = 2000  # phrases returned per language
 SCALE = 2_000_000
 MOST_NODES = 4_000_000  # words or phrases that one broadcast holds; more go round in parts
+ROW_IDS = 1 << 16  # ids in a stored row, about
 SALTS = 64  # parts of a language that are ranked on their own first
 NO_WORD = -1  # a rare word or the end of a piece
 
@@ -103,7 +104,7 @@ def _marked(batch: pa.RecordBatch, keys: np.ndarray, first: int) -> pa.RecordBat
 
 
 def _runs(batch: pa.RecordBatch, keys: np.ndarray, first: int) -> pa.RecordBatch | None:
-    """Ids of neighbouring frequent words, two and more, each run followed by ``NO_WORD``; one row for all texts."""
+    """Ids of neighbouring frequent words, two and more, each run followed by ``NO_WORD``; rows of about ``ROW_IDS``."""
     stretch = Stretch(batch)
     ids = _ids(batch, stretch, keys, first)
     known = ids >= 0
@@ -116,7 +117,9 @@ def _runs(batch: pa.RecordBatch, keys: np.ndarray, first: int) -> pa.RecordBatch
     place = np.cumsum(kept) + np.cumsum(ends) - ends
     out = np.full(int(kept.sum() + ends.sum()), NO_WORD, np.int32)
     out[place[kept] - 1] = ids[kept]
-    return record(ids=pa.array([out.tobytes()], pa.binary()))
+    after = np.flatnonzero(out == NO_WORD) + 1  # rows end with runs
+    cuts = np.unique(np.r_[0, after[np.minimum(np.searchsorted(after, np.arange(ROW_IDS, len(out), ROW_IDS)), len(after) - 1)], len(out)])
+    return record(ids=pa.array([out[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()))
 
 
 def streams(docs: DataFrame, words: DataFrame, most: int) -> DataFrame:
@@ -128,31 +131,37 @@ def streams(docs: DataFrame, words: DataFrame, most: int) -> DataFrame:
     spark, n = docs.sparkSession, words.count()
     rows = docs.withColumn("ids", F.lit(None).cast("binary"))
     for part, first in enumerate(range(0, max(n, 1), most)):
-        own = words.filter((F.col("id") >= first) & (F.col("id") < first + most)).select("id", "key").toArrow().sort_by("id")
-        keys = spark.sparkContext.broadcast(own.column("key").to_numpy())
+        own = words.filter((F.col("id") >= first) & (F.col("id") < first + most)).select("key").toArrow().column("key").to_numpy()
+        keys = spark.sparkContext.broadcast(np.sort(own))  # ids go by key
         if first + most < n:
             rows = stored(map_texts(rows, lambda b, keys=keys, first=first: _marked(b, keys.value, first), "text string, lang string, ids binary"), f"marked-{part}")
         else:
             rows = stored(map_texts(rows, lambda b, keys=keys, first=first: _runs(b, keys.value, first), "ids binary"), "streams")
+        keys.destroy()
     return rows
 
 
-def trie_of(words: int, phrases: list[np.ndarray]) -> DoubleArray:
-    """Trie of all single words 0 to ``words`` - 1 and of the rows of ``phrases[j]``, of ``j + 2`` words each.
+class Phrases:
+    """Double-array trie of phrases; a word is two symbols, the halves of its id, so that symbols stay few."""
 
-    Each phrase's beginning is in the level before it.
-    """
-    trie = DoubleArray()
-    trie.add(np.full(words, ROOT), np.arange(words))
-    for rows in phrases:
-        state = np.full(len(rows), ROOT, np.int32)
-        for j in range(rows.shape[1] - 1):
-            state = trie.step(state, rows[:, j])
-        trie.add(state, rows[:, -1])
-    return trie
+    def __init__(self, words: int, levels: list[np.ndarray]) -> None:
+        """All single words 0 to ``words`` - 1 and the rows of ``levels[j]``, of ``j + 2`` words, whose beginnings are in the level before."""
+        self.bits = (max(words - 1, 1).bit_length() + 1) // 2
+        self.trie = DoubleArray()
+        for rows in [np.arange(words)[:, None], *levels]:
+            state = np.full(len(rows), ROOT, np.int32)
+            for j in range(rows.shape[1] - 1):
+                state = self.step(state, rows[:, j])
+            half, of = np.unique(np.stack([state, rows[:, -1] >> self.bits], axis=1), axis=0, return_inverse=True)
+            middle = self.trie.add(half[:, 0], half[:, 1])
+            self.trie.add(middle[of.ravel()], rows[:, -1] & ((1 << self.bits) - 1))
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """States after one more word, ``DEAD`` where no phrase goes on so."""
+        return self.trie.step(self.trie.step(state, word >> self.bits), word & ((1 << self.bits) - 1))
 
 
-def extensions(ids: np.ndarray, trie: DoubleArray, k: int, part: int = 0, parts: int = 1) -> tuple[np.ndarray, np.ndarray]:
+def extensions(ids: np.ndarray, trie: Phrases, k: int, part: int = 0, parts: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Phrases of ``k`` words whose first and last ``k - 1`` words are in the trie, one a row, and how often each occurs.
 
     The states of all positions move at once, word by word; a position whose state
@@ -195,26 +204,25 @@ def counted_phrases(rows: DataFrame, words: int, least: int, most: int, longest:
             sizes.append(0)
             continue
         parts = max(1, -(-sum(sizes) // most))
-        found = []
+        table = None
         for part in range(parts):
             own = [t.filter(F.pmod(F.col("w1"), F.lit(parts)) == part).select(*_columns(j + 2)).toArrow() for j, t in enumerate(levels)]
-            trie = trie_of(words, [np.stack([c.to_numpy() for c in t.columns], axis=1) for t in own])
-            shared = spark.sparkContext.broadcast(trie)
+            shared = spark.sparkContext.broadcast(Phrases(words, [np.stack([c.to_numpy() for c in t.columns], axis=1) for t in own]))
 
             def work(batches, shared=shared, k=k, part=part, parts=parts):
                 for batch in batches:
-                    for raw in batch.column("ids"):
-                        phrases, n = extensions(np.frombuffer(raw.as_buffer(), np.int32), shared.value, k, part, parts)
-                        if len(n):
-                            yield record(**{c: phrases[:, j] for j, c in enumerate(_columns(k))}, n=n.astype(np.int64))
+                    raw = batch.column("ids")
+                    at = np.frombuffer(raw.buffers()[1], np.int32)[[raw.offset, raw.offset + len(raw)]]
+                    phrases, n = extensions(np.frombuffer(raw.buffers()[2], np.uint8)[at[0] : at[1]].view(np.int32), shared.value, k, part, parts)
+                    yield record(**{c: phrases[:, j] for j, c in enumerate(_columns(k))}, n=n.astype(np.int64))
 
             schema = ", ".join(f"{c} int" for c in _columns(k)) + ", n long"
-            found.append(rows.mapInArrow(work, schema).groupBy(*_columns(k)).agg(F.sum("n").alias("n")).filter(F.col("n") >= least))
-        table = found[0]
-        for more in found[1:]:
-            table = table.unionByName(more)
-        levels.append(stored(table, f"phrases-{k}"))
-        sizes.append(levels[-1].count())
+            found = rows.mapInArrow(work, schema).groupBy(*_columns(k)).agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+            found = stored(found, f"phrases-{k}")
+            shared.destroy()
+            table = found if table is None else table.unionByName(found)
+        levels.append(table)
+        sizes.append(table.count())
     return levels
 
 

@@ -243,7 +243,7 @@ def record(**columns: object) -> pa.RecordBatch:
 def ready(spark: SparkSession) -> SparkSession:
     """Session settings of the corpus operators: the library's, and Arrow batches bounded in bytes."""
     prepare(spark)
-    for key, value in (("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20)), ("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")):
+    for key, value in (("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20)), ("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")):
         if spark.conf.isModifiable(key):
             spark.conf.set(key, value)
     return spark

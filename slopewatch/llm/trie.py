@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 DEAD, ROOT = 0, 1
-_TRIES = 64  # places tried for a node's children before the arrays grow
+_TRIES = 40  # places tried for a node's children before they go to the end
 
 
 class DoubleArray:
@@ -26,11 +26,16 @@ class DoubleArray:
             self.check = np.concatenate([self.check, np.full(more, -1, np.int32)])
             self._free = np.concatenate([self._free, np.ones(more, bool)])
 
+    def __getstate__(self) -> dict:
+        return {"base": self.base, "check": self.check}  # to be walked only
+
     def add(self, parent: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         """Slots of new children, in the order given. A parent gets all of its children in one call, each once.
 
         Parents with many children are placed first, by trying places of a fixed
-        sequence; those with one child take the remaining free slots in order.
+        sequence and else behind everything; those with one child take the remaining
+        free slots in order. Symbols should be below some thousands: children lie
+        as far apart as their symbols.
         """
         slots = np.zeros(len(parent), np.int32)
         if not len(parent):
@@ -38,21 +43,22 @@ class DoubleArray:
         order = np.lexsort((symbol, parent))
         heads = np.flatnonzero(np.r_[True, parent[order][1:] != parent[order][:-1]])
         many = np.diff(np.r_[heads, len(order)])
-        self._grow(2 * int((~self._free).sum() + len(parent)) + int(symbol.max()) + 4)
-        seed = 1
+        self._grow(int((~self._free).sum() + 5 * len(parent) // 4) + int(symbol.max()) + 4)
+        seed, used = 1, int(np.flatnonzero(~self._free)[-1]) + 1
         for g in np.argsort(-many, kind="stable")[: int((many > 1).sum())]:
             at = order[heads[g] : heads[g] + many[g]]
             c = symbol[at].astype(np.int64)
-            tried = 0
-            while True:
+            span = int(c[-1] - c[0]) + 1
+            for _ in range(_TRIES):
                 seed = (seed * 6364136223846793005 + 1442695040888963407) % (1 << 64)
-                room = len(self.base) - 2 - int(c[-1] - c[0])
-                places = c - c[0] + 2 + (seed >> 20) % max(room - 2, 1)
-                tried += 1
-                if room > 2 and self._free[places].all():
+                places = c - c[0] + 2 + (seed >> 20) % max(len(self.base) - 3 - span, 1)
+                if places[-1] < len(self.base) - 1 and self._free[places].all():
                     break
-                if tried % _TRIES == 0:
-                    self._grow(len(self.base) + max(len(self.base) // 2, int(c[-1] - c[0]) + 4))
+            else:
+                if used + span >= len(self.base):
+                    self._grow(used + span + len(self.base) // 4 + 1)
+                places = c - c[0] + used
+            used = max(used, int(places[-1]) + 1)
             self._put(parent[at[0]], at, places, c, slots)
         alone = order[heads[many == 1]]
         if len(alone):
