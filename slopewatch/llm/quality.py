@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slopewatch.llm.texts import SPACE, Texts, bounded_sample, map_texts, mix, record, segment_sums, symbol_table
+from slopewatch.llm.texts import SPACE, Texts, bounded_sample, map_texts, mix, record, segment_sums, slices, symbol_table
 
 BITS = 18  # hashed features
 LEARN_DOCS = 6000  # labelled documents of each class learned from, at most (about)
@@ -72,7 +72,7 @@ class Leader:
 
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows: list[tuple[np.ndarray, np.ndarray, int]] = []
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole)):
         index, bounds = features(Texts.of_column(batch.column("text")))
         for i, y in enumerate(batch.column("y").to_pylist()):
             at, count = np.unique(index[bounds[i] : bounds[i + 1]], return_counts=True)

@@ -7,7 +7,7 @@ import re
 
 from tokenizers import Tokenizer
 
-KEPT = 250_000  # pieces of text whose ids a process remembers
+KEPT = 100_000  # pieces of text whose ids a process remembers
 _LATIN = "a-zß-öø-ÿ"
 #: Text that the vocabulary's rules split into runs of letters, single digits and runs of marks, without contractions.
 _PLAIN = re.compile(rf"[{_LATIN}À-ÖØ-Þ0-9!-&(-/:-@\[-`{{-~]+")
