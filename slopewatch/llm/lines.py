@@ -72,8 +72,8 @@ def _long(h: np.ndarray, mask: np.ndarray | None = None) -> pa.Array:
     return pa.array(h.view(np.int64), mask=mask)
 
 
-def numbered(docs: DataFrame, exact: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, line_no, n_words, line, k0..k3) of every non-blank line; no keys below ``MIN_WORDS``, no hash of the line below ``exact`` words."""
+def numbered(docs: DataFrame) -> DataFrame:
+    """(doc_id, line_no, n_words, line, k0..k3) of every non-blank line; no keys below ``MIN_WORDS``."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         lines = Lines(Texts.of_column(batch.column("text")))
@@ -81,7 +81,7 @@ def numbered(docs: DataFrame, exact: int = MIN_WORDS) -> DataFrame:
         keys = {f"k{i}": _long(k, short) for i, k in enumerate(lines.halves())}
         return record(
             doc_id=batch.column("doc_id").take(pa.array(lines.text)), line_no=pa.array(lines.number.astype(np.int32)), n_words=pa.array(lines.n.astype(np.int32)),
-            line=_long(lines.hashes(lines.first, lines.last), lines.n < exact), **keys,
+            line=_long(lines.hashes(lines.first, lines.last)), **keys,
         )
 
     return map_texts(docs, work, "doc_id long, line_no int, n_words int, line long, k0 long, k1 long, k2 long, k3 long")
@@ -97,23 +97,22 @@ def _within_one(a: list[str], b: list[str]) -> bool:
     return p + q >= len(long) - 1
 
 
-def judged(docs: DataFrame, exact: int = MIN_WORDS) -> DataFrame:
+def judged(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, n_words, line, kept, copy_of_doc, copy_of_line, near_doc, near_line) of every non-blank line.
 
     The order of lines is (doc_id, line_no). A line of ``MIN_WORDS`` or more words
     is kept unless an earlier one has the same words (case of A-Z aside) or is one
-    word edit away; the earliest such is named. A shorter line of ``exact`` or more words
-    is kept unless an earlier one has the same words; still shorter ones are kept, blank ones not
-    listed. Of a line that occurs several times the first counts in near
+    word edit away; the earliest such is named. A shorter line is kept unless an
+    earlier one has the same words; blank ones are not listed. Of a line that occurs several times the first counts in near
     comparisons. Null ids come first; rows that repeat an id and line are alike and share their fate;
     null and empty texts have no lines; extra columns are ignored.
     """
     low = F.lit(-(1 << 63))
     base = docs.select(F.coalesce("doc_id", low).alias("doc_id"), "text")
-    lines = stored(numbered(base, exact), "lines")
+    lines = stored(numbered(base), "lines")
     order = F.struct("doc_id", "line_no")
     keys = [f"k{i}" for i in range(4)]
-    different = stored(lines.filter("line is not null").groupBy("line").agg(F.min(order).alias("first"), *[F.first(k).alias(k) for k in keys]), "different")
+    different = stored(lines.groupBy("line").agg(F.min(order).alias("first"), *[F.first(k).alias(k) for k in keys]), "different")
 
     # lines that share a half with a different line
     spread = different.filter("k0 is not null").select("line", F.explode(F.array_distinct(F.array(*keys))).alias("key"))
@@ -164,7 +163,7 @@ def judged(docs: DataFrame, exact: int = MIN_WORDS) -> DataFrame:
     copy = F.col("first") != order
     real = lambda c: F.nullif(c, low)
     return out.select(
-        real(F.col("doc_id")).alias("doc_id"), "line_no", "n_words", "line", (F.col("line").isNull() | (~copy & F.col("near_line").isNull())).alias("kept"),
+        real(F.col("doc_id")).alias("doc_id"), "line_no", "n_words", "line", (~copy & F.col("near_line").isNull()).alias("kept"),
         real(F.when(copy, F.col("first.doc_id"))).alias("copy_of_doc"), F.when(copy, F.col("first.line_no")).alias("copy_of_line"), real(F.col("near_doc")).alias("near_doc"), "near_line",
     )
 
@@ -175,7 +174,7 @@ def cleaned(docs: DataFrame) -> DataFrame:
     Lines of any length are compared exactly, so that nothing is left of a whole copy. Documents that lose every word are dropped, those that had none stay.
     """
     key, listed = unused("_id", docs), unused("_gone", docs)
-    dropped = judged(docs, exact=1).filter("not kept").groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.struct("line_no", "line")).alias(listed))
+    dropped = judged(docs).filter("not kept").groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.struct("line_no", "line")).alias(listed))
     names = docs.columns
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -208,21 +207,23 @@ WITH l AS (
 ), lines AS (
   SELECT doc_id, line_no, CAST(len(w) AS INTEGER) AS n_words, md5(array_to_string(w, ' ')) AS line, w FROM w WHERE len(w) > 0
 ), different AS (
-  SELECT line, min({{'d': doc_id, 'l': line_no}}) AS first, any_value(w) AS w FROM lines WHERE n_words >= {MIN_WORDS} GROUP BY line
+  SELECT line, min({{'d': doc_id, 'l': line_no}}) AS first, any_value(w) AS w FROM lines GROUP BY line
+), long AS (
+  SELECT * FROM different WHERE len(w) >= {MIN_WORDS}
 ), v AS (
-  SELECT line, first, i, md5(array_to_string(w[1:i - 1] || w[i + 1:], ' ')) AS variant FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM different)
+  SELECT line, first, i, md5(array_to_string(w[1:i - 1] || w[i + 1:], ' ')) AS variant FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM long)
 ), met AS (
   SELECT variant, i, min(first) AS least FROM v GROUP BY variant, i
 ), near AS (
   SELECT line, min(least) AS near FROM (
     SELECT v.line, m.least FROM v JOIN met m ON v.variant = m.variant AND v.i = m.i WHERE m.least < v.first
-    UNION ALL SELECT v.line, d.first FROM v JOIN different d ON v.variant = d.line WHERE d.first < v.first
-    UNION ALL SELECT d.line, v.first FROM v JOIN different d ON v.variant = d.line WHERE v.first < d.first
+    UNION ALL SELECT v.line, d.first FROM v JOIN long d ON v.variant = d.line WHERE d.first < v.first
+    UNION ALL SELECT d.line, v.first FROM v JOIN long d ON v.variant = d.line WHERE v.first < d.first
   ) GROUP BY line
 )
-SELECT l.doc_id, l.line_no, l.n_words, l.n_words < {MIN_WORDS} OR (d.first.d = l.doc_id AND d.first.l = l.line_no AND n.near IS NULL) AS kept,
+SELECT l.doc_id, l.line_no, l.n_words, d.first.d = l.doc_id AND d.first.l = l.line_no AND n.near IS NULL AS kept,
   CAST(CASE WHEN d.first <> {{'d': l.doc_id, 'l': l.line_no}} THEN d.first.d ELSE -1 END AS BIGINT) AS copy_of_doc,
   CAST(CASE WHEN d.first <> {{'d': l.doc_id, 'l': l.line_no}} THEN d.first.l ELSE -1 END AS BIGINT) AS copy_of_line,
   coalesce(n.near.d, -1) AS near_doc, CAST(coalesce(n.near.l, -1) AS BIGINT) AS near_line
-FROM lines l LEFT JOIN different d ON l.line = d.line AND l.n_words >= {MIN_WORDS} LEFT JOIN near n ON n.line = d.line
+FROM lines l JOIN different d ON l.line = d.line LEFT JOIN near n ON n.line = d.line
 """

@@ -160,8 +160,8 @@ def test_lines_against_all_pairs(spark):
         return d[-1]
 
     for key, w in every:
-        near = any(len(v) >= lines.MIN_WORDS and k < first[w] and distance(v, w) <= 1 for v, k in first.items())
-        assert got[key] == (len(w) < lines.MIN_WORDS or (first[w] == key and not near)), (key, w)
+        near = len(w) >= lines.MIN_WORDS and any(len(v) >= lines.MIN_WORDS and k < first[w] and distance(v, w) <= 1 for v, k in first.items())
+        assert got[key] == (first[w] == key and not near), (key, w)
 
 
 def test_copies_with_short_lines_vanish(spark):
