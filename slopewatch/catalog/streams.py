@@ -12,7 +12,9 @@ from slopewatch.functions import basic as B
 from slopewatch.operators.rollup import latest_state
 from slopewatch.sources.features import radar_pixels
 from slopewatch.streaming import alerts as A
+from slopewatch.session import shared_path
 from slopewatch.streaming import ingest as I
+from slopewatch.streaming.late import USED, HourStore
 
 
 def table_stream(fx: Frames, name: str):
@@ -20,6 +22,19 @@ def table_stream(fx: Frames, name: str):
     return fx.spark.readStream.schema(fx[name].schema).option("pathGlobFilter", f"{name}.parquet").load(fx.sf_dir, format="parquet")
 
 
+def landed(fx: Frames, batches: int = 3):
+    """The observations as they arrive: three batches dealt by id, so that most rows of the later ones come days late."""
+    base = shared_path(fx.spark, "landed")
+    for b in range(batches):  # files are taken in the order of their times
+        fx["fx_obs"].filter(F.col("id") % batches == b).coalesce(1).write.parquet(f"{base}/b{b}")
+    rows = fx.spark.readStream.schema(fx["fx_obs"].schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(base)
+    return rows.withColumns({"device_id": F.col("device_id").cast("string"), "phenomenon_time": F.col("phenomenon_time").cast("timestamp"), "quality": F.lit("ok")})
+
+
+def hour_store(fx: Frames):
+    return HourStore(fx.spark, shared_path(fx.spark, "hours")).run(landed(fx))
+
+
 PROPERTY = {"view": "rainfall", "click": "pore_pressure", "purchase": "soil_moisture", "signup": "displacement", "error": "velocity"}
 
 
@@ -91,9 +106,7 @@ HOURLY = FEATURES.format(key="device_id", unit="hour", source="fx_obs", ok="")
 
 @query("str6_hourly_rollup", f"select cast(device_id as varchar) as device_id, epoch_us(bucket) as bucket_us, round(rainfall_mm, 4) as rainfall_mm, round(pore_pressure_kpa, 4) as pore_pressure_kpa, displacement_mm, sample_count, last_us from ({HOURLY}) h")
 def _(fx):
-    obs = observation_stream(fx).withColumn("quality", F.lit("ok"))
-    h = I.drain_latest(I.windowed_rollup(obs), "rollup", ["device_id", "bucket"])
-    return h.select(
+    return hour_store(fx).hours().select(
         "device_id", B.epoch_us("bucket").alias("bucket_us"), F.round("rainfall_mm", 4).alias("rainfall_mm"), F.round("pore_pressure_kpa", 4).alias("pore_pressure_kpa"),
         "displacement_mm", "sample_count", B.epoch_us("last_observation_at").alias("last_us"),
     )
@@ -103,9 +116,7 @@ def _(fx):
 def _(fx):
     from slopewatch.operators.sensors import with_motion
 
-    obs = observation_stream(fx).withColumn("quality", F.lit("ok"))
-    h = I.drain_latest(I.windowed_rollup(obs), "motion", ["device_id", "bucket"])
-    m = with_motion(h, "device_id")
+    m = with_motion(hour_store(fx).hours(), "device_id")
     return m.select("device_id", B.epoch_us("bucket").alias("bucket_us"), *[r6(F.coalesce(c, F.lit(-1.0)), c) for c in ("prev_velocity", "velocity_mmd")])
 
 
@@ -148,17 +159,21 @@ def _(fx):
 
 @query("str11_antecedent_windows", "with h as (select user_id, epoch_us(ts) as us, value from events where event_type = 'view') select cast(user_id as varchar) as series_id, (floor(us / 3600000000) + i) * 3600000000::bigint as as_of_us, round(sum(value), 4) as mm, count(*) as n from h, range(1, 25) r(i) group by all")
 def _(fx):
-    rain = observation_stream(fx).filter(F.col("observed_property") == "rainfall").select(F.col("device_id").alias("series_id"), F.col("phenomenon_time").alias("ts"), F.col("result_value").alias("mm"))
-    w = I.drain_latest(I.antecedent_windows(rain, 24), "antecedent", ["series_id", "as_of"])
-    return w.select("series_id", B.epoch_us("as_of").cast("double").alias("as_of_us"), F.round("mm", 4).alias("mm"), "n")
+    w = hour_store(fx).rain_windows(24)
+    return w.select(F.col("device_id").alias("series_id"), B.epoch_us("as_of").cast("double").alias("as_of_us"), F.round("mm", 4).alias("mm"), "n")
 
 
-@query("str12_late_recompute", f"select device_id, epoch_us(bucket) as bucket_us, sample_count from ({HOURLY}) h where exists (select 1 from fx_obs o where o.device_id = h.device_id and date_trunc('hour', o.phenomenon_time) = h.bucket and o.id % 50 = 0)")
+@query("str12_late_recompute", f"""select cast(device_id as varchar) as device_id, epoch_us(bucket) as bucket_us, sample_count, round(rainfall_mm, 4) as rainfall_mm, round(soil_moisture, 4) as soil_moisture,
+    displacement_mm, round(velocity_mmd, 4) as velocity_mmd, last_us from ({HOURLY}) h
+    where exists (select 1 from fx_obs o where o.device_id = h.device_id and date_trunc('hour', o.phenomenon_time) = h.bucket and o.id % 3 > 0 and o.observed_property <> 'velocity')""")
 def _(fx):
-    obs = fx["fx_obs"].withColumn("quality", F.lit("ok"))
-    late = obs.filter(F.col("id") % 50 == 0)
-    out = I.recompute_hours(obs, late)
-    return out.select("device_id", B.epoch_us("bucket").alias("bucket_us"), "sample_count")
+    # the hours that rows of the second and third batch reached
+    out = hour_store(fx).hours()
+    late = fx["fx_obs"].filter((F.col("id") % 3 > 0) & F.col("observed_property").isin(*USED)).select(F.col("device_id").cast("string").alias("device_id"), F.date_trunc("hour", "phenomenon_time").cast("timestamp").alias("bucket"))
+    return out.join(late, ["device_id", "bucket"], "left_semi").select(
+        "device_id", B.epoch_us("bucket").alias("bucket_us"), "sample_count", F.round("rainfall_mm", 4).alias("rainfall_mm"), F.round("soil_moisture", 4).alias("soil_moisture"),
+        "displacement_mm", F.round("velocity_mmd", 4).alias("velocity_mmd"), B.epoch_us("last_observation_at").alias("last_us"),
+    )
 
 
 @query("str13_latest_upkeep", f"select cell_id, id from {LATEST} l")

@@ -160,13 +160,13 @@ def stream_quality(obs: DataFrame, cfg: dict[str, Any] | None = None, ttl: str =
 
 
 def hourly_rollup(labelled: DataFrame, delay: str = "2 hours", keys: tuple[str, ...] = ("device_id",)) -> DataFrame:
-    """Tumbling hours on event time; rows behind the watermark go to ``recompute_hours``."""
+    """Tumbling hours on event time, without rows behind the watermark; ``late.HourStore`` keeps those."""
     w = labelled.withWatermark("phenomenon_time", delay)
     return hourly_features(w, F.window("phenomenon_time", "1 hour")["start"], keys)
 
 
 def windowed_rollup(labelled: DataFrame, delay: str = "2 hours", keys: tuple[str, ...] = ("device_id",)) -> DataFrame:
-    """Same aggregates with the window itself as grouping key, as append mode needs."""
+    """Same aggregates with the window itself as grouping key, as append mode needs; drops rows behind the watermark too."""
     prop, v = F.col("observed_property"), F.col("result_value")
     of = lambda name: F.when(prop == name, v)
     ok = labelled.filter((F.col("quality") == "ok") & prop.isin("rainfall", "pore_pressure", "soil_moisture", "displacement"))
@@ -181,7 +181,7 @@ def windowed_rollup(labelled: DataFrame, delay: str = "2 hours", keys: tuple[str
 
 
 def antecedent_windows(rain: DataFrame, hours: int = 72, delay: str = "2 hours") -> DataFrame:
-    """Sliding antecedent sums, one per full hour."""
+    """Sliding antecedent sums, one per full hour; rows behind the watermark are dropped (``late.HourStore.rain_windows`` keeps them)."""
     w = rain.withWatermark("ts", delay).groupBy("series_id", F.window("ts", f"{hours} hours", "1 hour").alias("w")).agg(F.sum("mm").alias("mm"), F.count(F.lit(1)).alias("n"))
     return w.select("series_id", F.col("w.end").alias("as_of"), "mm", "n")
 
