@@ -2,8 +2,8 @@
 
 Spark plans no spatial predicates, so candidates come from an equi-join on
 fixed-size tiles and the exact test is ordinary arithmetic afterwards.
-Polygons are edge tables (``geom_id, x1, y1, x2, y2``); edges are keyed by
-(geometry, latitude slab), which spreads even a very large polygon.
+Polygons are edge tables (``geom_id, x1, y1, x2, y2``), cut into pieces of few
+edges (``pieces.py``), so that even a very large one is many small tests.
 """
 
 from __future__ import annotations
@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 
 from slopewatch.functions.geo import (
     box_distance,
-    crosses_ray,
     haversine_m,
     segment_position,
     to_3035,
 )
+from slopewatch.operators.pieces import inside_pieces, piece_boxes, polygon_pieces
 from slopewatch.operators.relational import latest_per_key
 
 
@@ -68,7 +68,7 @@ def metric_areas(edges: DataFrame, geom_id: str = "geom_id") -> DataFrame:
 
 
 def edges_by_slab(edges: DataFrame, slab: float) -> DataFrame:
-    """Edges repeated for every latitude slab they touch; the stand-in for subdivision."""
+    """Edges repeated for every latitude slab they touch."""
     lo = tile_of(F.least("y1", "y2"), slab)
     hi = tile_of(F.greatest("y1", "y2"), slab)
     return edges.withColumn("slab", F.explode(F.sequence(lo, hi)))
@@ -84,19 +84,15 @@ def box_candidates(points: DataFrame, boxes: DataFrame, tile: float, geom_id: st
 
 
 def points_in_polygons(points: DataFrame, edges: DataFrame, point_id: str = "point_id",
-                       geom_id: str = "geom_id", tile: float = 0.05, slab: float = 0.02) -> DataFrame:
-    """Pairs (point_id, geom_id) with the point inside, by ray-cast parity.
+                       geom_id: str = "geom_id", tile: float = 0.05, cut: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Pairs (point_id, geom_id) with the point inside, by parity over the edges of one piece of the polygon.
 
-    Points of equal position share the work; the parity is a partial aggregate,
-    so a large geometry costs only the edges in the point's own slab.
+    Points of equal position share the work. ``cut`` are the polygons' pieces, if they are known already.
     """
-    spots = points.select("x", "y").distinct()
-    cand = box_candidates(spots, ring_boxes(edges, geom_id), tile, geom_id)
-    cand = cand.withColumn("slab", tile_of(F.col("y"), slab))
-    near = cand.join(edges_by_slab(edges, slab), [geom_id, "slab"])
-    hit = crosses_ray(F.col("x"), F.col("y"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
-    inside = near.groupBy("x", "y", geom_id).agg(F.count_if(hit).alias("_n")).filter(F.col("_n") % 2 == 1)
-    return points.select(point_id, "x", "y").join(inside.drop("_n"), ["x", "y"]).select(point_id, geom_id)
+    pieces, rims = cut or polygon_pieces(edges, geom_id)
+    cand = box_candidates(points.select("x", "y").distinct(), ring_boxes(edges, geom_id), tile, geom_id)
+    inside = inside_pieces(cand, pieces, rims, geom_id)
+    return points.select(point_id, "x", "y").join(inside, ["x", "y"]).select(point_id, geom_id)
 
 
 def locate_in_grid(points: DataFrame, origins: DataFrame, size_m: float = 1000.0) -> DataFrame:
@@ -255,25 +251,29 @@ def polygons_touching_cells(cells: DataFrame, edges: DataFrame, half: float = 0.
                             geom_id: str = "geom_id", tile: float = 0.05) -> DataFrame:
     """Pairs (cell_id, geom_id) whose square and polygon share a point.
 
-    True when an edge meets the square, or the square's centre lies inside the
-    polygon (a polygon inside the square has its edges there).
+    Pieces of the polygons meet the cells they overlap. A whole piece, and a rim
+    piece that lies in the square, settle the pair; only the other rim pieces
+    bring their few edges. A square that meets no edge lies inside or outside with its centre.
     """
-    t = tile
-    e = edges.withColumn(
-        "_t", F.explode(tiles_of_box(F.least("x1", "x2"), F.least("y1", "y2"), F.greatest("x1", "x2"), F.greatest("y1", "y2"), t))
-    ).withColumns({"tx": F.col("_t.tx"), "ty": F.col("_t.ty")}).drop("_t")
+    pieces, rims = polygon_pieces(edges, geom_id)
+    keyed = piece_boxes(pieces).withColumn("_t", F.explode(tiles_of_box(F.col("px0"), F.col("py0"), F.col("px1"), F.col("py1"), tile)))
+    keyed = keyed.withColumns({"tx": F.col("_t.tx"), "ty": F.col("_t.ty")}).drop("_t")
     c = cells.select("cell_id", "lon", "lat").withColumn(
-        "_t", F.explode(tiles_of_box(F.col("lon") - half, F.col("lat") - half, F.col("lon") + half, F.col("lat") + half, t))
+        "_t", F.explode(tiles_of_box(F.col("lon") - half, F.col("lat") - half, F.col("lon") + half, F.col("lat") + half, tile))
     ).withColumns({"tx": F.col("_t.tx"), "ty": F.col("_t.ty")}).drop("_t")
-    met = (
-        c.join(e, ["tx", "ty"])
-        .filter(segment_meets_box(half))
-        .select("cell_id", geom_id)
-        .distinct()
-    )
+    left, right, low, high = F.col("lon") - half, F.col("lon") + half, F.col("lat") - half, F.col("lat") + half
+    over = (F.col("px0") <= right) & (F.col("px1") >= left) & (F.col("py0") <= high) & (F.col("py1") >= low)
+    pairs = c.join(keyed, ["tx", "ty"]).filter(over)
+    # an edge may leave a piece by the slack: a piece counts as held only well within the square
+    slack = 1e-6 * F.col("side")
+    held = (F.col("px0") - slack >= left) & (F.col("px1") + slack <= right) & (F.col("py0") - slack >= low) & (F.col("py1") + slack <= high)
+    sure = (F.col("n") == 0) | held
+    key = [geom_id, "level", "qx", "qy"]
+    rim = pairs.filter(~sure).select("cell_id", "lon", "lat", *key).distinct()
+    met = rim.join(rims, key).filter(segment_meets_box(half)).select("cell_id", geom_id)
     centres = cells.select(F.col("cell_id").alias("point_id"), F.col("lon").alias("x"), F.col("lat").alias("y"))
-    inside = points_in_polygons(centres, edges, geom_id=geom_id, tile=tile).withColumnRenamed("point_id", "cell_id")
-    return met.unionByName(inside.select("cell_id", geom_id)).distinct()
+    inside = points_in_polygons(centres, edges, geom_id=geom_id, tile=tile, cut=(pieces, rims)).withColumnRenamed("point_id", "cell_id")
+    return pairs.filter(sure).select("cell_id", geom_id).unionByName(met).unionByName(inside.select("cell_id", geom_id)).distinct()
 
 
 def segment_meets_box(half: float) -> Column:
