@@ -102,9 +102,7 @@ def _(fx):
 
 @query("join11_density_geodesic", f"select c.cell_id, round(least(count(*) / 3.0, 1.0), 6) as density from fx_cells c join fx_inventory i on {hav('c.lon', 'c.lat', 'i.x', 'i.y')} <= 500 group by c.cell_id")
 def _(fx):
-    a = fx["fx_cells"].select("cell_id", F.col("lon").alias("ax"), F.col("lat").alias("ay"))
-    b = fx["fx_inventory"].groupBy(F.col("x").alias("bx"), F.col("y").alias("by")).agg(F.count(F.lit(1)).alias("n"))
-    near = X.pairs_within_m(a, b, 500.0).groupBy("cell_id").agg(F.sum("n").alias("n"))
+    near = X.count_within_m(fx["fx_cells"], fx["fx_inventory"].select("x", "y"), 500.0)
     return near.select("cell_id", r6(F.least(F.col("n") / 3.0, F.lit(1.0)), "density"))
 
 
@@ -132,8 +130,8 @@ def _(fx):
 def _(fx):
     # square to square: the reach from the centre of one to the doubled square of the other
     urban = fx["fx_cells"].join(fx["fx_static"].filter(F.col("landuse_code").startswith("11")).select("cell_id"), "cell_id").select(F.col("lon").alias("x"), F.col("lat").alias("y"))
-    near = X.halo_join(fx["fx_cells"].select("cell_id", "lon", "lat"), urban, 0.0215, 2 * HALF).select("cell_id").distinct().withColumn("_n", F.lit(True))
-    return fx["fx_cells"].join(near, "cell_id", "left").select("cell_id", F.col("_n").isNotNull().alias("near_urban"))
+    near = X.count_within(fx["fx_cells"], urban, 0.0215, 2 * HALF)
+    return near.select("cell_id", (F.col("n") > 0).alias("near_urban"))
 
 
 def day(text: str):
@@ -184,49 +182,49 @@ def _(fx):
     return s.orderBy(F.desc("max_score"), "dominant_cell").limit(50).select("zone", r6(F.col("max_score"), "max_score"))
 
 
-def match_zones(fx: Frames, members, radius_m: float):
-    """(zone, event) pairs within the radius with their least distance, and the events of the window."""
+def window_events(fx: Frames):
     events = fx["fx_truth"].filter((F.col("event_time") > day("2000-06-01")) & (F.col("event_time") <= day("2000-09-01")))
-    events = events.select("event_id", "event_time", F.col("x").alias("bx"), F.col("y").alias("by"))
-    near = X.pairs_within_m(members.select("ax", "ay").distinct(), events.select("bx", "by").distinct(), radius_m)
-    hit = near.join(members, ["ax", "ay"]).join(events, ["bx", "by"])
-    return hit.groupBy("zone", "event_id").agg(F.min("dist_m").alias("dist_m")), events
+    return events.select("event_id", "event_time", F.col("x").alias("lon"), F.col("y").alias("lat"))
 
 
-@query("join17_zone_events", f"""select s.istat_code as zone, e.event_id, round(min({hav('s.lon', 's.lat', 'e.x', 'e.y')}), 3) as dist_m from {STATE} s join fx_truth e on {hav('s.lon', 's.lat', 'e.x', 'e.y')} <= 2000
-    where s.score >= 0.55 and e.event_time > timestamp '2000-06-01' and e.event_time <= timestamp '2000-09-01' group by s.istat_code, e.event_id""")
-def _(fx):
-    zoned = state(fx).filter(B.at_least("level", "High")).select(F.col("istat_code").alias("zone"), F.col("lon").alias("ax"), F.col("lat").alias("ay"))
-    return match_zones(fx, zoned, 2000.0)[0].select("zone", "event_id", F.round("dist_m", 3).alias("dist_m"))
-
-
-@query("pip8_report_verification")
-def _(fx):
+def verified(fx: Frames, members, radius_m: float):
+    """Verification of zones given as (cell_id, zone, lon, lat): whether anything is near is all that is asked of either side."""
     from slopewatch.operators.evaluation import zone_verification
 
-    members = high_zones(fx).select("zone", F.col("lon").alias("ax"), F.col("lat").alias("ay"))
-    k, events = match_zones(fx, members, 2000.0)
+    events, at = window_events(fx), lambda t: t.select(F.col("lon").alias("x"), F.col("lat").alias("y"))
+    hit = X.count_within_m(members, at(events), radius_m).join(members, "cell_id").select("zone")
+    matched = X.count_within_m(events, at(members), radius_m, "event_id")
     lead = events.select("event_id", B.hours_between("event_time", day("2000-06-01")).alias("lead_h"))
-    return zone_verification(k, members.select("zone"), lead)
+    out = zone_verification(hit, matched, members, lead)
+    return out.withColumns({"pod": F.round("pod", 6), "far": F.round("far", 6), "mean_lead_h": F.round("mean_lead_h", 4)})
+
+
+@query("join17_zone_events", f"""select s.istat_code as zone, e.event_id, round(min({hav('s.lon', 's.lat', 'e.x', 'e.y')}), 3) as dist_m from {STATE} s join fx_truth e on {hav('s.lon', 's.lat', 'e.x', 'e.y')} <= 2000
+    where s.score >= 0.55 and e.event_time > timestamp '2000-06-01' and e.event_time <= timestamp '2000-09-01' group by s.istat_code, e.event_id""")
+def _(fx):
+    zoned = state(fx).filter(B.at_least("level", "High")).select(F.col("istat_code").alias("zone"), F.col("lon").alias("x"), F.col("lat").alias("y"))
+    return X.nearest_group_within_m(window_events(fx), zoned, "zone", 2000.0, "event_id").select("zone", "event_id", F.round("dist", 3).alias("dist_m"))
 
 
 MUNI_ZONES = f"(select cell_id, istat_code as zone, lon, lat from {STATE} s where {RANK_CASE} = 4)"
 
 
-@query("agg38_zone_verification", f"""with z as (select * from {MUNI_ZONES} q), k as (select z.zone, e.event_id from z join fx_truth e on {hav('z.lon', 'z.lat', 'e.x', 'e.y')} <= 900 where e.event_time > timestamp '2000-06-01' and e.event_time <= timestamp '2000-09-01' group by z.zone, e.event_id),
+VERIFIED = f"""k as (select z.zone, e.event_id from z join fx_truth e on {hav('z.lon', 'z.lat', 'e.x', 'e.y')} <= {{radius}} where e.event_time > timestamp '2000-06-01' and e.event_time <= timestamp '2000-09-01' group by z.zone, e.event_id),
     zs as (select d.zone, h.zone is not null as hit from (select distinct zone from z) d left join (select distinct zone from k) h on h.zone = d.zone),
     ev as (select e.event_id, (epoch_us(event_time) - epoch_us(timestamp '2000-06-01')) / 3.6e9 as lead_h, h.event_id is not null as hit from fx_truth e left join (select distinct event_id from k) h on h.event_id = e.event_id
            where event_time > timestamp '2000-06-01' and event_time <= timestamp '2000-09-01'),
     a as (select count(*) as n_zones, count(*) filter (where not hit) as false_alarm_zones from zs), b as (select count(*) as n_events, count(*) filter (where hit) as matched, count(*) filter (where not hit) as missed, avg(lead_h) filter (where hit) as lead from ev)
-    select n_zones, false_alarm_zones, n_events, matched, missed, round(matched / n_events, 6) as pod, round(false_alarm_zones / n_zones, 6) as far, round(lead, 4) as mean_lead_h from a, b""")
+    select n_zones, false_alarm_zones, n_events, matched, missed, round(matched / n_events, 6) as pod, round(false_alarm_zones / n_zones, 6) as far, round(lead, 4) as mean_lead_h from a, b"""
+
+
+@query("agg38_zone_verification", f"with z as (select * from {MUNI_ZONES} q), {VERIFIED.format(radius=900)}")
 def _(fx):
-    from slopewatch.operators.evaluation import zone_verification
+    return verified(fx, state(fx).filter(F.col("level") == "VeryHigh").select("cell_id", F.col("istat_code").alias("zone"), "lon", "lat"), 900.0)
 
-    zoned = state(fx).filter(F.col("level") == "VeryHigh").select(F.col("istat_code").alias("zone"), F.col("lon").alias("ax"), F.col("lat").alias("ay"))
-    k, events = match_zones(fx, zoned, 900.0)
-    lead = events.select("event_id", B.hours_between("event_time", day("2000-06-01")).alias("lead_h"))
-    out = zone_verification(k, zoned.select("zone"), lead)
-    return out.withColumns({"pod": F.round("pod", 6), "far": F.round("far", 6), "mean_lead_h": F.round("mean_lead_h", 4)})
+
+@query("pip8_report_verification", f"with recursive {ZONES.replace('z as materialized', 'zc as materialized').replace('from z a join z b', 'from zc a join zc b')}, z as (select zc.cell_id, m.zone, zc.lon, zc.lat from zc join m on m.cell_id = zc.cell_id), {VERIFIED.format(radius=2000)}")
+def _(fx):
+    return verified(fx, high_zones(fx).select("cell_id", "zone", "lon", "lat"), 2000.0)
 
 
 # --- overlay and zonal statistics ---------------------------------------------------------

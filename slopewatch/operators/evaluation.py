@@ -211,15 +211,15 @@ def promotion_gate(metrics: DataFrame, p: dict[str, Any] = PARAMS) -> DataFrame:
     return metrics.withColumn("promoted", ok)
 
 
-def zone_verification(zone_matches: DataFrame, zones: DataFrame, area_events: DataFrame, start: str = "valuation_time") -> DataFrame:
+def zone_verification(hit_zones: DataFrame, matched: DataFrame, zones: DataFrame, area_events: DataFrame) -> DataFrame:
     """One row: detection, false-alarm share and lead of a build's zones.
 
-    ``zone_matches(zone, event_id, dist_m)``, ``zones(zone)``,
-    ``area_events(event_id, lead_h)``.
+    ``hit_zones(zone)`` have an event within reach, ``matched(event_id)`` a zone;
+    ``zones(zone)``, ``area_events(event_id, lead_h)``.
     """
-    outcomes = zones.select("zone").distinct().join(zone_matches.select("zone").distinct().withColumn("_hit", F.lit(True)), "zone", "left")
+    outcomes = zones.select("zone").distinct().join(hit_zones.select("zone").distinct().withColumn("_hit", F.lit(True)), "zone", "left")
     z = outcomes.agg(F.count(F.lit(1)).alias("n_zones"), F.count_if(F.col("_hit").isNull()).alias("false_alarm_zones"))
-    detected = zone_matches.select("event_id").distinct().withColumn("_d", F.lit(1))
+    detected = matched.select("event_id").distinct().withColumn("_d", F.lit(1))
     # a matched event outside the areas still counts as matched
     seen = area_events.join(detected, "event_id", "full_outer")
     e = seen.agg(

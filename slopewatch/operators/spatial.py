@@ -12,12 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slopewatch.functions.geo import (
-    box_distance,
     haversine_m,
     segment_position,
     to_3035,
 )
 from slopewatch.operators.pieces import inside_pieces, piece_boxes, polygon_pieces
+from slopewatch.operators.pyramid import count_in_reach, great_circle, nearest_by_group, square_degrees
 from slopewatch.operators.relational import latest_per_key
 
 
@@ -106,46 +106,22 @@ def locate_in_grid(points: DataFrame, origins: DataFrame, size_m: float = 1000.0
     ).drop("_x", "_y", "minx", "miny", "maxx", "maxy")
 
 
-def halo_join(cells: DataFrame, features: DataFrame, reach: float, half: float) -> DataFrame:
-    """Pairs (cell, feature spot) within ``reach`` degrees of the cell square, with ``deg``.
-
-    Coincident features are one spot with a weight ``n``.
-    """
-    spots = features.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
-    size = reach + half
-    keyed = spots.withColumns({"tx": tile_of(F.col("x"), size), "ty": tile_of(F.col("y"), size)})
-    around = cells.withColumn(
-        "_t", F.explode(tiles_of_box(F.col("lon") - size, F.col("lat") - size, F.col("lon") + size, F.col("lat") + size, size))
-    ).withColumns({"tx": F.col("_t.tx"), "ty": F.col("_t.ty")}).drop("_t")
-    pairs = around.join(keyed, ["tx", "ty"])
-    pairs = pairs.withColumn("deg", box_distance(F.col("x"), F.col("y"), F.col("lon"), F.col("lat"), half))
-    return pairs.filter(F.col("deg") <= reach).drop("tx", "ty")
-
-
 def count_within(cells: DataFrame, features: DataFrame, reach: float, half: float = 0.005) -> DataFrame:
     """Features within ``reach`` degrees of each cell square; 0 where there are none."""
-    near = halo_join(cells.select("cell_id", "lon", "lat"), features, reach, half)
-    counts = near.groupBy("cell_id").agg(F.sum("n").alias("n"))
+    counts = count_in_reach(cells, features, reach, square_degrees(half, reach), 4 * reach)
     return cells.select("cell_id").join(counts, "cell_id", "left").select(
         "cell_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")
     )
 
 
-def pairs_within_m(a: DataFrame, b: DataFrame, radius_m: float) -> DataFrame:
-    """Pairs of positions (``ax, ay`` / ``bx, by``) at most ``radius_m`` apart, with ``dist_m``.
+def count_within_m(points: DataFrame, features: DataFrame, radius_m: float, point_id: str = "cell_id") -> DataFrame:
+    """(point_id, n): features at most ``radius_m`` from each point (lon, lat); points without any have no row."""
+    return count_in_reach(points, features, radius_m, great_circle(radius_m), 4 * radius_m / 110_000.0, point_id)
 
-    Both inputs should be reduced to distinct positions first.
-    """
-    tile = radius_m / 110_000.0
-    # one degree of longitude shrinks with latitude: widen the reach accordingly
-    reach_x = F.lit(tile) / F.greatest(F.lit(0.05), F.cos(F.radians(F.least(F.lit(89.0), F.abs(F.col("ay")) + tile))))
-    around = a.withColumn(
-        "_t", F.explode(tiles_of_box(F.col("ax") - reach_x, F.col("ay") - tile, F.col("ax") + reach_x, F.col("ay") + tile, tile))
-    ).withColumns({"tx": F.col("_t.tx"), "ty": F.col("_t.ty")}).drop("_t")
-    keyed = b.withColumns({"tx": tile_of(F.col("bx"), tile), "ty": tile_of(F.col("by"), tile)})
-    pairs = around.join(keyed, ["tx", "ty"]).drop("tx", "ty")
-    pairs = pairs.withColumn("dist_m", haversine_m(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")))
-    return pairs.filter(F.col("dist_m") <= radius_m)
+
+def nearest_group_within_m(points: DataFrame, features: DataFrame, group: str, radius_m: float, point_id: str) -> DataFrame:
+    """(point_id, group, dist): metres from each point to each group of features within ``radius_m``."""
+    return nearest_by_group(points, features, group, radius_m, great_circle(radius_m), 4 * radius_m / 110_000.0, point_id)
 
 
 # --- nearest feature ---------------------------------------------------------

@@ -98,9 +98,7 @@ def feature_export(cells: DataFrame, inventory: DataFrame, hazard_edges: DataFra
     """Export variant: geodesic density, hazard on the chosen ladder, merged into the store without erasing."""
     from slopewatch.operators.relational import merge_coalescing
 
-    a = cells.select("cell_id", F.col("lon").alias("ax"), F.col("lat").alias("ay"))
-    spots = inventory.groupBy(F.col("x").alias("bx"), F.col("y").alias("by")).agg(F.count(F.lit(1)).alias("n"))
-    density = X.pairs_within_m(a, spots, 500.0).groupBy("cell_id").agg(F.least(F.sum("n") / 3.0, F.lit(1.0)).alias("iffi_density_500"))
+    density = X.count_within_m(cells, inventory.select("x", "y"), 500.0).select("cell_id", F.least(F.col("n") / 3.0, F.lit(1.0)).alias("iffi_density_500"))
     touch = X.polygons_touching_cells(cells, hazard_edges).join(hazards.select("geom_id", "hazard_class"), "geom_id")
     worst = touch.groupBy("cell_id").agg(F.max(hazard_norm(F.col("hazard_class"), "export")).alias("pai_class_norm"))
     new = cells.select("cell_id").join(density, "cell_id", "left").join(worst, "cell_id", "left")
