@@ -15,6 +15,7 @@ from slopewatch.operators import components as C
 from slopewatch.operators import spatial as X
 from slopewatch.operators import zonal as Z
 from slopewatch.operators.relational import lookup_join, most_recent
+from slopewatch.operators.segments import nearest_segment
 
 HALF = 0.005
 
@@ -123,7 +124,7 @@ T_PAR = "greatest(0, least(1, ((c.lon - f.x1) * (f.x2 - f.x1) + (c.lat - f.y1) *
 @query("join14_nearest_fault", f"""select c.cell_id, round(least(coalesce(min({hav('c.lon', 'c.lat', f'(f.x1 + {T_PAR} * (f.x2 - f.x1))', f'(f.y1 + {T_PAR} * (f.y2 - f.y1))')}), 50000), 50000), 3) as dist_m
     from fx_cells c left join fx_faults f on least(f.x1, f.x2) <= c.lon + 0.5 and greatest(f.x1, f.x2) >= c.lon - 0.5 and least(f.y1, f.y2) <= c.lat + 0.5 and greatest(f.y1, f.y2) >= c.lat - 0.5 group by c.cell_id""")
 def _(fx):
-    return X.nearest_segment(fx["fx_cells"], fx["fx_faults"]).withColumn("dist_m", F.round("dist_m", 3))
+    return nearest_segment(fx["fx_cells"], fx["fx_faults"]).withColumn("dist_m", F.round("dist_m", 3))
 
 
 @query("join16_near_urban", f"select c.cell_id, exists (select 1 from fx_cells u join fx_static s on s.cell_id = u.cell_id where s.landuse_code like '11%' and sqrt(pow(greatest(0, abs(u.lon - c.lon) - 0.01), 2) + pow(greatest(0, abs(u.lat - c.lat) - 0.01), 2)) <= 0.0215) as near_urban from fx_cells c")

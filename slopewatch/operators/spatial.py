@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from slopewatch.functions.geo import (
     haversine_m,
-    segment_position,
     to_3035,
 )
 from slopewatch.operators.pieces import inside_pieces, piece_boxes, polygon_pieces
@@ -197,31 +196,6 @@ def _cell_window():
     return Window.partitionBy("cell_id")
 
 
-def nearest_segment(cells: DataFrame, segments: DataFrame, box_deg: float = 0.5, cap_m: float = 50_000.0,
-                    tile: float = 0.25) -> DataFrame:
-    """Distance to the nearest line segment inside a search box, capped.
-
-    Segments are tiled by their extent and dissolved per distinct segment; the
-    closest point is planar, its distance great-circle.
-    """
-    distinct = segments.select("x1", "y1", "x2", "y2").distinct()
-    keyed = distinct.withColumn(
-        "_t", F.explode(tiles_of_box(F.least("x1", "x2"), F.least("y1", "y2"), F.greatest("x1", "x2"), F.greatest("y1", "y2"), tile))
-    ).select("x1", "y1", "x2", "y2", F.col("_t.tx").alias("tx"), F.col("_t.ty").alias("ty"))
-    around = cells.select("cell_id", "lon", "lat").withColumn(
-        "_t", F.explode(tiles_of_box(F.col("lon") - box_deg, F.col("lat") - box_deg, F.col("lon") + box_deg, F.col("lat") + box_deg, tile))
-    ).select("cell_id", "lon", "lat", F.col("_t.tx").alias("tx"), F.col("_t.ty").alias("ty"))
-    pairs = around.join(keyed, ["tx", "ty"])
-    hit = (F.least("x1", "x2") <= F.col("lon") + box_deg) & (F.greatest("x1", "x2") >= F.col("lon") - box_deg) & (
-        F.least("y1", "y2") <= F.col("lat") + box_deg) & (F.greatest("y1", "y2") >= F.col("lat") - box_deg)
-    qx, qy = segment_position(F.col("lon"), F.col("lat"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
-    dist = haversine_m(F.col("lon"), F.col("lat"), qx, qy)
-    best = pairs.filter(hit).groupBy("cell_id").agg(F.min(dist).alias("d"))
-    return cells.select("cell_id").join(best, "cell_id", "left").select(
-        "cell_id", F.least(F.coalesce("d", F.lit(cap_m)), F.lit(cap_m)).alias("dist_m")
-    )
-
-
 # --- polygon against cell square ---------------------------------------------
 def polygons_touching_cells(cells: DataFrame, edges: DataFrame, half: float = 0.005,
                             geom_id: str = "geom_id", tile: float = 0.05) -> DataFrame:

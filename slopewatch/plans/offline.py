@@ -14,6 +14,7 @@ from slopewatch.operators import zonal as Z
 from slopewatch.operators.evaluation import backtest_gate, backtest_scores
 from slopewatch.operators.learning import guarded_corr
 from slopewatch.operators.relational import lookup_join
+from slopewatch.operators.segments import nearest_segment
 from slopewatch.operators.timeseries import antecedent_rain, latest_event, rain_events
 from slopewatch.params import PARAMS
 
@@ -34,7 +35,7 @@ def static_factors(cells: DataFrame, inventory: DataFrame, hazard_edges: DataFra
         d = X.nearest_feature(cells, lines, p["distance_cap_m"], keep="class").withColumnRenamed("dist_m", f"distance_to_{kind}_m")
         out = out.join(d.withColumnRenamed("class", "nearest_road_class") if kind == "road" else d.drop("class"), "cell_id")
     if faults is not None:
-        out = out.join(X.nearest_segment(cells, faults).withColumnRenamed("dist_m", "distance_to_fault_m"), "cell_id")
+        out = out.join(nearest_segment(cells, faults).withColumnRenamed("dist_m", "distance_to_fault_m"), "cell_id")
     if pixels is not None:
         out = out.join(Z.terrain_stats(pixels, cellsize).filter(F.col("pixel_count") > 0).drop("pixel_count"), "cell_id", "left")
     return out
