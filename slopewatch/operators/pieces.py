@@ -10,6 +10,8 @@ point test never sees more than one piece's edges however large the polygon is.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,10 +77,20 @@ def _meets(x: Column, y: Column, half: Column) -> Column:
     return overlap & (F.abs(nx * ax + ny * ay) <= half * (F.abs(nx) + F.abs(ny)))
 
 
-def polygon_pieces(edges: DataFrame, geom_id: str = "geom_id", most: int = MOST, deepest: int = DEEPEST) -> tuple[DataFrame, DataFrame]:
-    """Pieces (geom_id, level, qx, qy, x0, y0, side, n, corner_in) and their edges (geom_id, level, qx, qy, x1, y1, x2, y2).
+@dataclass(frozen=True)
+class Cut:
+    """Polygons in pieces."""
+
+    pieces: DataFrame  #: geom_id, level, qx, qy, x0, y0, side, n (edges; with 0 all of it is inside), corner_in
+    rims: DataFrame  #: edges of the pieces: geom_id, level, qx, qy, x1, y1, x2, y2
+    boxes: DataFrame  #: geom_id, minx, miny, maxx, maxy
+    depth: int  #: greatest level
+
 
-    ``n`` is a piece's number of edges; with 0 all of it is inside. Each round is
+def polygon_pieces(edges: DataFrame, geom_id: str = "geom_id", most: int = MOST, deepest: int = DEEPEST) -> Cut:
+    """Cut polygons until no tile above the ``deepest`` level has more than ``most`` edges.
+
+    Each round is
     one aggregation that combines before the shuffle, then the edges of tiles that are
     cut go to the tiles they touch. Rounds end when no tile is left to cut.
     """
@@ -92,14 +104,7 @@ def polygon_pieces(edges: DataFrame, geom_id: str = "geom_id", most: int = MOST,
     key = [geom_id, *_KEY]
     for level in range(deepest + 1):
         here, small = F.lit(level), tile_side(F.lit(level + 1))
-        right, bottom = corner(F.col("qx") + 1, "x0", here), corner(F.col("qy"), "y0", here)
-        inner = {}
-        if level < deepest:
-            for i in range(CUT):
-                for j in range(CUT):
-                    cx, cy = corner(F.col("qx") * CUT + i + 1, "x0", F.lit(level + 1)), corner(F.col("qy") * CUT + j, "y0", F.lit(level + 1))
-                    inner[f"t{i}_{j}"] = F.count_if(turns(cx, cy, right, bottom)) % 2 == 1
-        counted = live.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in inner.items()])
+        counted = live.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
         known = nodes.join(counted, key, "left").withColumn("n", F.coalesce("n", F.lit(0)))
         if level:
             known = cut_lineage(known)
@@ -111,10 +116,17 @@ def polygon_pieces(edges: DataFrame, geom_id: str = "geom_id", most: int = MOST,
         done.append(known.filter(F.col("n") <= most).select(*key, *place, "n", "corner_in"))
         marked = cut_lineage(lookup_join(live, cut.select(*key, F.lit(True).alias("cut")), key))
         done_edges.append(marked.filter("cut is null").select(*key, *_EDGE))
+        right, bottom = corner(F.col("qx") + 1, "x0", here), corner(F.col("qy"), "y0", here)
+        below = F.lit(level + 1)
+        odd = {
+            (i, j): F.count_if(turns(corner(F.col("qx") * CUT + i + 1, "x0", below), corner(F.col("qy") * CUT + j, "y0", below), right, bottom)) % 2 == 1
+            for i in range(CUT) for j in range(CUT)
+        }
+        corners = marked.filter("cut").groupBy(*key).agg(*[c.alias(f"t{i}_{j}") for (i, j), c in odd.items()])
         children = F.array(*[F.struct(
-            (F.col("qx") * CUT + i).alias("qx"), (F.col("qy") * CUT + j).alias("qy"), (F.col("corner_in") != F.coalesce(f"t{i}_{j}", F.lit(False))).alias("corner_in"),
-        ) for i in range(CUT) for j in range(CUT)])
-        nodes = cut.withColumn("_c", F.explode(children)).select(geom_id, F.lit(level + 1).alias("level"), "_c.qx", "_c.qy", *place, "_c.corner_in")
+            (F.col("qx") * CUT + i).alias("qx"), (F.col("qy") * CUT + j).alias("qy"), (F.col("corner_in") != F.col(f"t{i}_{j}")).alias("corner_in"),
+        ) for i, j in odd])
+        nodes = cut.join(corners, key).withColumn("_c", F.explode(children)).select(geom_id, F.lit(level + 1).alias("level"), "_c.qx", "_c.qy", *place, "_c.corner_in")
         span = lambda lo, origin, q: F.sequence(
             F.greatest(F.col(q) * CUT, F.floor((F.least(*lo) - F.col(origin)) / small - 1e-6)), F.least(F.col(q) * CUT + CUT - 1, F.floor((F.greatest(*lo) - F.col(origin)) / small + 1e-6)))
         spread = marked.filter("cut").withColumn("_x", F.explode(span(("x1", "x2"), "x0", "qx"))).withColumn("_y", F.explode(span(("y1", "y2"), "y0", "qy")))
@@ -125,24 +137,27 @@ def polygon_pieces(edges: DataFrame, geom_id: str = "geom_id", most: int = MOST,
     pieces, rims = done[0], done_edges[0]
     for more, rim in zip(done[1:], done_edges[1:], strict=True):
         pieces, rims = pieces.unionByName(more), rims.unionByName(rim)
-    return pieces.filter((F.col("n") > 0) | F.col("corner_in")), rims
+    return Cut(pieces.filter((F.col("n") > 0) | F.col("corner_in")), rims, boxes.select(geom_id, "minx", "miny", "maxx", "maxy"), len(done) - 1)
 
 
-def inside_pieces(candidates: DataFrame, pieces: DataFrame, rims: DataFrame, geom_id: str = "geom_id") -> DataFrame:
+def inside_pieces(candidates: DataFrame, cut: Cut, geom_id: str = "geom_id") -> DataFrame:
     """Rows (x, y, geom_id) of ``candidates`` whose point is inside the polygon; points are distinct.
 
     A candidate asks at every level of its polygon for the tile it lies in; one
     piece answers, or none outside. Whole pieces answer at once, rim pieces by the
     parity over their own edges.
     """
-    levels = pieces.groupBy(geom_id).agg(F.max("level").alias("_deep"), *[F.first(c).alias(c) for c in ("x0", "y0", "side")])
-    asked = candidates.join(levels, geom_id).withColumn("level", F.explode(F.sequence(F.lit(0), F.col("_deep"))))
-    tile = lambda v, origin: F.floor((F.col(v) - F.col(origin)) / tile_side(F.col("level")))
-    asked = asked.withColumns({"qx": tile("x", "x0"), "qy": tile("y", "y0")}).select(geom_id, *_KEY, "x", "y")
-    found = asked.join(pieces, [geom_id, *_KEY])
+    if cut.depth == 0:  # every polygon is one piece
+        found = candidates.join(cut.pieces, geom_id)
+    else:
+        levels = cut.pieces.groupBy(geom_id).agg(F.max("level").alias("_deep"), *[F.first(c).alias(c) for c in ("x0", "y0", "side")])
+        asked = candidates.join(levels, geom_id).withColumn("level", F.explode(F.sequence(F.lit(0), F.col("_deep"))))
+        tile = lambda v, origin: F.floor((F.col(v) - F.col(origin)) / tile_side(F.col("level")))
+        asked = asked.withColumns({"qx": tile("x", "x0"), "qy": tile("y", "y0")}).select(geom_id, *_KEY, "x", "y")
+        found = asked.join(cut.pieces, [geom_id, *_KEY])
     whole = found.filter(F.col("n") == 0).select("x", "y", geom_id)
     right, bottom = corner(F.col("qx") + 1, "x0", F.col("level")), corner(F.col("qy"), "y0", F.col("level"))
-    met = found.filter(F.col("n") > 0).join(rims, [geom_id, *_KEY])
+    met = found.filter(F.col("n") > 0).join(cut.rims, [geom_id, *_KEY])
     odd = (F.count_if(turns(F.col("x"), F.col("y"), right, bottom)) % 2 == 1) != F.first("corner_in")
     rim = met.groupBy("x", "y", geom_id).agg(odd.alias("_in")).filter("_in").select("x", "y", geom_id)
     return whole.unionByName(rim)

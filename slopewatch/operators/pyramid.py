@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slopewatch.functions.geo import haversine_m
+from slopewatch.session import cut_lineage
 
 MOST = 32  # spots of a leaf, unless it is the finest tile
 CUT = 4  # tiles a tile is cut into, each way
@@ -83,7 +84,9 @@ class Pyramid:
         every = every.withColumns({"tx": F.floor(F.col("fx") / shrink), "ty": F.floor(F.col("fy") / shrink)})
         tiles = every.groupBy(*self.group, "level", "tx", "ty").agg(F.sum("spots").alias("spots"), F.sum("n").alias("n"))
         last = F.col("level") == LEVELS - 1
-        self.tiles = tiles.withColumn("leaf", (F.col("spots") <= most) | last)
+        self.tiles = cut_lineage(tiles.withColumn("leaf", (F.col("spots") <= most) | last))
+        #: levels that are needed: one more than the finest tile that is cut
+        self.levels = 2 + self.tiles.agg(F.coalesce(F.max(F.when(~F.col("leaf"), F.col("level"))), F.lit(-1))).first()[0]
         leaf = every.select(*own, "level", "tx", "ty").join(self.tiles.filter("leaf").select(*self.group, "level", "tx", "ty"), [*self.group, "level", "tx", "ty"])
         leaf = leaf.groupBy(*own).agg(F.min(F.struct("level", "tx", "ty")).alias("t"))
         self.spots = spots.join(leaf, own).select(*self.group, "t.level", "t.tx", "t.ty", "x", "y", "n")
@@ -119,9 +122,9 @@ def count_in_reach(queries: DataFrame, features: DataFrame, reach: float, measur
     rows = p.start(queries.select(*keep), measure).select(*keep, "level", "tx", "ty", "n", "leaf")
     lower, upper = measure.bounds(F.col("tx") * p.side(F.col("level")), F.col("ty") * p.side(F.col("level")), p.side(F.col("level")))
     within = upper <= reach
-    for level in range(LEVELS):
+    for level in range(p.levels):
         rows = rows.filter(lower <= reach)
-        if level < LEVELS - 1:
+        if level < p.levels - 1:
             rows = p.open(rows, level, keep, (F.col("level") == level) & ~F.col("leaf") & ~within)
     whole = rows.filter(within).select(query_id, "n")
     rim = rows.filter(~within).select(*keep, "level", "tx", "ty").join(p.spots, ["level", "tx", "ty"]).filter(measure.exact <= reach).select(query_id, "n")
@@ -139,10 +142,10 @@ def nearest_by_group(queries: DataFrame, features: DataFrame, group: str, reach:
     rows = p.start(queries.select(*keep), measure).select(*keep, group, "level", "tx", "ty", "n", "leaf")
     lower, upper = measure.bounds(F.col("tx") * p.side(F.col("level")), F.col("ty") * p.side(F.col("level")), p.side(F.col("level")))
     best = F.min("_up").over(Window.partitionBy(query_id, group))
-    for level in range(LEVELS):
+    for level in range(p.levels):
         rows = rows.withColumns({"_lo": lower, "_up": upper}).filter(F.col("_lo") <= reach).withColumn("_best", best).filter(F.col("_lo") <= F.col("_best"))
         rows = rows.drop("_lo", "_up", "_best")
-        if level < LEVELS - 1:
+        if level < p.levels - 1:
             rows = p.open(rows, level, keep, (F.col("level") == level) & ~F.col("leaf"))
     found = rows.select(*keep, group, "level", "tx", "ty").join(p.spots, [group, "level", "tx", "ty"]).withColumn("dist", measure.exact)
     return found.filter(F.col("dist") <= reach).groupBy(query_id, group).agg(F.min("dist").alias("dist"))

@@ -15,7 +15,7 @@ from slopewatch.functions.geo import (
     haversine_m,
     to_3035,
 )
-from slopewatch.operators.pieces import inside_pieces, piece_boxes, polygon_pieces
+from slopewatch.operators.pieces import Cut, inside_pieces, piece_boxes, polygon_pieces
 from slopewatch.operators.pyramid import count_in_reach, great_circle, nearest_by_group, square_degrees
 from slopewatch.operators.relational import latest_per_key
 
@@ -83,14 +83,14 @@ def box_candidates(points: DataFrame, boxes: DataFrame, tile: float, geom_id: st
 
 
 def points_in_polygons(points: DataFrame, edges: DataFrame, point_id: str = "point_id",
-                       geom_id: str = "geom_id", tile: float = 0.05, cut: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+                       geom_id: str = "geom_id", tile: float = 0.05, cut: Cut | None = None) -> DataFrame:
     """Pairs (point_id, geom_id) with the point inside, by parity over the edges of one piece of the polygon.
 
     Points of equal position share the work. ``cut`` are the polygons' pieces, if they are known already.
     """
-    pieces, rims = cut or polygon_pieces(edges, geom_id)
-    cand = box_candidates(points.select("x", "y").distinct(), ring_boxes(edges, geom_id), tile, geom_id)
-    inside = inside_pieces(cand, pieces, rims, geom_id)
+    cut = cut or polygon_pieces(edges, geom_id)
+    cand = box_candidates(points.select("x", "y").distinct(), cut.boxes, tile, geom_id)
+    inside = inside_pieces(cand, cut, geom_id)
     return points.select(point_id, "x", "y").join(inside, ["x", "y"]).select(point_id, geom_id)
 
 
@@ -205,8 +205,8 @@ def polygons_touching_cells(cells: DataFrame, edges: DataFrame, half: float = 0.
     piece that lies in the square, settle the pair; only the other rim pieces
     bring their few edges. A square that meets no edge lies inside or outside with its centre.
     """
-    pieces, rims = polygon_pieces(edges, geom_id)
-    keyed = piece_boxes(pieces).withColumn("_t", F.explode(tiles_of_box(F.col("px0"), F.col("py0"), F.col("px1"), F.col("py1"), tile)))
+    cut = polygon_pieces(edges, geom_id)
+    keyed = piece_boxes(cut.pieces).withColumn("_t", F.explode(tiles_of_box(F.col("px0"), F.col("py0"), F.col("px1"), F.col("py1"), tile)))
     keyed = keyed.withColumns({"tx": F.col("_t.tx"), "ty": F.col("_t.ty")}).drop("_t")
     c = cells.select("cell_id", "lon", "lat").withColumn(
         "_t", F.explode(tiles_of_box(F.col("lon") - half, F.col("lat") - half, F.col("lon") + half, F.col("lat") + half, tile))
@@ -220,9 +220,9 @@ def polygons_touching_cells(cells: DataFrame, edges: DataFrame, half: float = 0.
     sure = (F.col("n") == 0) | held
     key = [geom_id, "level", "qx", "qy"]
     rim = pairs.filter(~sure).select("cell_id", "lon", "lat", *key).distinct()
-    met = rim.join(rims, key).filter(segment_meets_box(half)).select("cell_id", geom_id)
+    met = rim.join(cut.rims, key).filter(segment_meets_box(half)).select("cell_id", geom_id)
     centres = cells.select(F.col("cell_id").alias("point_id"), F.col("lon").alias("x"), F.col("lat").alias("y"))
-    inside = points_in_polygons(centres, edges, geom_id=geom_id, tile=tile, cut=(pieces, rims)).withColumnRenamed("point_id", "cell_id")
+    inside = points_in_polygons(centres, edges, geom_id=geom_id, tile=tile, cut=cut).withColumnRenamed("point_id", "cell_id")
     return pairs.filter(sure).select("cell_id", geom_id).unionByName(met).unionByName(inside.select("cell_id", geom_id)).distinct()
 
 

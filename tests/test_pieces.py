@@ -44,9 +44,9 @@ def test_points_in_pieces(spark, shapes, most):
     every = [e for edges in shapes.values() for e in edges]
     edges = spark.createDataFrame(every, EDGES)
     points = [(rnd.choice([round(rnd.uniform(9.5, 10.5), 2), rnd.uniform(9.5, 10.5)]), rnd.choice([round(rnd.uniform(44.5, 45.5), 2), rnd.uniform(44.5, 45.5)])) for _ in range(600)]
-    pieces, rims = polygon_pieces(edges, most=most, deepest=5)
+    cut = polygon_pieces(edges, most=most, deepest=5)
     cand = X.box_candidates(spark.createDataFrame(sorted(set(points)), "x double, y double"), X.ring_boxes(edges), 0.05)
-    got = {(r["x"], r["y"], r["geom_id"]) for r in inside_pieces(cand, pieces, rims).collect()}
+    got = {(r["x"], r["y"], r["geom_id"]) for r in inside_pieces(cand, cut).collect()}
     on_line = lambda x, y, g: g == 4 and (x in (9.6, 9.8, 10.2, 10.4) or y in (44.6, 44.8, 45.2, 45.4))
     want = {(x, y, g) for x, y in set(points) for g, es in shapes.items() if parity(x, y, es) and not on_line(x, y, g)}
     assert {k for k in got if not on_line(*k)} == want
@@ -75,14 +75,15 @@ def test_one_polygon_of_a_hundred_thousand_edges(spark):
     x, y = 12 + r * np.cos(turn), 42 + r * np.sin(turn)
     frame = pd.DataFrame({"geom_id": 1, "x1": x, "y1": y, "x2": np.roll(x, -1), "y2": np.roll(y, -1)})
     edges = spark.createDataFrame(frame, EDGES)
-    pieces, rims = (t.cache() for t in polygon_pieces(edges))
+    cut = polygon_pieces(edges)
+    pieces, rims = cut.pieces.cache(), cut.rims.cache()
     sizes = rims.groupBy("geom_id", "level", "qx", "qy").count().toPandas()["count"]
     assert sizes.max() <= MOST and len(sizes) > 1000 and rims.count() < 2 * n
     assert pieces.filter("n = 0").count() > 500  # inside as a whole
     rng = np.random.default_rng(1)
     px, py = rng.uniform(9.7, 14.3, 4000), rng.uniform(39.7, 44.3, 4000)
     points = spark.createDataFrame(pd.DataFrame({"point_id": range(4000), "x": px, "y": py}))
-    got = {row[0] for row in X.points_in_polygons(points, edges, cut=(pieces, rims)).select("point_id").collect()}
+    got = {row[0] for row in X.points_in_polygons(points, edges, cut=cut).select("point_id").collect()}
     own = list(zip(*[frame[c] for c in EDGES.replace(",", "").split()[::2]]))
     for k in range(0, 4000, 8):
         assert (k in got) == parity(px[k], py[k], own), (px[k], py[k])
