@@ -1,10 +1,11 @@
-"""Alert suppression and triggers: keyed state on streams, islands in batch."""
+"""Alert suppression and triggers: keyed state on streams, successor chains in batch."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from slopewatch.operators.running import sliced_running
-from slopewatch.session import ROCKSDB_PROVIDER
+from slopewatch.session import ROCKSDB_PROVIDER, cut_lineage
 
 
 def greedy_dispatch(us: pd.Series, window_us: int, last_us: int | None = None) -> list[bool]:
@@ -57,35 +58,108 @@ def suppress_stream(alerts: DataFrame, key: str, minutes: int) -> DataFrame:
     )
 
 
-def suppress_batch(alerts: DataFrame, key: str, minutes: float, slice_hours: float = 720.0) -> DataFrame:
-    """Batch twin: (key, ts) of the dispatched rows.
+def _whole_groups(frames: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
+    """Frames cut so that no (key, block) group crosses a border; rows come ordered by them."""
+    rest = None
+    for pdf in frames:
+        pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+        if not len(pdf):
+            continue
+        same = (pdf["block"] == pdf["block"].iloc[-1]).to_numpy() & ((pdf[key] == pdf[key].iloc[-1]) | (pdf[key].isna() & pd.isna(pdf[key].iloc[-1]))).to_numpy()
+        head = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+        rest = pdf.iloc[head:]
+        if head:
+            yield pdf.iloc[:head].reset_index(drop=True)
+    if rest is not None and len(rest):
+        yield rest.reset_index(drop=True)
 
-    A pause longer than the window always dispatches, so a key falls into
-    independent islands; only the distinct times of one island are walked in order.
+
+def _next_in_block(pdf: pd.DataFrame, block_rows: int) -> np.ndarray:
+    """Row number of each row's successor, -1 where that lies in another block."""
+    seq, succ, block = (pdf[c].to_numpy() for c in ("seq", "succ", "block"))
+    return np.where((succ - 1) // block_rows == block, np.arange(len(pdf)) + succ - seq, -1)
+
+
+def successors(times: DataFrame, key: str, window_us: int, slice_hours: float) -> DataFrame:
+    """(key, us, seq, succ) of distinct times: number in the key's order, and that of the first time beyond the window.
+
+    ``succ`` is null where there is none. Times and window ends share one running
+    count in time slices, so no key is ordered in one task.
+    """
+    ends = times.select(key, "us", (F.col("us") + window_us).alias("at"), F.lit(0).alias("is_time"))
+    both = times.select(key, "us", F.col("us").alias("at"), F.lit(1).alias("is_time")).unionByName(ends)
+    both = both.withColumn("_slice", F.floor(F.col("at") / int(slice_hours * 3_600_000_000)))
+    counted = sliced_running(both, [key], "_slice", ["at", F.desc("is_time")], sums={"n": F.col("is_time").cast("bigint")})
+    pairs = counted.groupBy(key, "us").agg(F.max(F.when(F.col("is_time") == 1, F.col("n"))).alias("seq"), (F.max(F.when(F.col("is_time") == 0, F.col("n"))) + 1).alias("succ"))
+    totals = times.groupBy(key).agg(F.count(F.lit(1)).alias("total"))
+    same = F.col(f"p.{key}").eqNullSafe(F.col(f"t.{key}"))
+    joined = pairs.alias("p").join(totals.alias("t"), same).select("p.*", "t.total")
+    return joined.withColumn("succ", F.when(F.col("succ") <= F.col("total"), F.col("succ")))
+
+
+def _entries(nodes: DataFrame, key: str, kind: str, block_rows: int) -> DataFrame:
+    """(key, seq): where the chain from each key's first time enters blocks.
+
+    Every row's way out of its block is found inside the block; what is entered
+    that way makes a short chain over blocks, which pointer doubling follows.
+    """
+
+    def leave(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _whole_groups(frames, key):
+            succ = pdf["succ"].to_numpy().copy()
+            nxt = _next_in_block(pdf, block_rows)
+            while (inner := np.flatnonzero(nxt >= 0)).size:
+                succ[inner], nxt[inner] = succ[nxt[inner]], nxt[nxt[inner]]
+            yield pd.DataFrame({key: pdf[key], "seq": pdf["seq"], "out": succ})
+
+    ways = nodes.select(key, "block", "seq", F.coalesce("succ", F.lit(-1)).alias("succ"))
+    ways = ways.repartition(key, "block").sortWithinPartitions(key, "block", "seq").mapInPandas(leave, f"{key} {kind}, seq bigint, out bigint")
+    ways = cut_lineage(ways)
+    entered = ways.filter("out > 0").select(key, F.col("out").alias("seq")).distinct()
+    first = nodes.filter("seq = 1").select(key, "seq")
+    on = F.col(f"a.{key}").eqNullSafe(F.col(f"b.{key}"))
+    hops = cut_lineage(entered.unionByName(first).distinct().alias("a").join(ways.alias("b"), on & (F.col("a.seq") == F.col("b.seq"))).filter("out > 0").select(f"a.{key}", "a.seq", "b.out"))
+    reached = first
+    most = nodes.agg(F.max("block")).first()[0] or 0
+    for _ in range(int(most).bit_length()):  # chains over blocks are no longer than blocks
+        on_way = reached.alias("a").join(hops.alias("b"), on & (F.col("a.seq") == F.col("b.seq"))).select(f"a.{key}", F.col("b.out").alias("seq"))
+        reached = cut_lineage(reached.unionByName(on_way).distinct())
+        hops = cut_lineage(hops.alias("a").join(hops.alias("b"), on & (F.col("a.out") == F.col("b.seq"))).select(f"a.{key}", "a.seq", "b.out"))
+    return reached
+
+
+def suppress_batch(alerts: DataFrame, key: str, minutes: float, slice_hours: float = 720.0, block_rows: int = 100_000) -> DataFrame:
+    """Batch twin: (key, us, ts) of the dispatched rows.
+
+    Each time points to the first one beyond its window; the dispatched times are
+    the chain from a key's first. Keys are cut into blocks of ``block_rows``
+    times: a block is walked from where the chain enters it, and only keys of several
+    blocks need to find out where that is. A key without any pause is as many tasks as it has blocks.
     """
-    window_us = int(minutes * 60_000_000)
     times = alerts.select(key, F.unix_micros(F.col("ts").cast("timestamp")).alias("us")).distinct()
-    base = times.withColumn("_slice", F.floor(F.col("us") / int(slice_hours * 3_600_000_000)))
-    prev = sliced_running(base, [key], "_slice", ["us"], prior_maxes={"_prev": F.col("us")})
-    starts = F.when(F.col("_prev").isNull() | (F.col("us") - F.col("_prev") > window_us), 1).otherwise(0)
-    islands = sliced_running(prev.withColumn("_start", starts).drop("_prev"), [key], "_slice", ["us"], sums={"island": F.col("_start")})
     kind = dict(times.dtypes)[key]
+    nodes = successors(times, key, int(minutes * 60_000_000), slice_hours).withColumn("block", F.floor((F.col("seq") - 1) / block_rows))
+    nodes = cut_lineage(nodes)
+    large = nodes.filter(F.col("total") > block_rows)
+    entry = F.col("seq") == 1
+    if not large.isEmpty():
+        found = _entries(large, key, kind, block_rows).withColumn("_e", F.lit(True))
+        same = F.col(f"n.{key}").eqNullSafe(F.col(f"e.{key}")) & (F.col("n.seq") == F.col("e.seq"))
+        nodes = nodes.alias("n").join(found.alias("e"), same, "left").select("n.*", "e._e")
+        entry = entry | F.coalesce("_e", F.lit(False))
 
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # rows arrive ordered by key, island and time; the state crosses batch borders
-        group, last = None, None
-        for pdf in frames:
-            keep = []
-            for k, island, us in zip(pdf[key].tolist(), pdf["island"].tolist(), pdf["us"].tolist()):
-                if (k, island) != group:
-                    group, last = (k, island), None
-                send = last is None or us - last > window_us
-                last = us if send else last
-                keep.append(send)
+        for pdf in _whole_groups(frames, key):
+            nxt, keep = _next_in_block(pdf, block_rows), np.zeros(len(pdf), bool)
+            at = np.flatnonzero(pdf["entry"].to_numpy())
+            while at.size:  # all groups at once, a step each
+                keep[at] = True
+                at = nxt[at]
+                at = at[at >= 0]
             yield pdf.loc[keep, [key, "us"]]
 
-    placed = islands.select(key, "island", "us").repartition(key, "island").sortWithinPartitions(key, "island", "us")
-    sent = placed.mapInPandas(walk, f"{key} {kind}, us bigint")
+    rows = nodes.select(key, "block", "seq", F.coalesce("succ", F.lit(-1)).alias("succ"), "us", entry.alias("entry"))
+    sent = rows.repartition(key, "block").sortWithinPartitions(key, "block", "seq").mapInPandas(walk, f"{key} {kind}, us bigint")
     return sent.withColumn("ts", F.timestamp_micros("us"))
 
 
