@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from slopewatch.catalog.registry import Frames, query
 from slopewatch.catalog.rollups import AS_OF_SQL, HIGH, STATE, as_of, r6, state
-from slopewatch.catalog.scoring import METEO, STATIC, clamp
+from slopewatch.catalog.scoring import METEO, STATIC, TOTAL, clamp
 from slopewatch.catalog.series import DIV, EVENTS, TRUTH, divergence, truth_table
 from slopewatch.catalog.spatial import edges
 from slopewatch.functions import basic as B
@@ -91,28 +91,39 @@ def _(fx):
 
 
 def axis(fx: Frames):
-    bounds = fx["fx_rain"].agg(F.min("ts").alias("_m")).select(
-        F.lit("2024-01-10 00:00:00").cast("timestamp_ntz").alias("start"), F.lit("2024-01-11 00:00:00").cast("timestamp_ntz").alias("stop")
-    )
+    """Every hour from the first rain sample to the last."""
     from slopewatch.operators.timeseries import hourly_axis
 
-    return hourly_axis(bounds, name="t").select("t")
+    return hourly_axis(fx["fx_rain"].agg(F.min("ts").alias("start"), F.max("ts").alias("stop")), name="t").select("t")
 
 
-@query("pip5_backtest")
+NODE_HOURS = """t as (select unnest(generate_series(min(ts), max(ts), interval 1 hour)) as t from fx_rain), s as (select r.series_id, t.t, r.ts, r.mm, row_number() over (partition by r.series_id, t.t order by r.ts) as rn from fx_rain r join t on r.ts between t.t - interval 48 hours and t.t),
+    w as (select *, case when rn - lag(rn) over (partition by series_id, t order by rn) - 1 >= 6 then 1 else 0 end as ns from s where mm > 0), i as (select *, sum(ns) over (partition by series_id, t order by rn) as ev from w),
+    g as (select series_id, t, ev, max(rn) as er, sum(mm) as total, greatest(1.0, (epoch_us(max(ts)) - epoch_us(min(ts))) / 3.6e9 + 1.0) as dur from i group by series_id, t, ev having sum(mm) >= 2.0),
+    l as (select series_id, t, arg_max(total, er) as total, arg_max(dur, er) as dur from g group by series_id, t),
+    nh as (select s.series_id as node_id, s.t, sum(s.mm) filter (where s.ts >= s.t - interval 24 hours) as r24, max(l.total) as event_mm, max(l.dur) as event_hours from s left join l on l.series_id = s.series_id and l.t = s.t group by s.series_id, s.t)"""
+
+
+@query("pip5_backtest", f"""with {NODE_HOURS}, b as (select s.*, c.cell_id % 200 as node_id, 'italy_default' as macroregion, {', '.join(f'null::double as {c}' for c in (
+    'api_30_mm', 'api_baseline_mm', 'soil_moisture', 'snow_depth_m', 'pga_g', 'months_since_fire', 'flood_rain_72h_mm', 'discharge_ratio', 'coastal_surge', 'sensor_rainfall_mm', 'sensor_pore_kpa', 'sensor_soil', 'velocity_mmd', 'acceleration_mmd2', 'inverse_velocity'))}
+    from fx_cells c join fx_static s on s.cell_id = c.cell_id),
+    al as (select cell_id, min(t) as t, count(*) as n from (select b.cell_id, nh.t, {TOTAL.replace('rain_24h_mm', 'nh.r24')} as score from b join nh on nh.node_id = b.node_id) q where score >= 0.15 group by cell_id),
+    e as (select cell_id, min(event_time) as et from fx_slides group by cell_id),
+    j as (select (epoch_us(et) - epoch_us(t)) / 3.6e9 as lead, e.cell_id as ec, al.cell_id as ac, n from e full join al on al.cell_id = e.cell_id),
+    c as (select count(ec) as events, count(ac) as alerted_cells, cast(coalesce(sum(n), 0) as bigint) as alerts, count(*) filter (where lead > 0 and lead <= 120) as hits, coalesce(avg(lead) filter (where lead > 0 and lead <= 120), 0) as ml from j),
+    d as (select *, greatest(0, alerted_cells - hits) as fa from c)
+    select events, alerted_cells, alerts, hits, events - hits as misses, fa as false_alarms, round(case when events = 0 then 0 else hits / events end, 6) as hit_rate, round(case when hits + fa = 0 then 0 else fa / (hits + fa) end, 6) as far, round(ml, 6) as mean_lead_h,
+           hits / events >= 0.7 and fa / (hits + fa) <= 0.3 and ml >= 18 as accepted from d""")
 def _(fx):
     truth = fx["fx_slides"].select("cell_id", "event_time")
     out = O.backtest(placed_cells(fx), fx["fx_static"], node_rain(fx), axis(fx), truth, minimum="Low")
     return out.withColumns({c: F.round(c, 6) for c in ("hit_rate", "far", "mean_lead_h")})
 
 
-@query("pip5_node_hours", """with t as (select unnest(generate_series(timestamp '2024-01-10', timestamp '2024-01-11', interval 1 hour)) as t), s as (select r.series_id, t.t, r.ts, r.mm, row_number() over (partition by r.series_id, t.t order by r.ts) as rn from fx_rain r join t on r.ts between t.t - interval 48 hours and t.t),
-    w as (select *, case when rn - lag(rn) over (partition by series_id, t order by rn) - 1 >= 6 then 1 else 0 end as ns from s where mm > 0), i as (select *, sum(ns) over (partition by series_id, t order by rn) as ev from w),
-    g as (select series_id, t, ev, max(rn) as er, sum(mm) as total from i group by series_id, t, ev having sum(mm) >= 2.0), l as (select series_id, t, arg_max(total, er) as total from g group by series_id, t)
-    select s.series_id as node_id, epoch_us(s.t) as us, round(max(l.total), 4) as event_mm from s left join l on l.series_id = s.series_id and l.t = s.t group by s.series_id, s.t""")
+@query("pip5_node_hours", f"with {NODE_HOURS} select node_id, epoch_us(t) as us, round(event_mm, 4) as event_mm, round(event_hours, 4) as event_hours, round(r24, 4) as rain_24h_mm from nh")
 def _(fx):
     out = O.node_hours(node_rain(fx), axis(fx))
-    return out.select("node_id", B.epoch_us("t").alias("us"), F.round("event_mm", 4).alias("event_mm"))
+    return out.select("node_id", B.epoch_us("t").alias("us"), *[F.round(c, 4).alias(c) for c in ("event_mm", "event_hours", "rain_24h_mm")])
 
 
 @query("pip6_shadow_summary", f"select coalesce(d.aoi_id, t.aoi_id) as aoi_id, d.n as pairs, t.events, t.both_seen from (select aoi_id, count(*) as n from {DIV} v group by aoi_id) d full join (select c.aoi_id, count(*) as events, count(*) filter (where champion is not null and challenger is not null) as both_seen from ({TRUTH}) x join fx_cells c on c.cell_id = x.cell_id group by c.aoi_id) t on t.aoi_id = d.aoi_id")

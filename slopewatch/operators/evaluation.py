@@ -168,13 +168,14 @@ def retrain_decision(row: DataFrame, d: dict[str, Any] = PARAMS["drift"]) -> Dat
 
 
 # --- backtest and verification --------------------------------------------------
-def backtest_scores(alerts: DataFrame, truth: DataFrame, lead_max_h: float = 120.0) -> DataFrame:
+def backtest_scores(alerts: DataFrame, truth: DataFrame, lead_max_h: float = 120.0, times: Column | None = None) -> DataFrame:
     """Skill of first alerts per cell against the first event per cell.
 
     ``alerts(cell_id, ts)``, ``truth(cell_id, event_time)``. Only the first
-    alert of a cell counts, as in operation.
+    alert of a cell counts, as in operation. An alert row may stand for several
+    ``times``, of which ``ts`` is the first.
     """
-    first_alert = alerts.groupBy("cell_id").agg(F.min("ts").alias("alert_ts"), F.count(F.lit(1)).alias("_n"))
+    first_alert = alerts.groupBy("cell_id").agg(F.min("ts").alias("alert_ts"), F.sum(F.lit(1) if times is None else times).alias("_n"))
     first_event = truth.groupBy("cell_id").agg(F.min("event_time").alias("event_time"))
     lead = (F.unix_micros(F.col("event_time").cast("timestamp")) - F.unix_micros(F.col("alert_ts").cast("timestamp"))) / 3.6e9
     joined = first_event.join(first_alert, "cell_id", "full_outer").withColumn("lead", lead)

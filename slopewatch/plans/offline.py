@@ -14,9 +14,11 @@ from slopewatch.operators import zonal as Z
 from slopewatch.operators.evaluation import backtest_gate, backtest_scores
 from slopewatch.operators.learning import guarded_corr
 from slopewatch.operators.relational import lookup_join
+from slopewatch.operators.running import numbered, sliced_running
 from slopewatch.operators.segments import nearest_segment
-from slopewatch.operators.timeseries import antecedent_rain, latest_event, rain_events
+from slopewatch.operators.timeseries import antecedent_rain
 from slopewatch.params import PARAMS
+from slopewatch.session import cut_lineage
 
 
 def static_factors(cells: DataFrame, inventory: DataFrame, hazard_edges: DataFrame, hazards: DataFrame, network: DataFrame,
@@ -52,37 +54,86 @@ def calibrate(static: DataFrame, cells: DataFrame, p: dict[str, Any] = PARAMS) -
     return norms, s.select("cell_id", "s_static"), fit
 
 
-def node_hours(rain: DataFrame, axis: DataFrame, hours: int = 48, key: str = "node_id") -> DataFrame:
-    """Latest rain event per node and evaluation hour over the trailing slice.
+UNIT = 1_000_000_000_000  # rain is summed in whole units, so that differences of running sums are exact
 
-    The slice is built per node, never per cell: each sample feeds the hours
-    that can see it, and the events of all slices are found in one pass.
+
+def event_states(rain: DataFrame, key: str, p: dict[str, Any], slice_hours: float) -> tuple[DataFrame, DataFrame]:
+    """Wet samples (key, us, c, next_us, event) and events (key, event, start_us, c0, before).
+
+    ``c`` is the rain up to a sample, ``c0`` that before an event, ``next_us`` the next wet
+    sample, ``before`` the last earlier event of enough rain (start_us, c0, end_us, c1).
+    """
+    gap, least = p["rain_event"]["dry_samples"], int(p["rain_event"]["min_mm"] * UNIT)
+    base = rain.select(key, F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.round(F.col("mm") * UNIT).cast("bigint").alias("units"))
+    base = base.withColumn("_slice", F.floor(F.col("us") / int(slice_hours * 3_600_000_000)))
+    wet = numbered(base, [key], "_slice", ["us"]).filter("units > 0")
+    wet = sliced_running(wet, [key], "_slice", ["us"], sums={"c": F.col("units")}, prior_maxes={"_last": F.col("seq")})
+    opens = F.col("_last").isNull() | (F.col("seq") - F.col("_last") - 1 >= gap)
+    wet = sliced_running(wet.withColumn("_open", opens.cast("int")), [key], "_slice", ["us"], sums={"event": F.col("_open")})
+    wet = sliced_running(wet.withColumn("_back", -F.col("_slice")), [key], "_back", [F.desc("us")], prior_maxes={"_next": -F.col("us")})
+    wet = cut_lineage(wet.select(key, "_slice", "us", "units", "c", "event", (-F.col("_next")).alias("next_us")))
+    events = wet.groupBy(key, "event").agg(
+        F.min("us").alias("start_us"), F.min(F.col("c") - F.col("units")).alias("c0"), F.max("us").alias("end_us"), F.max("c").alias("c1")
+    ).withColumn("_slice", F.floor(F.col("start_us") / int(slice_hours * 3_600_000_000)))
+    enough = F.when(F.col("c1") - F.col("c0") >= least, F.struct("start_us", "c0", "end_us", "c1"))
+    events = sliced_running(events, [key], "_slice", ["start_us"], prior_maxes={"before": enough})
+    return wet.drop("_slice", "units"), events.select(key, "event", "start_us", "c0", "before")
+
+
+def node_hours(rain: DataFrame, axis: DataFrame, hours: int = 48, key: str = "node_id", p: dict[str, Any] = PARAMS, slice_hours: float = 720.0) -> DataFrame:
+    """Latest rain event per node and evaluation hour over the trailing ``hours``, and the rain of 24 hours.
+
+    Nothing is repeated per window. An hour sees the running sum at its end and
+    before its two beginnings, and the event its last wet sample belongs to. What lies before the
+    window is taken off; if too little is left, the last earlier event of enough
+    rain stands, as far as the window reaches it. Hours without any sample in their window have no row.
     """
-    bounds = axis.agg(F.min("t").alias("a"), F.max("t").alias("b"))
-    full = F.timestamp_add("HOUR", F.lit(1), F.date_trunc("hour", F.timestamp_add("MICROSECOND", F.lit(-1), F.col("ts"))))
-    first = F.greatest(full, bounds.select("a").scalar())
-    last = F.least(F.date_trunc("hour", F.col("ts") + F.make_dt_interval(hours=F.lit(hours))), bounds.select("b").scalar())
-    seen = rain.withColumns({"_a": first, "_b": last}).filter(F.col("_a") <= F.col("_b")).withColumn("t", F.explode(F.sequence("_a", "_b", F.expr("interval 1 hour"))))
-    slices = seen.select(F.struct(key, "t").alias("slice_id"), "ts", "mm")
-    last_events = latest_event(rain_events(slices, "slice_id", slice_hours=24.0 * 365), "slice_id")
-    sums = slices.groupBy("slice_id").agg(F.sum(F.when(F.col("ts") >= F.col("slice_id.t") - F.expr("interval 24 hours"), F.col("mm"))).alias("rain_24h_mm"))
-    out = sums.join(last_events.select("slice_id", F.col("total_mm").alias("event_mm"), F.col("duration_h").alias("event_hours")), "slice_id", "left")
-    return out.select(f"slice_id.{key}", "slice_id.t", "rain_24h_mm", "event_mm", "event_hours")
+    least, hour = int(p["rain_event"]["min_mm"] * UNIT), 3_600_000_000
+    wet, events = event_states(rain, key, p, slice_hours)
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    at = F.unix_micros(F.col("t").cast("timestamp"))
+    asked = rain.select(key).distinct().withColumn("t", F.explode(axis.agg(F.collect_set("t").alias("ts")).select("ts").scalar()))  # a bounded list of hours
+    point = lambda back, order: F.struct((at - back * hour).alias("pos"), F.lit(order).alias("ord"), F.lit(back).alias("back"))
+    asked = asked.withColumn("q", F.explode(F.array(point(0, 2), point(24, 0), point(hours, 0)))).select(key, "q.pos", "q.ord", "q.back", "t")
+    none = lambda kind: F.lit(None).cast(kind)
+    w = F.struct("us", "c", "event", "next_us")
+    kind = wet.select(w.alias("w")).schema["w"].dataType
+    samples = rain.select(key, us.alias("pos"), F.lit(1).alias("ord"), none("int").alias("back"), none(axis.schema["t"].dataType).alias("t"), none(kind).alias("w"))
+    wets = wet.select(key, F.col("us").alias("pos"), F.lit(1).alias("ord"), none("int").alias("back"), none(axis.schema["t"].dataType).alias("t"), w.alias("w"))
+    every = samples.unionByName(wets).unionByName(asked.withColumn("w", none(kind))).withColumn("_slice", F.floor(F.col("pos") / int(slice_hours * hour)))
+    told = sliced_running(every, [key], "_slice", ["pos", "ord"], maxes={"wet": F.col("w"), "seen": F.when(F.col("ord") == 1, F.col("pos"))}).filter("t is not null")
+    of = lambda back, c: F.max(F.when(F.col("back") == back, F.col(c)))
+    state = told.groupBy(key, "t").agg(of(0, "wet").alias("now"), of(0, "seen").alias("seen"), of(24, "wet.c").alias("c24"), of(hours, "wet").alias("old"))
+    state = state.filter(F.col("seen") >= at - hours * hour).withColumn("_event", F.col("now.event"))
+    j = state.alias("s").join(events.alias("e"), F.col(f"s.{key}").eqNullSafe(F.col(f"e.{key}")) & (F.col("s._event") == F.col("e.event")), "left").select("s.*", "e.start_us", "e.c0", "e.before")
+
+    bound, cut = at - hours * hour, F.coalesce("old.c", F.lit(0))
+    begin = lambda start: F.when(start >= bound, start).otherwise(F.col("old.next_us"))
+    whole = F.struct((F.col("now.c") - F.greatest(F.col("c0"), cut)).alias("units"), begin(F.col("start_us")).alias("a"), F.col("now.us").alias("b"))
+    prior = F.struct((F.col("before.c1") - F.greatest(F.col("before.c0"), cut)).alias("units"), begin(F.col("before.start_us")).alias("a"), F.col("before.end_us").alias("b"))
+    use = lambda e: F.when((e["b"] >= bound) & (e["units"] >= least), e)
+    j = j.withColumn("e", F.coalesce(use(whole), use(prior)))
+    r24 = F.when(F.col("seen") >= at - 24 * hour, (F.coalesce("now.c", F.lit(0)) - F.coalesce("c24", F.lit(0))) / F.lit(float(UNIT)))
+    return j.select(
+        key, "t", r24.alias("rain_24h_mm"), (F.col("e.units") / F.lit(float(UNIT))).alias("event_mm"),
+        F.greatest(F.lit(1.0), (F.col("e.b") - F.col("e.a")) / 3.6e9 + 1.0).alias("event_hours"),
+    ).withColumn("event_hours", F.when(F.col("event_mm").isNotNull(), F.col("event_hours")))
 
 
 def backtest(cells: DataFrame, static: DataFrame, rain: DataFrame, axis: DataFrame, truth: DataFrame, minimum: str = "Moderate",
              lead_max_h: float = 120.0, p: dict[str, Any] = PARAMS) -> DataFrame:
-    """One row of skill for a replay: hours x cells with node features, first alert per cell.
+    """One row of skill for a replay: every hour of the axis for every cell, first alert per cell.
 
-    The axis is a bounded list of hours and is exploded into the cells; alerts
-    reduce to one row per cell on the map side.
+    Hours in which a node's features are the same score the same, so they are one
+    state with their number and the first of them; cells meet states, not hours.
     """
-    hours = axis.agg(F.sort_array(F.collect_set("t")).alias("ts")).scalar()
-    grid = cells.select("cell_id", "node_id").join(static, "cell_id").withColumn("t", F.explode(hours))
-    b = lookup_join(grid, node_hours(rain, axis), ["node_id", "t"])
+    placed = cells.select("cell_id", "node_id").join(static, "cell_id")
+    seen = ["event_mm", "event_hours"] + (["rain_24h_mm"] if "snow_depth_m" in placed.columns else [])  # rain of a day counts on snow only
+    states = node_hours(rain, axis, p=p).groupBy("node_id", *seen).agg(F.min("t").alias("ts"), F.count(F.lit(1)).alias("hours"))
+    b = placed.join(states, "node_id")
     b = b.withColumn("caine_excess", rain_excess(F.col("event_mm"), F.col("event_hours"), F.lit("italy_default")))
-    alerts = score(b, p).filter(at_least("level", minimum)).select("cell_id", F.col("t").alias("ts"))
-    return backtest_gate(backtest_scores(alerts, truth, lead_max_h), p)
+    alerts = score(b, p).filter(at_least("level", minimum)).select("cell_id", "ts", "hours")
+    return backtest_gate(backtest_scores(alerts, truth, lead_max_h, F.col("hours")), p)
 
 
 def enrich_samples(samples: DataFrame, rain: DataFrame, last_covered: Any) -> DataFrame:
