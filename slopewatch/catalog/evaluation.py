@@ -66,12 +66,12 @@ def _(fx):
     return E.conformal_quantiles(fx["fx_scored"]).select(*[r6(F.col(c), c) for c in ("q80", "q90", "q95")])
 
 
-RELIABLE = """(select p.cell_id, p.prob, e.cell_id is not null as observed from (select cell_id, max(probability) as prob from fx_runs group by cell_id) p left join (select distinct cell_id from fx_truth where event_id % 3 = 0) e on e.cell_id = p.cell_id)"""
+RELIABLE = """(select p.cell_id, p.prob, e.cell_id is not null as observed from (select cell_id, max(probability) as prob from fx_runs group by cell_id) p left join (select distinct cell_id from fx_truth) e on e.cell_id = p.cell_id)"""
 
 
 @query("agg26_reliability", f"select b as bin, round(avg(prob), 6) as predicted_mean, round(avg(observed::int), 6) as observed_freq, count(*) as n from (select *, cast(least(9, greatest(0, floor(prob * 10))) as int) as b from {RELIABLE} r) t group by b")
 def _(fx):
-    seen = fx["fx_truth"].filter(F.col("event_id") % 3 == 0).select("cell_id").distinct().withColumn("observed", F.lit(True))
+    seen = fx["fx_truth"].select("cell_id").distinct().withColumn("observed", F.lit(True))
     pred = fx["fx_runs"].groupBy("cell_id").agg(F.max("probability").alias("prob"))
     pairs = pred.join(seen, "cell_id", "left").withColumn("observed", F.coalesce("observed", F.lit(False)))
     out = E.reliability_bins(pairs, min_positives=20)
@@ -82,10 +82,10 @@ def two_samples(fx: Frames):
     """First and last part of the assessment log as reference and candidate."""
     a = fx["fx_assess"].withColumnRenamed("score", "v")
     day = F.lit("1998-06-01").cast("timestamp_ntz")
-    return a.filter(F.col("computed_at") < day), a.filter((F.col("computed_at") >= day) & (F.col("v") > 0.05))
+    return a.filter(F.col("computed_at") < day), a.filter(F.col("computed_at") >= day)
 
 
-REF, CAND = "(select score as v, k from fx_assess where computed_at < timestamp '1998-06-01')", "(select score as v, k from fx_assess where computed_at >= timestamp '1998-06-01' and score > 0.05)"
+REF, CAND = "(select score as v, k from fx_assess where computed_at < timestamp '1998-06-01')", "(select score as v, k from fx_assess where computed_at >= timestamp '1998-06-01')"
 PSI = f"""s as (select v, row_number() over (order by v) - 1 as i, count(*) over () as n from {REF} r),
     e as (select list(v order by j) as e from (select j, (select v from s where i = floor(j / 10.0::double * (n - 1))) as v from range(11) r(j), (select distinct n from s) z) q),
     b as (select src, cast(floor(list_position(list_transform(range(10), lambda j: v >= e[j + 1] and (v < e[j + 2] or (j = 9 and v = e[j + 2]))), true)) as int) as b
