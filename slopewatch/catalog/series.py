@@ -13,6 +13,7 @@ from slopewatch.operators.asof import asof_join
 from slopewatch.operators.learning import guarded_corr
 from slopewatch.operators.relational import latest_per_key, top_per_key
 from slopewatch.operators.running import exact_percentiles
+from slopewatch.session import cut_lineage
 
 EVENTS = """
     a as (select *, row_number() over (partition by series_id order by ts) as rn from fx_rain),
@@ -237,7 +238,8 @@ def _(fx):
         F.count(F.lit(1)).alias("n"), r6(F.avg("d"), "mean_abs"), r6(F.max("d"), "max_abs"), r6(guarded_corr("score", "probability", 2), "correlation"),
         r6(F.avg((F.col("ml_level") == F.col("level")).cast("double")), "agreement"),
     ]
-    return exact_percentiles(divergence(fx), "d", {"p95_abs": 0.95}, ["aoi_id"], also=also).withColumn("p95_abs", F.round("p95_abs", 6))
+    pairs_once = cut_lineage(divergence(fx).select("aoi_id", "d", "score", "probability", "level", "ml_level"))  # read by every pass below
+    return exact_percentiles(pairs_once, "d", {"p95_abs": 0.95}, ["aoi_id"], also=also).withColumn("p95_abs", F.round("p95_abs", 6))
 
 
 @query("agg10_guarded_pearson", f"select cell_id, case when count(*) >= 3 and var_pop(score) > 0 and var_pop(probability) > 0 then round(corr(score, probability), 6) end as r from {PAIRS} p group by cell_id")
