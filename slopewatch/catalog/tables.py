@@ -415,7 +415,7 @@ def _(fx):
     return fx["events"].select("event_id", F.size(TX.allowed_numbers(F.col("props"))).cast("bigint").alias("n"))
 
 
-@query("txt4_fallback_briefing", f"select aoi_id, concat('Nell''area ', aoi_id, ' prevale il livello ', arg_max(level, (score, -cell_id)), '. Sono state esaminate ', count(*), ' celle, con questi conteggi: ', concat_ws(', ', case when count(*) filter (where level = 'High') > 0 then concat('High: ', count(*) filter (where level = 'High')) end, case when count(*) filter (where level = 'Low') > 0 then concat('Low: ', count(*) filter (where level = 'Low')) end, case when count(*) filter (where level = 'Moderate') > 0 then concat('Moderate: ', count(*) filter (where level = 'Moderate')) end, case when count(*) filter (where level = 'None') > 0 then concat('None: ', count(*) filter (where level = 'None')) end, case when count(*) filter (where level = 'VeryHigh') > 0 then concat('VeryHigh: ', count(*) filter (where level = 'VeryHigh')) end), '. Non è disponibile un commento esteso.') as text from {STATE} s group by aoi_id")
+@query("txt4_fallback_briefing", f"select aoi_id, concat('Nell''area ', aoi_id, ' prevale il livello ', arg_max(level, (score, -cell_id)), '. Sono state esaminate ', count(*), ' celle, con questi conteggi: ', concat_ws(', ', case when count(*) filter (where level = 'High') > 0 then concat('High: ', count(*) filter (where level = 'High')) end, case when count(*) filter (where level = 'Low') > 0 then concat('Low: ', count(*) filter (where level = 'Low')) end, case when count(*) filter (where level = 'Moderate') > 0 then concat('Moderate: ', count(*) filter (where level = 'Moderate')) end, case when count(*) filter (where level = 'None') > 0 then concat('None: ', count(*) filter (where level = 'None')) end, case when count(*) filter (where level = 'VeryHigh') > 0 then concat('VeryHigh: ', count(*) filter (where level = 'VeryHigh')) end), '.{TX.READING}') as text from {STATE} s group by aoi_id")
 def _(fx):
     s = state(fx).groupBy("aoi_id").agg(F.count(F.lit(1)).alias("n"), *U.class_counts(), F.max_by("level", F.struct("score", (-F.col("cell_id")).alias("c"))).alias("worst"))
     counts = TX.counts_text({n: F.col(f"n_{n.lower()}") for n in ("None", "Low", "Moderate", "High", "VeryHigh")})
@@ -434,15 +434,15 @@ def _(fx):
     return fx["customer"].select("c_custkey", distance_text(F.abs("c_acctbal")).alias("txt"))
 
 
-@query("fn17_verdict_and_summary", "select id, case when level in ('High', 'VeryHigh') then 'warn' when level = 'Moderate' then 'watch' else 'ok' end as tone, case when m < 0.05 then 'Non c''è pioggia' when m < 0.2 then 'La pioggia recente incide poco.' when m < 0.5 then 'La pioggia recente contribuisce' else 'La pioggia recente sta spingendo' end as rain, greatest(s, m, e, f, h) > 0.05 as driven from fx_rated")
+@query("fn17_verdict_and_summary", "select id, case when level in ('High', 'VeryHigh') then 'warn' when level = 'Moderate' then 'watch' else 'ok' end as tone, case when m < 0.05 then 'Le precipitazioni non contano' when m < 0.2 then 'Le precipitazioni aggiungono poco.' when m < 0.5 then 'Le precipitazioni pesano' else 'Le precipitazioni fanno salire' end as rain, greatest(s, m, e, f, h) > 0.05 as driven from fx_rated")
 def _(fx):
     text = TX.plain_summary({c: F.col(c) for c in "smefh"})
     t = fx["fx_rated"].withColumn("t", text)
     pick = None
-    for head in ("Non c'è pioggia", "La pioggia recente incide poco.", "La pioggia recente contribuisce", "La pioggia recente sta spingendo"):
+    for head in ("Le precipitazioni non contano", "Le precipitazioni aggiungono poco.", "Le precipitazioni pesano", "Le precipitazioni fanno salire"):
         hit = F.col("t").contains(head)
         pick = F.when(hit, head) if pick is None else pick.when(hit, head)
-    return t.select("id", TX.verdict(F.col("level"))["tone"].alias("tone"), pick.alias("rain"), F.col("t").startswith("Il punteggio nasce").alias("driven"))
+    return t.select("id", TX.verdict(F.col("level"))["tone"].alias("tone"), pick.alias("rain"), F.col("t").startswith("Il peso maggiore").alias("driven"))
 
 
 @query("fn18_alert_text", f"select aoi_id, printf('Livello %s nell''area %s. Celle in classe alta o più: %d. Conteggio per livello: %s. Il valore più elevato si trova nella cella %s (%.2f).', arg_max(level, (score, -cell_id)), aoi_id, count(*) filter (where {HIGH}), 'x', cast(arg_max(cell_id, (score, -cell_id)) as varchar), max(score)) as text from {STATE} s group by aoi_id")
