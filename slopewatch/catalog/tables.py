@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from slopewatch.catalog.registry import Frames, query
 from slopewatch.catalog.rollups import AS_OF_SQL, HIGH, LATEST, STATE, as_of, r6, state
 from slopewatch.catalog.scoring import sig
-from slopewatch.catalog.spatial import edges, high_zones, rings
+from slopewatch.catalog.spatial import ZONES, edges, high_zones, rings
 from slopewatch.functions import basic as B
 from slopewatch.functions import text as TX
 from slopewatch.operators import relational as R
@@ -335,28 +335,46 @@ def _(fx):
     return R.unchanged(now, known.select("dataset", "version", "fetched_at"), ["dataset"]).select("dataset", "skip")
 
 
-@query("snk10_report_signature", f"select count(*) > 0 as has_zones, true as stable from {STATE} s")
+@query("snk10_report_signature", f"select count(*) as zones, true as stable, true as told_apart, true as head_counts from {STATE} s")
 def _(fx):
     zones = state(fx).select("cell_id", "score", "level")
     head = {"valuation_time": "2001-08-01T00:00:00", "diffuse": 0}
-    # the same rows in another order and partitioning must sign alike
-    a, b = K.report_signature(zones, head), K.report_signature(zones.repartition(5, "level"), head)
-    joined = a.withColumn("_b", b.scalar())
-    return joined.select(F.lit(True).alias("has_zones"), (F.col("signature") == F.col("_b")).alias("stable"))
+    # the same rows in another order and partitioning sign alike; one score more, one row less or another head does not
+    rows = K.report_signature(zones, head)
+    least = zones.agg(F.min("cell_id")).scalar()
+    other = {
+        "_same": K.report_signature(zones.repartition(5, "level"), head), "_less": K.report_signature(zones.filter(F.col("cell_id") != least), head),
+        "_more": K.report_signature(zones.withColumn("score", F.col("score") + F.when(F.col("cell_id") == least, 0.01).otherwise(0.0)), head),
+        "_head": K.report_signature(zones, {**head, "diffuse": 1}),
+    }
+    told = rows.withColumns({k: t.select("signature").scalar() for k, t in other.items()}).withColumn("zones", zones.agg(F.count(F.lit(1))).scalar())
+    sign = F.col("signature")
+    return told.select("zones", (sign == F.col("_same")).alias("stable"), ((sign != F.col("_less")) & (sign != F.col("_more"))).alias("told_apart"), (sign != F.col("_head")).alias("head_counts"))
 
 
-@query("snk11_feature_lines", "select cast(geom_id as bigint) as id from fx_hazard where hazard_class <> 'UNKNOWN'")
+@query("snk11_feature_lines", "select cast(geom_id as bigint) as id, hazard_class, authority, 5 as n_points, round(cx - rx, 6) as x0, round(cy - ry, 6) as y1 from fx_hazard where hazard_class <> 'UNKNOWN'")
 def _(fx):
     df = fx["fx_hazard"].join(rings(fx), "geom_id")
     lines = K.export_hazard_features(df, K.ring_geometry(F.col("xs"), F.col("ys")))
-    return lines.select(F.get_json_object("value", "$.id").cast("bigint").alias("id"))
+    of = lambda path: F.get_json_object("value", f"$.{path}")
+    points = F.size(F.from_json(of("geometry.coordinates[0]"), "array<array<double>>"))
+    return lines.select(
+        of("id").cast("bigint").alias("id"), of("properties.hazard_class").alias("hazard_class"), of("properties.authority").alias("authority"), points.alias("n_points"),
+        F.round(of("geometry.coordinates[0][0][0]").cast("double"), 6).alias("x0"), F.round(of("geometry.coordinates[0][1][1]").cast("double"), 6).alias("y1"),
+    )
 
 
-@query("snk12_zone_collections", f"select count(*) as cells from {STATE} s where {HIGH}")
+@query("snk12_zone_collections", f"""with recursive {ZONES} select m.zone, row_number() over (partition by m.zone order by z.score desc, z.cell_id) as rank, z.cell_id, case when z.score >= 0.75 then 'VeryHigh' else 'High' end as level,
+    round(z.score, 3) as score, round(z.lon - 0.005, 6) as west, round(z.lat + 0.005, 6) as north from z join m on m.cell_id = z.cell_id""")
 def _(fx):
-    c = K.zone_collections(high_zones(fx))
-    size = F.size(F.from_json(F.get_json_object("collection", "$.features"), "array<variant>"))
-    return c.agg(F.sum(size).cast("bigint").alias("cells"))
+    # every feature as a reader of the collections finds it
+    texts = K.zone_collections(high_zones(fx), per_text=7)
+    lines = texts.select("zone", "part", F.posexplode(F.filter(F.split("text", "\n"), lambda t: t.startswith('{"type":"Feature",'))).alias("at", "line"))
+    of = lambda path, kind: F.get_json_object("line", f"$.{path}").cast(kind)
+    return lines.select(
+        "zone", (F.col("part") * 7 + F.col("at") + 1).alias("rank"), of("properties.cell_id", "bigint").alias("cell_id"), of("properties.level", "string").alias("level"),
+        of("properties.score", "double").alias("score"), F.round(of("geometry.coordinates[0][0][0]", "double"), 6).alias("west"), F.round(of("geometry.coordinates[0][2][1]", "double"), 6).alias("north"),
+    )
 
 
 @query("snk13_build_index", "select strftime(o_orderdate, '%Y-%m-%dT%H%MZ') as build_id, max(o_orderkey) as written_at, arg_max(o_custkey, o_orderkey) as zones from orders group by 1")

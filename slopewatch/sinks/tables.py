@@ -19,6 +19,7 @@ from slopewatch.operators.relational import (
     merge_replacing,
     replace_slice,
 )
+from slopewatch.operators.running import numbered
 from slopewatch.params import PARAMS
 
 
@@ -147,22 +148,44 @@ def export_hazard_features(df: DataFrame, geometry: Column, path: str | None = N
     return out
 
 
-def zone_collections(members: DataFrame, half: float = 0.005) -> DataFrame:
-    """One feature collection per zone, script-safe.
+def zone_features(members: DataFrame, half: float = 0.005) -> DataFrame:
+    """(zone, rank, feature): one script-safe feature line per cell, the worst cells of a zone first.
 
-    A zone's text is one value by definition of the export; the reported zones
-    are capped by rank, and each cell adds about 200 bytes.
+    Ranks are running counts over slices of the score, so a zone of any size is
+    ranked by many tasks.
     """
     x, y = F.col("lon"), F.col("lat")
     xs, ys = F.array(x - half, x + half, x + half, x - half), F.array(y - half, y - half, y + half, y + half)
+    sliced = members.withColumns({"xs": xs, "ys": ys, "_slice": F.floor(-F.col("score") * 1000)})
+    ranked = numbered(sliced, ["zone"], "_slice", [F.desc("score"), F.asc("cell_id")], "rank")
     feature = F.struct(
-        F.lit("Feature").alias("type"), ring_geometry(xs.alias("xs"), ys.alias("ys")).alias("geometry"),
+        F.lit("Feature").alias("type"), ring_geometry(F.col("xs"), F.col("ys")).alias("geometry"),
         F.struct("level", "cell_id", F.round("score", 3).alias("score")).alias("properties"),
     )
-    entry = F.struct((-F.col("score")).alias("o"), "cell_id", feature.alias("f"))
-    packed = members.withColumns({"xs": xs, "ys": ys}).groupBy("zone").agg(F.sort_array(F.collect_list(entry)).alias("fs"))
-    coll = F.struct(F.lit("FeatureCollection").alias("type"), F.transform("fs", lambda e: e["f"]).alias("features"))
-    return packed.select("zone", F.replace(F.to_json(coll), F.lit("<"), F.lit("\\u003c")).alias("collection"))
+    return ranked.select("zone", "rank", F.replace(F.to_json(feature), F.lit("<"), F.lit("\\u003c")).alias("feature"))
+
+
+def zone_collections(members: DataFrame, per_text: int = 5_000, half: float = 0.005) -> DataFrame:
+    """(zone, part, parts, text): feature collections as texts of at most ``per_text`` features.
+
+    The texts of a zone one after the other are its collection; a zone of one part
+    is complete in itself. Every feature is a line of its own.
+    """
+    features = zone_features(members, half).withColumn("part", F.floor((F.col("rank") - 1) / per_text))
+    texts = features.groupBy("zone", "part").agg(F.array_sort(F.collect_list(F.struct("rank", "feature"))).alias("_f"))
+    whole = features.groupBy("zone").agg((F.max("part") + 1).alias("parts"))
+    body = F.array_join(F.transform("_f", lambda f: f["feature"]), ",\n")
+    head = F.when(F.col("part") == 0, '{"type":"FeatureCollection","features":[\n').otherwise(",\n")
+    foot = F.when(F.col("part") == F.col("parts") - 1, "\n]}\n").otherwise("")
+    same = F.col("t.zone").eqNullSafe(F.col("w.zone"))
+    joined = texts.alias("t").join(whole.alias("w"), same).select("t.*", "w.parts")
+    return joined.select("zone", "part", "parts", F.concat(head, body, foot).alias("text"))
+
+
+def write_zone_collections(members: DataFrame, path: str, per_text: int = 5_000) -> None:
+    """One folder per zone; its part files in the order of their folders' names make up the collection."""
+    texts = zone_collections(members, per_text).select("zone", F.format_string("%08d", "part").alias("part"), "text")
+    texts.write.mode("overwrite").partitionBy("zone", "part").text(path)
 
 
 def write_manifest(manifest: DataFrame, path: str) -> None:
