@@ -12,7 +12,9 @@ from slopewatch.functions import basic as B
 from slopewatch.functions import text as TX
 from slopewatch.operators import relational as R
 from slopewatch.operators import rollup as U
+from slopewatch.session import shared_path
 from slopewatch.sinks import tables as K
+from slopewatch.sinks.bucketed import BucketedTable
 from slopewatch.sources import features as SF
 from slopewatch.sources import weather as SW
 
@@ -321,6 +323,29 @@ def _(fx):
     return out.select("device_id", "n", B.epoch_us("t").alias("us"))
 
 
+def merged_twice(fx: Frames, old, new, keys: list[str], rule):
+    """A bucketed table after two merges."""
+    table = BucketedTable(fx.spark, shared_path(fx.spark, "bucketed"), old.schema, keys, buckets=16)
+    table.merge(old, lambda _, rows: rows, "first")
+    table.merge(new, rule, "second")
+    return table.read()
+
+
+@query("snk2_bucketed_merge", "select coalesce(n.cell_id, o.cell_id) as cell_id, coalesce(n.susc_ispra, o.susc_ispra) as susc_ispra, o.slope_deg from (select cell_id, susc_ispra, slope_deg from fx_static where cell_id % 4 <> 0) o full join (select cell_id, case when cell_id % 3 = 1 then 0.5 end::double as susc_ispra from fx_static where cell_id % 5 <> 0) n on n.cell_id = o.cell_id")
+def _(fx):
+    old = fx["fx_static"].filter(F.col("cell_id") % 4 != 0).select("cell_id", "susc_ispra", "slope_deg")
+    new = fx["fx_static"].filter(F.col("cell_id") % 5 != 0).select("cell_id", F.when(F.col("cell_id") % 3 == 1, 0.5).alias("susc_ispra"), F.lit(None).cast("double").alias("slope_deg"))
+    return merged_twice(fx, old, new, ["cell_id"], lambda o, n: R.merge_coalescing(o, n, ["cell_id"]))
+
+
+@query("snk8_bucketed_merge", "select device_id, count(*) as n, epoch_us(max(phenomenon_time)) as us from fx_obs group by device_id")
+def _(fx):
+    agg = lambda df: df.groupBy("device_id").agg(F.count(F.lit(1)).alias("n"), F.max("phenomenon_time").alias("t"))
+    o = fx["fx_obs"]
+    out = merged_twice(fx, agg(o.filter(F.col("id") % 2 == 0)), agg(o.filter(F.col("id") % 2 == 1)), ["device_id"], lambda a, b: R.merge_accumulating(a, b, ["device_id"], ["n"], ["t"]))
+    return out.select("device_id", "n", B.epoch_us("t").alias("us"))
+
+
 @query("snk9_content_versions", """with h as (select o_orderstatus, sha256(to_json({'o_orderkey': o_orderkey, 'o_custkey': o_custkey, 'o_orderpriority': o_orderpriority})) as h from orders), c as (select o_orderstatus, h, count(*) as n from h group by all),
     w as (select o_orderstatus, sha256(concat_ws(':', h, n)) as e, n from c), x as (select o_orderstatus, bit_xor(('0x' || substr(e, 1, 15))::bigint) as w0, bit_xor(('0x' || substr(e, 16, 15))::bigint) as w1, bit_xor(('0x' || substr(e, 31, 15))::bigint) as w2, bit_xor(('0x' || substr(e, 46, 15))::bigint) as w3, cast(sum(n) as bigint) as rows from w group by o_orderstatus)
     select o_orderstatus, sha256(concat_ws('-', w0, w1, w2, w3)) as version, rows from x""")

@@ -96,29 +96,27 @@ def enrich(parsed: DataFrame, devices: DataFrame) -> DataFrame:
 
 
 class QualityState(StatefulProcessor):
-    """Per (device, property): the last eleven values and the last time decide the label."""
+    """Per (device, property): the last eleven values and the last time decide the label.
 
-    def __init__(self, cfg: dict[str, Any]) -> None:
-        self.cfg = cfg
+    Rows are taken in chunks of ``chunk_rows`` and only what the next rows look back on is
+    carried between them. With ``ttl_us`` a timer in event time forgets a series that has been silent so long.
+    """
+
+    def __init__(self, cfg: dict[str, Any], ttl_us: int | None = None, chunk_rows: int = 50_000) -> None:
+        self.cfg, self.ttl_us, self.chunk_rows = cfg, ttl_us, chunk_rows
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.history = handle.getValueState("history", "values array<double>, last_us bigint")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        cfg, need = self.cfg, self.cfg["flatline_samples"] - 1
-        prop = key[1]
-        stored = self.history.get()  # None for a new key
-        past = np.asarray(stored[0] if stored else [], dtype="float64")
-        frames = list(rows)
-        batch = frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
-        us = batch["phenomenon_time"].to_numpy().astype("datetime64[us]").astype("int64")
-        order = np.lexsort((batch["id"].to_numpy(), us))
-        batch, us = batch.iloc[order], us[order]
-        v = batch["result_value"].to_numpy(dtype="float64")
+    def _labels(self, prop: str, chunk: pd.DataFrame, us: np.ndarray, past: np.ndarray, last_us: int | None) -> np.ndarray:
+        """Labels of rows in order, seen after the values ``past``."""
+        cfg = self.cfg
+        v = chunk["result_value"].to_numpy(dtype="float64")
         series = np.concatenate([past, v])
         at = np.arange(len(past), len(series))
         prev = np.where(at > 0, series[at - 1], np.nan)
-        prev_us = np.concatenate([[stored[1] if stored else us[0]], us[:-1]])
+        prev_us = np.concatenate([[us[0] if last_us is None else last_us], us[:-1]])
         # length of the run of equal values that ends just before each row
         same = np.concatenate([[False], series[1:] == series[:-1]])
         start = np.maximum.accumulate(np.where(same, 0, np.arange(len(series))))
@@ -126,16 +124,44 @@ class QualityState(StatefulProcessor):
         low, high = cfg["range"].get(prop, (-np.inf, np.inf))
         label = np.full(len(v), "ok", dtype=object)
         label[(us - prev_us) > cfg["gap_minutes"] * 60_000_000] = "gap"
-        label[run >= need] = "flatline"
+        label[run >= cfg["flatline_samples"] - 1] = "flatline"
         with np.errstate(invalid="ignore"):
             label[np.abs(v - prev) > cfg["spike_factor"] * cfg["sigma"].get(prop, np.inf)] = "spike"
         label[(v < low) | (v > high)] = "range"
-        if "bad_unit" in batch:
-            label[batch["bad_unit"].to_numpy(dtype=bool)] = "unit"
-        self.history.update((series[-need:].tolist(), int(us[-1])))
-        out = batch[["id", "device_id", "observed_property", "phenomenon_time", "result_value"]].copy()
-        out["quality"] = label
-        yield out
+        if "bad_unit" in chunk:
+            label[chunk["bad_unit"].to_numpy(dtype=bool)] = "unit"
+        return label
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        need = self.cfg["flatline_samples"] - 1
+        stored = self.history.get()  # None for a new key
+        past, last_us = (np.asarray(stored[0], dtype="float64"), int(stored[1])) if stored else (np.zeros(0), None)
+        frames = list(rows)
+        # the order of a batch's rows is known only when all of them are: times and ids are put in order, the rows follow chunk by chunk
+        us_all = np.concatenate([f["phenomenon_time"].to_numpy().astype("datetime64[us]").astype("int64") for f in frames])
+        order = np.lexsort((np.concatenate([f["id"].to_numpy() for f in frames]), us_all))
+        ends = np.cumsum([len(f) for f in frames])
+        for at in range(0, len(order), self.chunk_rows):
+            own = order[at : at + self.chunk_rows]
+            frame = np.searchsorted(ends, own, side="right")
+            first = ends - np.array([len(f) for f in frames])
+            parts = [(frames[k].iloc[own[frame == k] - first[k]], np.flatnonzero(frame == k)) for k in np.unique(frame)]
+            place = np.concatenate([p for _, p in parts])
+            chunk = pd.concat([f for f, _ in parts], ignore_index=True).iloc[np.argsort(place)]
+            us = us_all[own]
+            out = chunk[["id", "device_id", "observed_property", "phenomenon_time", "result_value"]].copy()
+            out["quality"] = self._labels(key[1], chunk, us, past, last_us)
+            past, last_us = np.concatenate([past, chunk["result_value"].to_numpy(dtype="float64")])[-need:], int(us[-1])
+            yield out
+        self.history.update((past.tolist(), last_us))
+        if self.ttl_us is not None:
+            for timer in self.handle.listTimers():
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer((last_us + self.ttl_us) // 1000)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        self.history.clear()
+        yield from ()
 
     def close(self) -> None:
         pass
@@ -149,13 +175,22 @@ QUALITY_SCHEMA = T.StructType(
 )
 
 
-def stream_quality(obs: DataFrame, cfg: dict[str, Any] | None = None, ttl: str = "none") -> DataFrame:
-    """Quality labels on a stream; state is eleven numbers per device and property."""
+def stream_quality(obs: DataFrame, cfg: dict[str, Any] | None = None, ttl_hours: float | None = None, delay: str = "2 hours") -> DataFrame:
+    """Quality labels on a stream; state is eleven numbers per device and property.
+
+    With ``ttl_hours`` a device's state goes once the watermark, ``delay`` behind the
+    newest row, has passed its last row by so much; a row after that is like a first one.
+    Rows behind the watermark are dropped only then.
+    """
     obs.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
     cols = ["id", F.col("device_id").cast("string").alias("device_id"), "observed_property", F.col("phenomenon_time").cast("timestamp").alias("phenomenon_time"), "result_value"]
     cols += ["bad_unit"] if "bad_unit" in obs.columns else []
-    return obs.select(*cols).groupBy("device_id", "observed_property").transformWithStateInPandas(
-        statefulProcessor=QualityState(cfg or PARAMS["sensor"]), outputStructType=QUALITY_SCHEMA, outputMode="Append", timeMode="None"
+    rows = obs.select(*cols)
+    if ttl_hours is not None:
+        rows = rows.withWatermark("phenomenon_time", delay)
+    return rows.groupBy("device_id", "observed_property").transformWithStateInPandas(
+        statefulProcessor=QualityState(cfg or PARAMS["sensor"], None if ttl_hours is None else int(ttl_hours * 3.6e9)),
+        outputStructType=QUALITY_SCHEMA, outputMode="Append", timeMode="None" if ttl_hours is None else "EventTime",
     )
 
 
