@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from slopewatch.catalog.registry import Frames, query
-from slopewatch.catalog.rollups import AS_OF_SQL, HIGH, STATE, as_of, r6, state
-from slopewatch.catalog.scoring import METEO, STATIC, TOTAL, clamp
+from slopewatch.catalog.rollups import AS_OF_SQL, HIGH, LITHO, STATE, as_of, r6, state
+from slopewatch.catalog.scoring import METEO, STATIC, TOTAL, clamp, exposure_sql
 from slopewatch.catalog.series import DIV, EVENTS, TRUTH, divergence, truth_table
-from slopewatch.catalog.spatial import edges
+from slopewatch.catalog.spatial import NORM, OVERLAY, TERRAIN, TOUCH, box_deg, edges, hav
+from slopewatch.catalog.views import LEVEL_CASE, RANK_CASE
 from slopewatch.functions import basic as B
 from slopewatch.operators import evaluation as E
 from slopewatch.plans import monitoring as M
@@ -65,19 +66,46 @@ def _(fx):
     return rows.select("cell_id", "horizon", r6(F.col("score"), "score"))
 
 
-@query("pip1_alert_candidates")
+RUN_SCORE = clamp(f"0.35 * {STATIC} + 0.40 * {METEO} + 0.03 * {FLOOD}")
+
+
+@query("pip1_alert_candidates", f"""with {BUNDLE}, sc as (select bu.*, {RUN_SCORE} as score, {STATIC} as s_static from bu), lv as (select sc.*, {LEVEL_CASE} as level from sc)
+    select cell_id, level, round(score * (1 + {exposure_sql('lv.')['factor']}), 6) as priority from lv where {RANK_CASE} >= 2 and ({RANK_CASE} >= 3 or s_static >= 0.5)""")
 def _(fx):
     _, alerts = M.run(run_bundle(fx), run_ts())
     return alerts.select("cell_id", "level", r6(F.col("priority"), "priority")).orderBy(F.desc("priority"), "cell_id")
 
 
-@query("pip2_forecast_sweep")
+def ahead(hours: int) -> str:
+    """Scores of the run seen from so many hours later."""
+    later = BUNDLE.replace(RUN_SQL, f"({RUN_SQL} + interval {hours} hours)")
+    return f"select cell_id, '+{hours}h' as horizon, score from (with {later} select cell_id, {RUN_SCORE} as score from bu) q{hours}"
+
+
+@query("pip2_forecast_sweep", f"select cell_id, horizon, {LEVEL_CASE} as level, round(score, 6) as score from ({' union all '.join(ahead(h) for h in (24, 48, 72))}) t where score >= cast(0.35 as double)")
 def _(fx):
     out = M.forecast_sweep(placed_cells(fx), fx["fx_static"], node_rain(fx), area_inputs(fx), run_ts())
     return out.select("cell_id", "horizon", "level", r6(F.col("score"), "score"))
 
 
-@query("pip3_static_bootstrap")
+def weight_sql(label: str) -> str:
+    clean = f"trim(regexp_replace(lower({label}), '\\s+', ' ', 'g'))"
+    return "(case when " + label + " is null then null " + " ".join(f"when {clean} like '%{w}%' then {x}" for w, x in LITHO) + " else 0.5 end)::double"
+
+
+def nearest_sql(source: str) -> str:
+    return f"select c.cell_id, round(least(coalesce(min({hav('c.lon', 'c.lat', 'i.x', 'i.y')}), 50000), 50000), 3) as d from fx_cells c left join {source} i on true group by c.cell_id"
+
+
+@query("pip3_static_bootstrap", f"""with {TERRAIN}, sl as (select cell_id, avg(slope) as slope_deg, count(z) as n from b group by cell_id),
+    den as (select c.cell_id, count(i.id)::double as n from fx_cells c left join fx_inventory i on {box_deg('i.x', 'i.y')} <= {500.0 / 111_320.0!r} group by c.cell_id),
+    dist as ({nearest_sql('fx_inventory')}), road as ({nearest_sql("(select * from fx_network where kind = 'road')")}),
+    cls as (select cell_id, arg_min(class, (d, class)) as class, min(d) as d from (select c.cell_id, r.class, {hav('c.lon', 'c.lat', 'r.x', 'r.y')} as d from fx_cells c join fx_network r on r.kind = 'road') q group by cell_id),
+    pai as (select c.cell_id, max({NORM})::double as norm from fx_cells c left join fx_hazard h on {TOUCH} group by c.cell_id),
+    lith as (select cell_id, label from (with {OVERLAY} select cell_id, label, row_number() over (partition by cell_id order by round(area, 12) desc, label) as rn from g where area > 1e-12) t where rn = 1)
+    select den.cell_id, den.n as iffi_density_500, dist.d as distance_to_iffi_m, pai.norm as pai_class_norm, {weight_sql('lith.label')} as litho_weight, road.d as distance_to_road_m,
+      case when cls.d <= 50000 then cls.class end as nearest_road_class, case when sl.n > 0 then round(sl.slope_deg, 5) end as slope_deg
+    from den join dist using (cell_id) join road using (cell_id) left join cls using (cell_id) left join pai using (cell_id) left join lith using (cell_id) left join sl using (cell_id)""")
 def _(fx):
     hazards = fx["fx_hazard"].select("geom_id", "hazard_class", "label")
     out = O.static_factors(fx["fx_cells"], fx["fx_inventory"], edges(fx), hazards, fx["fx_network"], fx["fx_faults"], fx["fx_pixels"])
@@ -147,11 +175,16 @@ def _(fx):
     return out.select("regions", "cells", "high_or_above", "moderate", r6(F.col("top.score"), "top_score"), "alerts")
 
 
-@query("pip11_feature_export", "select count(*) as n from fx_cells")
+EXPORT_NORM = "case h.hazard_class when 'AA' then 0.1 when 'P1' then 0.25 when 'P2' then 0.5 when 'P3' then 0.75 when 'P4' then 1.0 end"
+
+
+@query("pip11_feature_export", f"""with den as (select c.cell_id, least(count(*) / 3.0, 1.0) as d from fx_cells c join fx_inventory i on {hav('c.lon', 'c.lat', 'i.x', 'i.y')} <= 500 group by c.cell_id),
+    pai as (select c.cell_id, max({EXPORT_NORM})::double as norm from fx_cells c join fx_hazard h on {TOUCH} group by c.cell_id)
+    select s.cell_id, round(den.d, 6) as iffi_density_500, coalesce(pai.norm, s.pai_class_norm) as pai_class_norm, s.slope_deg from fx_static s left join den using (cell_id) left join pai using (cell_id)""")
 def _(fx):
     store = fx["fx_static"].select("cell_id", F.lit(None).cast("double").alias("iffi_density_500"), "pai_class_norm", "slope_deg")
     out = O.feature_export(fx["fx_cells"], fx["fx_inventory"], edges(fx), fx["fx_hazard"], store)
-    return out.agg(F.count(F.lit(1)).alias("n"))
+    return out.select("cell_id", r6(F.col("iffi_density_500"), "iffi_density_500"), "pai_class_norm", "slope_deg")
 
 
 @query("ml3_rain_enrichment", """select e.event_id as id, e.event_id % 4 <> 0 and e.event_time <= timestamp '2024-01-25' as fresh, round(case when e.event_id % 4 <> 0 and e.event_time <= timestamp '2024-01-25' then coalesce(sum(r.mm), 0) else -1 end, 2) as rain_72h_mm
