@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 # A lookup side may be broadcast only up to this many bytes of estimated size.
 BROADCAST_LIMIT = 64 * 1024 * 1024
+# ... or, where its rows are counted, up to this many of them.
+BROADCAST_ROWS = 100_000
 
 
 def small_enough(df: DataFrame, limit: int = BROADCAST_LIMIT) -> bool:
@@ -22,6 +24,20 @@ def lookup_join(df: DataFrame, table: DataFrame, on: Sequence[str] | str, how: s
     return df.join(F.broadcast(table) if small_enough(table) else table, on, how)
 
 
+def few_rows(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
+    """Has the table at most ``limit`` rows? Each task stops counting there."""
+    return df.limit(limit + 1).count() <= limit
+
+
+def sized_join(df: DataFrame, table: DataFrame, on: Sequence[str] | str, how: str = "inner") -> DataFrame:
+    """Broadcast ``table`` if its counted rows are few, else a sort-merge join.
+
+    For sides whose estimate says little: Spark takes an exploded side for as small as the
+    compressed file it comes from, broadcasts it and fills the driver's memory.
+    """
+    return df.join(table.hint("broadcast" if few_rows(table) else "merge"), on, how)
+
+
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """Row with the greatest order tuple per key.
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from slopewatch.operators.relational import sized_join
 from slopewatch.operators.running import exact_percentiles
 from slopewatch.operators.spatial import tiles_of_box
+from slopewatch.session import cut_lineage
 
 
 def majority_class(pixels: DataFrame, cell: str = "cell_id", code: str = "code", nodata: float | None = None) -> DataFrame:
@@ -37,12 +39,12 @@ def terrain(pixels: DataFrame, cellsize: float, raster: str = "cell_id") -> Data
     """
     if cellsize <= 0:
         raise ValueError(f"cell size must be positive: {cellsize}")
-    bounds = pixels.groupBy(raster).agg(
+    bounds = cut_lineage(pixels.groupBy(raster).agg(
         F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1")
-    )
+    ))
     across = Window.partitionBy(raster, "row").orderBy("col")
     down = Window.partitionBy(raster, "col").orderBy("row")
-    p = pixels.join(bounds, raster)
+    p = sized_join(pixels, bounds, raster)
     along_x = lambda v: _gradient(F.col(v), F.col("col"), F.col("c0"), F.col("c1"), across) / cellsize
     along_y = lambda v: -_gradient(F.col(v), F.col("row"), F.col("r0"), F.col("r1"), down) / cellsize
     p = p.withColumn("dx", along_x("z")).withColumn("dy", along_y("z"))
@@ -99,7 +101,7 @@ def overlap_areas(cells: DataFrame, edges: DataFrame, half: float = 0.005, geom_
     )
     near = (F.col("minx") <= F.col("lon") + half) & (F.col("maxx") >= F.col("lon") - half) & (
         F.col("miny") <= F.col("lat") + half) & (F.col("maxy") >= F.col("lat") - half)
-    cand = c.join(b, "_t").filter(near).select("cell_id", "lon", "lat", geom_id).distinct()
+    cand = sized_join(c, b, "_t").filter(near).select("cell_id", "lon", "lat", geom_id).distinct()
     slab = tile
     cand = cand.withColumn("slab", F.explode(F.sequence(F.floor((F.col("lon") - half) / slab), F.floor((F.col("lon") + half) / slab))))
     e = edges.filter(F.col("x1") != F.col("x2")).withColumn("slab", F.explode(F.sequence(F.floor(lo_x / slab), F.floor(hi_x / slab))))
@@ -112,13 +114,13 @@ def overlap_areas(cells: DataFrame, edges: DataFrame, half: float = 0.005, geom_
     clamp = lambda y: F.greatest(F.lit(0.0), F.least(F.lit(h), y))
     mean = F.when(F.abs(yz - ya) > 1e-12, (primitive(yz) - primitive(ya)) / (yz - ya)).otherwise(clamp((ya + yz) / 2))
     part = F.when(z > a, mean * (z - a) * F.signum(F.col("x2") - F.col("x1"))).otherwise(0.0)
-    area = cand.join(e, [geom_id, "slab"]).groupBy("cell_id", geom_id).agg(F.abs(F.sum(part)).alias("area"))
+    area = sized_join(cand, e, [geom_id, "slab"]).groupBy("cell_id", geom_id).agg(F.abs(F.sum(part)).alias("area"))
     return area.filter(F.col("area") > 1e-14)
 
 
 def dominant_label(areas: DataFrame, labels: DataFrame, geom_id: str = "geom_id", digits: int = 12) -> DataFrame:
     """Label with the greatest overlap per cell, ties by label."""
-    j = areas.join(labels, geom_id).withColumn("_a", F.round("area", digits))
+    j = sized_join(areas, labels, geom_id).withColumn("_a", F.round("area", digits))
     return j.groupBy("cell_id").agg(F.min(F.struct((-F.col("_a")).alias("a"), "label")).alias("m")).select(
         "cell_id", F.col("m.label").alias("label")
     )
