@@ -14,7 +14,7 @@ from slopewatch.functions import geo as G
 from slopewatch.operators import components as C
 from slopewatch.operators import spatial as X
 from slopewatch.operators import zonal as Z
-from slopewatch.operators.relational import lookup_join, most_recent
+from slopewatch.operators.relational import lookup_join, most_recent, sized_join
 from slopewatch.operators.segments import nearest_segment
 
 HALF = 0.005
@@ -80,7 +80,7 @@ def touching(fx: Frames):
 def _(fx):
     from slopewatch.functions.scoring import hazard_norm
 
-    worst = touching(fx).join(fx["fx_hazard"].select("geom_id", "hazard_class"), "geom_id").groupBy("cell_id").agg(F.max(hazard_norm(F.col("hazard_class"))).alias("norm"))
+    worst = sized_join(touching(fx), fx["fx_hazard"].select("geom_id", "hazard_class"), "geom_id").groupBy("cell_id").agg(F.max(hazard_norm(F.col("hazard_class"))).alias("norm"))
     return fx["fx_cells"].select("cell_id").join(worst, "cell_id", "left")
 
 
@@ -88,7 +88,7 @@ def _(fx):
 def _(fx):
     from slopewatch.functions.scoring import hazard_norm
 
-    known = touching(fx).join(fx["fx_hazard"].select("geom_id", "hazard_class"), "geom_id").withColumn("norm", hazard_norm(F.col("hazard_class"))).filter(F.col("norm").isNotNull())
+    known = sized_join(touching(fx), fx["fx_hazard"].select("geom_id", "hazard_class"), "geom_id").withColumn("norm", hazard_norm(F.col("hazard_class"))).filter(F.col("norm").isNotNull())
     worst = known.groupBy("cell_id").agg(F.max("norm").alias("norm"), F.max_by("hazard_class", F.struct("norm", -F.col("geom_id"))).alias("class"))
     return fx["fx_cells"].select("cell_id").join(worst, "cell_id", "left")
 
@@ -408,7 +408,7 @@ def _(fx):
 @query("join29_recent_fire", f"select c.cell_id, cast(max(d) as varchar) as last_fire from fx_cells c join (select *, date '2020-01-01' + cast(geom_id % 900 as int) as d from fx_hazard) h on {TOUCH} group by c.cell_id")
 def _(fx):
     fires = fx["fx_hazard"].select("geom_id", F.date_add(F.lit("2020-01-01").cast("date"), (F.col("geom_id") % 900).cast("int")).alias("d"))
-    return most_recent(touching(fx).join(fires, "geom_id"), ["cell_id"], "d").select("cell_id", F.col("d").cast("string").alias("last_fire"))
+    return most_recent(sized_join(touching(fx), fires, "geom_id"), ["cell_id"], "d").select("cell_id", F.col("d").cast("string").alias("last_fire"))
 
 
 assert LATEST  # re-exported for the pipelines

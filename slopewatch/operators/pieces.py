@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slopewatch.operators.relational import lookup_join
+from slopewatch.operators.relational import few_rows, sized_join
 from slopewatch.session import cut_lineage
 
 MOST = 64  # edges of a piece
@@ -85,6 +85,7 @@ class Cut:
     rims: DataFrame  #: edges of the pieces: geom_id, level, qx, qy, x1, y1, x2, y2
     boxes: DataFrame  #: geom_id, minx, miny, maxx, maxy
     depth: int  #: greatest level
+    hint: str  #: how to join pieces and rims: "broadcast" only if both have few rows
 
 
 def polygon_pieces(edges: DataFrame, geom_id: str = "geom_id", most: int = MOST, deepest: int = DEEPEST) -> Cut:
@@ -95,9 +96,9 @@ def polygon_pieces(edges: DataFrame, geom_id: str = "geom_id", most: int = MOST,
     cut go to the tiles they touch. Rounds end when no tile is left to cut.
     """
     level0 = [F.lit(0).alias("level"), F.lit(0).cast("bigint").alias("qx"), F.lit(0).cast("bigint").alias("qy")]
-    boxes = frames(edges, geom_id)
+    boxes = cut_lineage(frames(edges, geom_id))
     place = ["x0", "y0", "side"]
-    live = lookup_join(edges.select(geom_id, *_EDGE), boxes.select(geom_id, *place), geom_id, "inner").select(geom_id, *level0, *place, *_EDGE)
+    live = sized_join(edges.select(geom_id, *_EDGE), boxes.select(geom_id, *place), geom_id).select(geom_id, *level0, *place, *_EDGE)
     nodes = boxes.select(geom_id, *level0, *place, F.lit(False).alias("corner_in"))
     done: list[DataFrame] = []
     done_edges: list[DataFrame] = []
@@ -105,16 +106,14 @@ def polygon_pieces(edges: DataFrame, geom_id: str = "geom_id", most: int = MOST,
     for level in range(deepest + 1):
         here, small = F.lit(level), tile_side(F.lit(level + 1))
         counted = live.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
-        known = nodes.join(counted, key, "left").withColumn("n", F.coalesce("n", F.lit(0)))
-        if level:
-            known = cut_lineage(known)
+        known = cut_lineage(nodes.join(counted.hint("merge"), key, "left").withColumn("n", F.coalesce("n", F.lit(0))))
         cut = known.filter(F.col("n") > most)
         if level == deepest or cut.isEmpty():
             done.append(known.select(*key, *place, "n", "corner_in"))
             done_edges.append(live.select(*key, *_EDGE))
             break
         done.append(known.filter(F.col("n") <= most).select(*key, *place, "n", "corner_in"))
-        marked = cut_lineage(lookup_join(live, cut.select(*key, F.lit(True).alias("cut")), key))
+        marked = cut_lineage(sized_join(live, cut.select(*key, F.lit(True).alias("cut")), key, "left"))
         done_edges.append(marked.filter("cut is null").select(*key, *_EDGE))
         right, bottom = corner(F.col("qx") + 1, "x0", here), corner(F.col("qy"), "y0", here)
         below = F.lit(level + 1)
@@ -126,7 +125,7 @@ def polygon_pieces(edges: DataFrame, geom_id: str = "geom_id", most: int = MOST,
         children = F.array(*[F.struct(
             (F.col("qx") * CUT + i).alias("qx"), (F.col("qy") * CUT + j).alias("qy"), (F.col("corner_in") != F.col(f"t{i}_{j}")).alias("corner_in"),
         ) for i, j in odd])
-        nodes = cut.join(corners, key).withColumn("_c", F.explode(children)).select(geom_id, F.lit(level + 1).alias("level"), "_c.qx", "_c.qy", *place, "_c.corner_in")
+        nodes = cut.join(corners.hint("merge"), key).withColumn("_c", F.explode(children)).select(geom_id, F.lit(level + 1).alias("level"), "_c.qx", "_c.qy", *place, "_c.corner_in")
         span = lambda lo, origin, q: F.sequence(
             F.greatest(F.col(q) * CUT, F.floor((F.least(*lo) - F.col(origin)) / small - 1e-6)), F.least(F.col(q) * CUT + CUT - 1, F.floor((F.greatest(*lo) - F.col(origin)) / small + 1e-6)))
         spread = marked.filter("cut").withColumn("_x", F.explode(span(("x1", "x2"), "x0", "qx"))).withColumn("_y", F.explode(span(("y1", "y2"), "y0", "qy")))
@@ -137,7 +136,11 @@ def polygon_pieces(edges: DataFrame, geom_id: str = "geom_id", most: int = MOST,
     pieces, rims = done[0], done_edges[0]
     for more, rim in zip(done[1:], done_edges[1:], strict=True):
         pieces, rims = pieces.unionByName(more), rims.unionByName(rim)
-    return Cut(pieces.filter((F.col("n") > 0) | F.col("corner_in")), rims, boxes.select(geom_id, "minx", "miny", "maxx", "maxy"), len(done) - 1)
+    small = few_rows(pieces) and few_rows(rims)
+    return Cut(
+        pieces.filter((F.col("n") > 0) | F.col("corner_in")), rims, boxes.select(geom_id, "minx", "miny", "maxx", "maxy"), len(done) - 1,
+        "broadcast" if small else "merge",
+    )
 
 
 def inside_pieces(candidates: DataFrame, cut: Cut, geom_id: str = "geom_id") -> DataFrame:
@@ -148,16 +151,16 @@ def inside_pieces(candidates: DataFrame, cut: Cut, geom_id: str = "geom_id") ->
     parity over their own edges.
     """
     if cut.depth == 0:  # every polygon is one piece
-        found = candidates.join(cut.pieces, geom_id)
+        found = candidates.join(cut.pieces.hint(cut.hint), geom_id)
     else:
         levels = cut.pieces.groupBy(geom_id).agg(F.max("level").alias("_deep"), *[F.first(c).alias(c) for c in ("x0", "y0", "side")])
-        asked = candidates.join(levels, geom_id).withColumn("level", F.explode(F.sequence(F.lit(0), F.col("_deep"))))
+        asked = candidates.join(levels.hint(cut.hint), geom_id).withColumn("level", F.explode(F.sequence(F.lit(0), F.col("_deep"))))
         tile = lambda v, origin: F.floor((F.col(v) - F.col(origin)) / tile_side(F.col("level")))
         asked = asked.withColumns({"qx": tile("x", "x0"), "qy": tile("y", "y0")}).select(geom_id, *_KEY, "x", "y")
-        found = asked.join(cut.pieces, [geom_id, *_KEY])
+        found = asked.join(cut.pieces.hint(cut.hint), [geom_id, *_KEY])
     whole = found.filter(F.col("n") == 0).select("x", "y", geom_id)
     right, bottom = corner(F.col("qx") + 1, "x0", F.col("level")), corner(F.col("qy"), "y0", F.col("level"))
-    met = found.filter(F.col("n") > 0).join(cut.rims, [geom_id, *_KEY])
+    met = found.filter(F.col("n") > 0).join(cut.rims.hint(cut.hint), [geom_id, *_KEY])
     odd = (F.count_if(turns(F.col("x"), F.col("y"), right, bottom)) % 2 == 1) != F.first("corner_in")
     rim = met.groupBy("x", "y", geom_id).agg(odd.alias("_in")).filter("_in").select("x", "y", geom_id)
     return whole.unionByName(rim)

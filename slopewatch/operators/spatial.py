@@ -17,7 +17,7 @@ from slopewatch.functions.geo import (
 )
 from slopewatch.operators.pieces import Cut, inside_pieces, piece_boxes, polygon_pieces
 from slopewatch.operators.pyramid import count_in_reach, great_circle, nearest_by_group, square_degrees
-from slopewatch.operators.relational import latest_per_key
+from slopewatch.operators.relational import latest_per_key, sized_join
 
 
 def tile_of(x: Column, size: float) -> Column:
@@ -79,7 +79,7 @@ def box_candidates(points: DataFrame, boxes: DataFrame, tile: float, geom_id: st
     keyed = keyed.select(geom_id, "minx", "miny", "maxx", "maxy", F.col("_t.tx").alias("tx"), F.col("_t.ty").alias("ty"))
     at = points.withColumns({"tx": tile_of(F.col("x"), tile), "ty": tile_of(F.col("y"), tile)})
     inside = F.col("x").between(F.col("minx"), F.col("maxx")) & F.col("y").between(F.col("miny"), F.col("maxy"))
-    return at.join(keyed, ["tx", "ty"]).filter(inside).drop("tx", "ty", "minx", "miny", "maxx", "maxy")
+    return sized_join(at, keyed, ["tx", "ty"]).filter(inside).drop("tx", "ty", "minx", "miny", "maxx", "maxy")
 
 
 def points_in_polygons(points: DataFrame, edges: DataFrame, point_id: str = "point_id",
@@ -91,7 +91,7 @@ def points_in_polygons(points: DataFrame, edges: DataFrame, point_id: str = "poi
     cut = cut or polygon_pieces(edges, geom_id)
     cand = box_candidates(points.select("x", "y").distinct(), cut.boxes, tile, geom_id)
     inside = inside_pieces(cand, cut, geom_id)
-    return points.select(point_id, "x", "y").join(inside, ["x", "y"]).select(point_id, geom_id)
+    return points.select(point_id, "x", "y").join(inside.hint("merge"), ["x", "y"]).select(point_id, geom_id)
 
 
 def locate_in_grid(points: DataFrame, origins: DataFrame, size_m: float = 1000.0) -> DataFrame:
@@ -213,14 +213,14 @@ def polygons_touching_cells(cells: DataFrame, edges: DataFrame, half: float = 0.
     ).withColumns({"tx": F.col("_t.tx"), "ty": F.col("_t.ty")}).drop("_t")
     left, right, low, high = F.col("lon") - half, F.col("lon") + half, F.col("lat") - half, F.col("lat") + half
     over = (F.col("px0") <= right) & (F.col("px1") >= left) & (F.col("py0") <= high) & (F.col("py1") >= low)
-    pairs = c.join(keyed, ["tx", "ty"]).filter(over)
+    pairs = c.join(keyed.hint("merge"), ["tx", "ty"]).filter(over)
     # an edge may leave a piece by the slack: a piece counts as held only well within the square
     slack = 1e-6 * F.col("side")
     held = (F.col("px0") - slack >= left) & (F.col("px1") + slack <= right) & (F.col("py0") - slack >= low) & (F.col("py1") + slack <= high)
     sure = (F.col("n") == 0) | held
     key = [geom_id, "level", "qx", "qy"]
     rim = pairs.filter(~sure).select("cell_id", "lon", "lat", *key).distinct()
-    met = rim.join(cut.rims, key).filter(segment_meets_box(half)).select("cell_id", geom_id)
+    met = rim.join(cut.rims.hint(cut.hint), key).filter(segment_meets_box(half)).select("cell_id", geom_id)
     centres = cells.select(F.col("cell_id").alias("point_id"), F.col("lon").alias("x"), F.col("lat").alias("y"))
     inside = points_in_polygons(centres, edges, geom_id=geom_id, tile=tile, cut=cut).withColumnRenamed("point_id", "cell_id")
     return pairs.filter(sure).select("cell_id", geom_id).unionByName(met).unionByName(inside.select("cell_id", geom_id)).distinct()
@@ -238,11 +238,11 @@ def segment_meets_box(half: float) -> Column:
 
 def first_containing(pairs: DataFrame, names: DataFrame, geom_id: str = "geom_id") -> DataFrame:
     """One polygon per point: the smallest id among those that contain it."""
-    named = pairs.join(names, geom_id)
+    named = sized_join(pairs, names, geom_id)
     return named.groupBy("point_id").agg(F.min_by("name", geom_id).alias("name"))
 
 
 def most_severe(pairs: DataFrame, hazards: DataFrame, rank: Column, geom_id: str = "geom_id") -> DataFrame:
     """Most severe hazard row per point."""
-    ranked = pairs.join(hazards, geom_id).withColumn("_rank", rank)
+    ranked = sized_join(pairs, hazards, geom_id).withColumn("_rank", rank)
     return latest_per_key(ranked, ["point_id"], ["_rank", -F.col(geom_id)]).drop("_rank")

@@ -13,7 +13,7 @@ from slopewatch.operators import spatial as X
 from slopewatch.operators import zonal as Z
 from slopewatch.operators.evaluation import backtest_gate, backtest_scores
 from slopewatch.operators.learning import guarded_corr
-from slopewatch.operators.relational import lookup_join
+from slopewatch.operators.relational import lookup_join, sized_join
 from slopewatch.operators.running import numbered, sliced_running
 from slopewatch.operators.segments import nearest_segment
 from slopewatch.operators.timeseries import antecedent_rain
@@ -28,7 +28,7 @@ def static_factors(cells: DataFrame, inventory: DataFrame, hazard_edges: DataFra
     reach = p["search_radius_m"] / 111_320.0
     out = X.count_within(cells, inventory.select("x", "y"), reach).select("cell_id", F.col("n").cast("double").alias("iffi_density_500"))
     out = out.join(X.nearest_feature(cells, inventory.select("x", "y"), p["distance_cap_m"]).withColumnRenamed("dist_m", "distance_to_iffi_m"), "cell_id")
-    touch = X.polygons_touching_cells(cells, hazard_edges).join(hazards.select("geom_id", "hazard_class"), "geom_id")
+    touch = sized_join(X.polygons_touching_cells(cells, hazard_edges), hazards.select("geom_id", "hazard_class"), "geom_id")
     worst = touch.groupBy("cell_id").agg(F.max(hazard_norm(F.col("hazard_class"))).alias("pai_class_norm"))
     label = Z.dominant_label(Z.overlap_areas(cells, hazard_edges), hazards.select("geom_id", "label"))
     out = out.join(worst, "cell_id", "left").join(label.select("cell_id", lithology_weight(F.col("label")).alias("litho_weight")), "cell_id", "left")
@@ -151,7 +151,7 @@ def feature_export(cells: DataFrame, inventory: DataFrame, hazard_edges: DataFra
     from slopewatch.operators.relational import merge_coalescing
 
     density = X.count_within_m(cells, inventory.select("x", "y"), 500.0).select("cell_id", F.least(F.col("n") / 3.0, F.lit(1.0)).alias("iffi_density_500"))
-    touch = X.polygons_touching_cells(cells, hazard_edges).join(hazards.select("geom_id", "hazard_class"), "geom_id")
+    touch = sized_join(X.polygons_touching_cells(cells, hazard_edges), hazards.select("geom_id", "hazard_class"), "geom_id")
     worst = touch.groupBy("cell_id").agg(F.max(hazard_norm(F.col("hazard_class"), "export")).alias("pai_class_norm"))
     new = cells.select("cell_id").join(density, "cell_id", "left").join(worst, "cell_id", "left")
     return merge_coalescing(store, new, ["cell_id"])
