@@ -132,13 +132,15 @@ def polygon_rings(geometry: Column) -> Column:
 def burnt_areas(features: DataFrame) -> DataFrame:
     """Fire perimeters; non-polygons and rows without an id are dropped, bad dates become null."""
     f = F.col("feature")
-    out = features.select(
+    row = F.struct(
         feature_id(f, "id", "OBJECTID").alias("id"),
         short_date(prop(f, "firedate", "FIREDATE", "fire_date")).alias("fire_date"),
         prop(f, "area_ha", "AREA_HA", "AREA").try_cast("double").alias("area_ha"),
         prop(f, "country", "COUNTRY").alias("country"), prop(f, "province", "PROVINCE").alias("province"),
         polygon_rings(F.get_json_object(f, "$.geometry")).alias("rings"),
     )
+    # exploded: a filter on the columns does not move below and parse the text again for each of them
+    out = features.select(F.explode(F.array(row)).alias("_f")).select("_f.*")
     return out.filter(F.col("id").isNotNull() & F.col("rings").isNotNull())
 
 

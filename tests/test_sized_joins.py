@@ -65,3 +65,30 @@ def test_edges_are_not_broadcast(ids, squares):
     assert "Broadcast" not in plan(areas)
     own = areas.filter(F.col("cell_id") == F.col("geom_id")).agg(F.count("*"), F.min("area"), F.max("area")).first()
     assert own[0] == MANY and own[1] == pytest.approx(2.5e-5) and own[2] == pytest.approx(2.5e-5)
+
+
+def test_filters_do_not_parse_again(spark):
+    from slopewatch.sources import features as SF
+
+    text = '{"type": "Feature", "id": "%s", "properties": {"firedate": "%s"}, "geometry": {"type": "Polygon", "coordinates": [[[0, 0], [1, 0], [1, %d], [0, 0]]]}}'
+    rows = spark.createDataFrame([(text % (k, f"2020-0{k}-01", k),) for k in range(1, 6)], "feature string")
+    near = SF.perimeters_in(SF.with_bbox(SF.burnt_areas(rows)), (0.0, 2.5, 1.0, 9.0), "2020-01-01", "2020-04-30").select("id")
+    assert sorted(r["id"] for r in near.collect()) == ["3", "4"]
+    lines = near._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    filters = [x for x in lines if x.strip(" :+-").startswith("Filter")]
+    assert filters and not any("json" in x for x in filters)
+
+
+def test_tasks_are_bounded(spark):
+    from slopewatch.session import TASK_BYTES, bounded_tasks
+
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(key, "64m")
+    try:
+        bounded_tasks(spark)
+        assert spark.conf.get(key) == str(TASK_BYTES)
+        spark.conf.set(key, "1m")
+        bounded_tasks(spark)
+        assert spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.unset(key)
