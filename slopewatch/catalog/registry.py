@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from slopewatch.catalog.views import SPARK_NAMES, TABLES, VIEWS
-from slopewatch.session import prepare
+from slopewatch.session import bounded_tasks, prepare
 
 Build = Callable[["Frames"], DataFrame]
 QUERIES: dict[str, Build] = {}
@@ -23,7 +23,7 @@ class Frames:
     """The tables of one data folder and the stand-in views over them, built on demand."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
-        self.spark = prepare(spark)
+        self.spark = bounded_tasks(prepare(spark))
         self.sf_dir = sf_dir
         key = (spark.sparkContext.applicationId, sf_dir)
         self._made = _PLANS.setdefault(key, {})

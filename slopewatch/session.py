@@ -21,6 +21,18 @@ ROCKSDB_PROVIDER = (
 )
 
 
+# What a task reads at most, from files and after a shuffle, however large the input.
+TASK_BYTES = {"spark.sql.files.maxPartitionBytes": 16 * 1024 * 1024, "spark.sql.adaptive.advisoryPartitionSizeInBytes": 8 * 1024 * 1024}
+
+
+def bounded_tasks(spark: SparkSession) -> SparkSession:
+    """Keep splits and merged partitions small, so that the memory of a task does not grow with the input."""
+    for key, most in TASK_BYTES.items():
+        if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > most:
+            spark.conf.set(key, str(most))
+    return spark
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session somebody else built."""
     for key, value in RUNTIME_CONF.items():

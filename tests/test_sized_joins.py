@@ -86,7 +86,7 @@ def test_tasks_are_bounded(spark):
     spark.conf.set(key, "64m")
     try:
         bounded_tasks(spark)
-        assert spark.conf.get(key) == str(TASK_BYTES)
+        assert spark.conf.get(key) == str(TASK_BYTES[key])
         spark.conf.set(key, "1m")
         bounded_tasks(spark)
         assert spark.conf.get(key) == "1m"
