@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from slopewatch.functions.basic import at_least
-from slopewatch.functions.scoring import hazard_norm, lithology_weight, rain_excess, score, static_component, static_terms
+from slopewatch.functions.scoring import INPUT_COLUMNS, hazard_norm, lithology_weight, rain_excess, score, static_component, static_terms
 from slopewatch.operators import spatial as X
 from slopewatch.operators import zonal as Z
 from slopewatch.operators.evaluation import backtest_gate, backtest_scores
@@ -120,19 +120,48 @@ def node_hours(rain: DataFrame, axis: DataFrame, hours: int = 48, key: str = "no
     ).withColumn("event_hours", F.when(F.col("event_mm").isNotNull(), F.col("event_hours")))
 
 
+def alert_hours(placed: DataFrame, states: DataFrame, minimum: str, p: dict[str, Any] = PARAMS) -> DataFrame:
+    """(cell_id, ts, hours): first alert hour and number of alert hours of every cell with any.
+
+    ``states(node_id, caine_excess, ts, hours)``. A score does not fall with the excess, so the alert
+    states of a cell are the first ones of its node by falling excess. How many they are is found by
+    halving: a cell is scored once per bit of the largest number of states.
+    """
+    falling = Window.partitionBy("node_id").orderBy(F.desc("caine_excess"))  # at most one state an hour
+    upto = falling.rowsBetween(Window.unboundedPreceding, 0)
+    each = states.groupBy("node_id", "caine_excess").agg(F.min("ts").alias("ts"), F.sum("hours").alias("hours"))
+    ladder = cut_lineage(each.select("node_id", F.row_number().over(falling).alias("rank"), "caine_excess", F.min("ts").over(upto).alias("ts"), F.sum("hours").over(upto).alias("hours")))
+    most = ladder.agg(F.max("rank")).first()[0] or 0
+    inputs = {*INPUT_COLUMNS, "macroregion"} - {"caine_excess"}
+    own = ["cell_id", "node_id", *[c for c in placed.columns if c in inputs]]
+    found = placed.select(*own, F.lit(0).alias("reached"))
+    for bit in reversed(range(most.bit_length())):
+        tried = found.withColumn("rank", F.col("reached") + (1 << bit)).join(ladder.select("node_id", "rank", "caine_excess"), ["node_id", "rank"], "left")
+        alert = F.col("caine_excess").isNotNull() & at_least("level", minimum)
+        found = score(tried, p).select(*own, F.when(alert, F.col("rank")).otherwise(F.col("reached")).alias("reached"))
+    return found.join(ladder.withColumnRenamed("rank", "reached"), ["node_id", "reached"]).select("cell_id", "ts", "hours")
+
+
 def backtest(cells: DataFrame, static: DataFrame, rain: DataFrame, axis: DataFrame, truth: DataFrame, minimum: str = "Moderate",
              lead_max_h: float = 120.0, p: dict[str, Any] = PARAMS) -> DataFrame:
     """One row of skill for a replay: every hour of the axis for every cell, first alert per cell.
 
     Hours in which a node's features are the same score the same, so they are one
-    state with their number and the first of them; cells meet states, not hours.
+    state with their number and the first of them. Only nodes with cells are replayed. A cell
+    halves its node's states by excess; with snow cover, where rain of a day counts too, it meets them all.
     """
     placed = cells.select("cell_id", "node_id").join(static, "cell_id")
-    seen = ["event_mm", "event_hours"] + (["rain_24h_mm"] if "snow_depth_m" in placed.columns else [])  # rain of a day counts on snow only
+    snow = "snow_depth_m" in placed.columns
+    seen = ["event_mm", "event_hours"] + (["rain_24h_mm"] if snow else [])
+    rain = rain.join(cells.select("node_id").distinct(), "node_id", "left_semi")
     states = node_hours(rain, axis, p=p).groupBy("node_id", *seen).agg(F.min("t").alias("ts"), F.count(F.lit(1)).alias("hours"))
-    b = placed.join(states, "node_id")
-    b = b.withColumn("caine_excess", rain_excess(F.col("event_mm"), F.col("event_hours"), F.lit("italy_default")))
-    alerts = score(b, p).filter(at_least("level", minimum)).select("cell_id", "ts", "hours")
+    states = states.withColumn("caine_excess", rain_excess(F.col("event_mm"), F.col("event_hours"), F.lit("italy_default")))
+    rising = min(p["meteo_weights"]["caine"], p["component_weights"]["m"], 1 - p["kinematic"]["weight"]) >= 0
+    if rising and not snow:
+        alerts = alert_hours(placed, states, minimum, p)
+    else:
+        b = placed.drop("caine_excess").join(states, "node_id")
+        alerts = score(b, p).filter(at_least("level", minimum)).select("cell_id", "ts", "hours")
     return backtest_gate(backtest_scores(alerts, truth, lead_max_h, F.col("hours")), p)
 
 

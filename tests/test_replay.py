@@ -7,8 +7,11 @@ from datetime import datetime, timedelta
 
 import pytest
 
+from slopewatch.functions.basic import at_least
+from slopewatch.functions.scoring import rain_excess, score
 from slopewatch.operators.evaluation import backtest_scores
-from slopewatch.plans.offline import node_hours
+from slopewatch.plans import offline
+from slopewatch.plans.offline import alert_hours, node_hours
 from pyspark.sql import functions as F
 
 START = datetime(2024, 1, 1)
@@ -64,3 +67,35 @@ def test_alert_rows_may_stand_for_several(spark):
 def test_no_rain(spark):
     rain = spark.createDataFrame([], "node_id string, ts timestamp, mm double")
     assert node_hours(rain, spark.createDataFrame([(START,)], "t timestamp")).count() == 0
+
+
+def test_halving_finds_what_every_pair_gives(spark):
+    rnd = random.Random(5)
+    columns = ["susc_ispra", "slope_deg", "pai_class_norm", "sensor_rainfall_mm", "velocity_mmd"]
+    value = lambda c: rnd.choice([None, rnd.random() * {"slope_deg": 45, "velocity_mmd": 30, "sensor_rainfall_mm": 4}.get(c, 1)])
+    static = spark.createDataFrame([(i % 55, *[value(c) for c in columns]) for i in range(60)], "cell_id int, " + ", ".join(f"{c} double" for c in columns))  # five ids twice
+    nodes = [*"abcde", None]
+    cells = spark.createDataFrame([(i % 57 if i < 59 else None, nodes[i % 6]) for i in range(60)], "cell_id int, node_id string")
+    states = [(n, rnd.choice([0.0, rnd.random() * 2]), START + timedelta(hours=rnd.randrange(500)), rnd.randint(1, 9)) for n in "abcdx" for _ in range(rnd.choice([1, 6, 33]))]
+    states = spark.createDataFrame(states, "node_id string, caine_excess double, ts timestamp, hours long")
+    placed = cells.join(static, "cell_id")
+    for minimum in ("Low", "Moderate"):
+        whole = score(placed.join(states, "node_id")).filter(at_least("level", minimum)).groupBy("cell_id").agg(F.min("ts"), F.sum("hours"))
+        got = alert_hours(placed, states, minimum).groupBy("cell_id").agg(F.min("ts"), F.sum("hours"))
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, whole.collect())), minimum
+
+
+def test_a_backtest_scores_a_cell_once_per_bit(spark, monkeypatch):
+    rain = spark.createDataFrame([(n, START + timedelta(hours=h), float(h % 13)) for n in ("a", "empty") for h in range(0, 300, 2)], "node_id string, ts timestamp, mm double")
+    axis = spark.createDataFrame([(START + timedelta(hours=h),) for h in range(300)], "t timestamp")
+    cells = spark.range(40).selectExpr("id as cell_id", "'a' as node_id")
+    static = spark.range(40).selectExpr("id as cell_id", "id / 40D as susc_ispra", "id / 1D as slope_deg")
+    truth = spark.createDataFrame([(3, START + timedelta(hours=90))], "cell_id long, event_time timestamp")
+    met, asked = [], []
+    monkeypatch.setattr(offline, "score", lambda df, p: met.append(df) or score(df, p))
+    monkeypatch.setattr(offline, "node_hours", lambda r, *a, **b: asked.extend(x[0] for x in r.select("node_id").distinct().collect()) or node_hours(r, *a, **b))
+    got = offline.backtest(cells, static, rain, axis, truth, minimum="Low").first()
+    assert asked == ["a"] and 1 < len(met) <= 9 and met[-1].count() == 40
+    states = node_hours(rain, axis).filter("node_id = 'a'").withColumn("caine_excess", rain_excess(F.col("event_mm"), F.col("event_hours"), F.lit("italy_default")))
+    every = score(cells.join(static, "cell_id").join(states, "node_id")).filter(at_least("level", "Low"))
+    assert (got["alerts"], got["alerted_cells"]) == (every.count(), every.select("cell_id").distinct().count()) and got["alerts"] > 0
