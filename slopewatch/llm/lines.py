@@ -118,7 +118,7 @@ def judged(docs: DataFrame) -> DataFrame:
     spread = different.filter("k0 is not null").select("line", F.explode(F.array_distinct(F.array(*keys))).alias("key"))
     common = spread.groupBy("key").agg(F.min("line").alias("a"), F.max("line").alias("b")).filter("a != b").select("key")
     survivors = spread.join(common, "key").select("line").distinct().join(different.select("line", "first"), "line")
-    places = survivors.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("first.line_no", "line")).alias("wanted"))
+    places = stored(survivors.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("first.line_no", "line")).alias("wanted")), "places")
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
@@ -132,7 +132,8 @@ def judged(docs: DataFrame) -> DataFrame:
         mine[found.text] = found.hashes(found.first, found.last).view(np.int64) == out.column("line").to_numpy()[found.text]
         return out.filter(pa.array(mine))
 
-    texts = stored(map_texts(base.join(places, "doc_id"), cut, "doc_id long, line_no int, line long, text string").dropDuplicates(["line"]), "halved")
+    # the same plan at every size, so that disk grows with the input
+    texts = stored(map_texts(base.join(places.hint("merge"), "doc_id"), cut, "doc_id long, line_no int, line long, text string").dropDuplicates(["line"]), "halved")
 
     def vary(batch: pa.RecordBatch) -> pa.RecordBatch:
         lines = Lines(Texts.of_column(batch.column("text")))
@@ -140,14 +141,15 @@ def judged(docs: DataFrame) -> DataFrame:
         of = pa.array(lines.text[line])
         return record(variant=_long(h), word=pa.array(word.astype(np.int32)), **{c: batch.column(c).take(of) for c in ("doc_id", "line_no", "line")})
 
-    variants = map_texts(texts, vary, "variant long, word int, doc_id long, line_no int, line long")
-    met = variants.groupBy("variant", "word").agg(F.min(F.struct("doc_id", "line_no", "line")).alias("least"))
-    # a whole line is one edit from every line that contains it but for a word; two lines that lack the same word differ in that word only
-    inside = met.filter("word >= 0").groupBy("variant").agg(F.min("least").alias("least")).select("variant", F.lit(-1).alias("word"), "least")
-    whole = met.filter("word = -1").select("variant", F.col("least").alias("whole"))
-    replaced = met.filter("word >= 0").join(whole, "variant", "left").select("variant", "word", F.least("least", "whole").alias("least"))
-    earlier = variants.join(replaced.unionByName(inside), ["variant", "word"]).filter(F.col("least") < F.struct("doc_id", "line_no", "line"))
-    witness = earlier.groupBy("line").agg(F.min("least").alias("near"))
+    # two lines that lack the same word differ in that word only; a variant that one line has tells nothing and goes no further
+    own = F.struct("doc_id", "line_no", "line")
+    variants = map_texts(texts, vary, "variant long, word int, doc_id long, line_no int, line long").filter("word >= 0")
+    met = variants.groupBy("variant", "word").agg(F.min(own).alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    replaced = variants.join(met, ["variant", "word"]).filter(F.col("least") < own).select("line", "least")
+    # a whole line is one edit from every line that contains it but for a word; the later of the two has the earlier as its witness
+    whole = texts.select(F.col("line").alias("variant"), own.alias("whole"))
+    inside = variants.join(whole, "variant").select(F.least("whole", own).alias("least"), F.greatest("whole", own)["line"].alias("line"))
+    witness = replaced.unionByName(inside).groupBy("line").agg(F.min("least").alias("near"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = lambda t: t.encode().lower().split()

@@ -262,7 +262,15 @@ def unused(name: str, df: DataFrame) -> str:
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write the rows once to the shared folder and go on from there, free of lineage."""
-    path = shared_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write the rows once to the shared folder and go on from there, free of lineage.
+
+    The shuffle files of the write are removed at its end, so that the disk holds those of one step and not of all.
+    """
+    spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    path, before = shared_path(spark, label), spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema(df.schema).parquet(path)

@@ -11,7 +11,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 from slopewatch.llm import covertree, langid, licences, lines, neardup, packing, quality, syncmers, toxicity
-from slopewatch.llm.texts import SPACE, Texts, record, symbol_table
+from slopewatch.llm.texts import SPACE, Texts, record, stored, symbol_table
 from slopewatch.llm.tokens import WordTokens
 
 RND = random.Random(4)
@@ -301,3 +301,12 @@ def test_one_file_with_every_notice(spark):
     assert {x["label"] for x in got["notices"]} == {label for label, _, _ in licences.TEMPLATES}
     assert all(x["score"] == 1.0 for x in got["notices"])
 
+
+
+def test_a_stored_step_leaves_no_shuffle_files(spark):
+    held = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").count("shuffle_")
+    rows = spark.range(1000).selectExpr("id % 7 as k", "id").groupBy("k").count()
+    before = held()
+    got = stored(rows, "sums")
+    assert held() <= before
+    assert {r["k"]: r["count"] for r in got.collect()} == {k: 143 if k < 6 else 142 for k in range(7)}
