@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slopewatch.llm.texts import SPACE, Texts, Words, _powers, map_texts, mix, record, stored, symbol_table, unused
+from slopewatch.llm.texts import SMALL_SLICE, SPACE, Texts, Words, _powers, map_texts, mix, record, stored, symbol_table, unused
 
 MIN_WORDS = 5  # shorter lines carry too little to be called near copies
 _SYMBOLS = symbol_table(SPACE, lower=True)
@@ -84,7 +84,7 @@ def numbered(docs: DataFrame) -> DataFrame:
             line=_long(lines.hashes(lines.first, lines.last)), **keys,
         )
 
-    return map_texts(docs, work, "doc_id long, line_no int, n_words int, line long, k0 long, k1 long, k2 long, k3 long")
+    return map_texts(docs, work, "doc_id long, line_no int, n_words int, line long, k0 long, k1 long, k2 long, k3 long", most=SMALL_SLICE)
 
 
 def _within_one(a: list[str], b: list[str]) -> bool:
@@ -133,7 +133,7 @@ def judged(docs: DataFrame) -> DataFrame:
         return out.filter(pa.array(mine))
 
     # the same plan at every size, so that disk grows with the input
-    texts = stored(map_texts(base.join(places.hint("merge"), "doc_id"), cut, "doc_id long, line_no int, line long, text string").dropDuplicates(["line"]), "halved")
+    texts = stored(map_texts(base.join(places.hint("merge"), "doc_id"), cut, "doc_id long, line_no int, line long, text string", most=SMALL_SLICE).dropDuplicates(["line"]), "halved")
 
     def vary(batch: pa.RecordBatch) -> pa.RecordBatch:
         lines = Lines(Texts.of_column(batch.column("text")))
@@ -143,7 +143,7 @@ def judged(docs: DataFrame) -> DataFrame:
 
     # two lines that lack the same word differ in that word only; a variant that one line has tells nothing and goes no further
     own = F.struct("doc_id", "line_no", "line")
-    variants = map_texts(texts, vary, "variant long, word int, doc_id long, line_no int, line long").filter("word >= 0")
+    variants = map_texts(texts, vary, "variant long, word int, doc_id long, line_no int, line long", most=SMALL_SLICE).filter("word >= 0")
     met = variants.groupBy("variant", "word").agg(F.min(own).alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     replaced = variants.join(met, ["variant", "word"]).filter(F.col("least") < own).select("line", "least")
     # a whole line is one edit from every line that contains it but for a word; the later of the two has the earlier as its witness
@@ -197,7 +197,7 @@ def cleaned(docs: DataFrame) -> DataFrame:
             columns["n_chars"] = pa.array([None if t is None else len(t) for t in texts]).cast(batch.column("n_chars").type)
         return record(**columns).filter(pa.array(keep))
 
-    return map_texts(docs.join(dropped, docs["doc_id"].eqNullSafe(F.col(key)), "left").select(*names, listed), work, docs.schema)
+    return map_texts(docs.join(dropped, docs["doc_id"].eqNullSafe(F.col(key)), "left").select(*names, listed), work, docs.schema, most=SMALL_SLICE)
 
 
 #: The same rows in SQL, -1 where no line is named.

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slopewatch.llm.texts import SPACE, Texts, map_texts, mix, record, stored, symbol_table, unused
+from slopewatch.llm.texts import SMALL_SLICE, SPACE, Texts, map_texts, mix, record, stored, symbol_table, unused
 from slopewatch.operators.components import connected
 
 SHINGLE = 5
@@ -88,7 +88,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
 
         return record(doc_id=batch.column("doc_id"), sid=pa.array(sid, mask=none), n=size, bands=lists(s["bands"]), sketch=lists(s["sketch"]))
 
-    return map_texts(docs.select("doc_id", "text"), work, _SCHEMA)
+    return map_texts(docs.select("doc_id", "text"), work, _SCHEMA, most=SMALL_SLICE)
 
 
 def estimate(a: Column, b: Column) -> Column:
@@ -122,7 +122,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
         return record(sid=pa.array(sid[mine]), members=pa.array([m for m, ok in zip(members, mine, strict=True) if ok], pa.binary()))
 
     rows = docs.select("doc_id", "text").join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"])).select("sid", "text")
-    return map_texts(rows, work, "sid long, members binary").dropDuplicates(["sid"])
+    return map_texts(rows, work, "sid long, members binary", most=SMALL_SLICE).dropDuplicates(["sid"])
 
 
 def _members(raw: bytes) -> np.ndarray:

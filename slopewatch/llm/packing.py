@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from slopewatch.llm.texts import map_texts, record, stored
+from slopewatch.llm.texts import SMALL_SLICE, map_texts, record, stored
 from slopewatch.llm.tokens import WordTokens
 
 CAPACITY = 2048
@@ -44,7 +44,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, k
         return record(**out, **({"ids": pa.array(columns[5], pa.binary())} if keep_ids else {}))
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
-    return map_texts(docs.select("doc_id", "text"), work, schema)
+    return map_texts(docs.select("doc_id", "text"), work, schema, most=SMALL_SLICE)
 
 
 def knapsack(lengths: np.ndarray, price: np.ndarray, capacity: int) -> np.ndarray:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slopewatch.llm.texts import SPACE, Texts, bounded_sample, map_texts, mix, record, segment_sums, slices, symbol_table
+from slopewatch.llm.texts import SMALL_SLICE, SPACE, Texts, bounded_sample, map_texts, mix, record, segment_sums, slices, symbol_table
 
 BITS = 18  # hashed features
 LEARN_DOCS = 6000  # labelled documents of each class learned from, at most (about)
@@ -72,7 +72,7 @@ class Leader:
 
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows: list[tuple[np.ndarray, np.ndarray, int]] = []
-    for batch in (part for whole in batches for part in slices(whole)):
+    for batch in (part for whole in batches for part in slices(whole, most=SMALL_SLICE)):
         index, bounds = features(Texts.of_column(batch.column("text")))
         for i, y in enumerate(batch.column("y").to_pylist()):
             at, count = np.unique(index[bounds[i] : bounds[i + 1]], return_counts=True)
@@ -123,7 +123,7 @@ def scored(docs: DataFrame, weights: np.ndarray) -> DataFrame:
         margin = segment_sums(w[index], bounds) / np.sqrt(np.maximum(np.diff(bounds), 1)) + w[-1]
         return record(doc_id=batch.column("doc_id"), score=1 / (1 + np.exp(-np.clip(margin, -30, 30))))
 
-    return map_texts(docs.select("doc_id", "text"), work, "doc_id long, score double")
+    return map_texts(docs.select("doc_id", "text"), work, "doc_id long, score double", most=SMALL_SLICE)
 
 
 def accepted(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
@@ -137,4 +137,4 @@ def accepted(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD)
         margin = segment_sums(w[index], bounds) / np.sqrt(np.maximum(np.diff(bounds), 1)) + w[-1]
         return batch.filter(pa.array(1 / (1 + np.exp(-np.clip(margin, -30, 30))) >= threshold))
 
-    return map_texts(docs.select(*columns), work, docs.schema)
+    return map_texts(docs.select(*columns), work, docs.schema, most=SMALL_SLICE)

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from slopewatch.session import prepare, shared_path
 
 SLICE_BYTES = 1 << 21  # text handled at once; one longer text is handled alone
+SMALL_SLICE = 1 << 19  # the same where a byte of text takes some 50 bytes of arrays
+POWER_STEP = 1 << 16  # entries by which the power tables grow
 _P = 0x9E3779B97F4A7C15 | 1
 _P_INV = pow(_P, -1, 1 << 64)
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -46,7 +48,7 @@ def symbol_table(separators: bytes, lower: bool) -> np.ndarray:
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS[0]) < n:
         for k, base in ((0, _P), (1, _P_INV)):
-            steps = np.full(max(n, SLICE_BYTES + 1), np.uint64(base))
+            steps = np.full(-(-n // POWER_STEP) * POWER_STEP, np.uint64(base))
             steps[0] = 1
             _POWERS[k] = np.multiply.accumulate(steps)
     return _POWERS[0][:n], _POWERS[1][:n]
@@ -212,25 +214,31 @@ def segment_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
-def slices(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut a batch so that the texts of a slice have about ``SLICE_BYTES``."""
+def slices(batch: pa.RecordBatch, text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut a batch so that the texts of a slice have ``most`` bytes at most, or are one longer text."""
     bounds = Texts.of_column(batch.column(text)).bounds
     at = 0
     while at < len(batch):
-        to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + SLICE_BYTES, side="right")) - 1)
+        to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + most, side="right")) - 1)
         yield batch.slice(at, to - at)
         at = to
 
 
-def map_texts(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, text: str = "text") -> DataFrame:
-    """``work`` on slices of the rows; memory is bounded by slice and batch, whatever the partition."""
+def map_texts(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, text: str = "text", most: int = SLICE_BYTES) -> DataFrame:
+    """``work`` on slices of the rows; memory is bounded by slice and batch, whatever the partition.
+
+    A process outlives its task, so Arrow gives back what it keeps for reuse.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, text):
-                out = work(part)
-                if out is not None and len(out):
-                    yield out
+        try:
+            for batch in batches:
+                for part in slices(batch, text, most):
+                    out = work(part)
+                    if out is not None and len(out):
+                        yield out
+        finally:
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
