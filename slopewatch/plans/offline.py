@@ -14,7 +14,6 @@ from slopewatch.operators import zonal as Z
 from slopewatch.operators.evaluation import backtest_gate, backtest_scores
 from slopewatch.operators.learning import guarded_corr
 from slopewatch.operators.relational import lookup_join, sized_join
-from slopewatch.operators.running import numbered, sliced_running
 from slopewatch.operators.segments import nearest_segment
 from slopewatch.operators.timeseries import antecedent_rain
 from slopewatch.params import PARAMS
@@ -54,66 +53,73 @@ def calibrate(static: DataFrame, cells: DataFrame, p: dict[str, Any] = PARAMS) -
     return norms, s.select("cell_id", "s_static"), fit
 
 
+HOUR = 3_600_000_000
 UNIT = 1_000_000_000_000  # rain is summed in whole units, so that differences of running sums are exact
 
 
-def event_states(rain: DataFrame, key: str, p: dict[str, Any], slice_hours: float) -> tuple[DataFrame, DataFrame]:
-    """Wet samples (key, us, c, next_us, event) and events (key, event, start_us, c0, before).
+def event_states(rain: DataFrame, key: str, p: dict[str, Any], slice_hours: float, hours: int) -> DataFrame:
+    """Samples (key, _slice, us, units, wet, seq, c, last, begun, before) by time slice.
 
-    ``c`` is the rain up to a sample, ``c0`` that before an event, ``next_us`` the next wet
-    sample, ``before`` the last earlier event of enough rain (start_us, c0, end_us, c1).
+    A slice begins with the samples of the ``hours`` before it, so its windows need nothing of other
+    slices. ``c`` is the rain up to a sample since the slice's first, ``last`` the wet sample before it (seq, us, c), ``begun``
+    its event (start_us, c0), ``before`` the last earlier event of enough rain (start_us, c0, end_us, c1).
     """
     gap, least = p["rain_event"]["dry_samples"], int(p["rain_event"]["min_mm"] * UNIT)
+    width = int(slice_hours * HOUR)
     base = rain.select(key, F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.round(F.col("mm") * UNIT).cast("bigint").alias("units"))
-    base = base.withColumn("_slice", F.floor(F.col("us") / int(slice_hours * 3_600_000_000)))
-    wet = numbered(base, [key], "_slice", ["us"]).filter("units > 0")
-    wet = sliced_running(wet, [key], "_slice", ["us"], sums={"c": F.col("units")}, prior_maxes={"_last": F.col("seq")})
-    opens = F.col("_last").isNull() | (F.col("seq") - F.col("_last") - 1 >= gap)
-    wet = sliced_running(wet.withColumn("_open", opens.cast("int")), [key], "_slice", ["us"], sums={"event": F.col("_open")})
-    wet = sliced_running(wet.withColumn("_back", -F.col("_slice")), [key], "_back", [F.desc("us")], prior_maxes={"_next": -F.col("us")})
-    wet = cut_lineage(wet.select(key, "_slice", "us", "units", "c", "event", (-F.col("_next")).alias("next_us")))
-    events = wet.groupBy(key, "event").agg(
-        F.min("us").alias("start_us"), F.min(F.col("c") - F.col("units")).alias("c0"), F.max("us").alias("end_us"), F.max("c").alias("c1")
-    ).withColumn("_slice", F.floor(F.col("start_us") / int(slice_hours * 3_600_000_000)))
-    enough = F.when(F.col("c1") - F.col("c0") >= least, F.struct("start_us", "c0", "end_us", "c1"))
-    events = sliced_running(events, [key], "_slice", ["start_us"], prior_maxes={"before": enough})
-    return wet.drop("_slice", "units"), events.select(key, "event", "start_us", "c0", "before")
+    seen_by = F.sequence(F.floor(F.col("us") / width), F.floor((F.col("us") + hours * HOUR) / width))
+    order = Window.partitionBy(key, "_slice").orderBy("us", "units")
+    upto, back = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
+    s = base.withColumn("_slice", F.explode(seen_by)).withColumns({"wet": F.coalesce(F.col("units") > 0, F.lit(False)), "seq": F.row_number().over(order)})
+    s = s.withColumn("c", F.sum(F.when(F.col("wet"), F.col("units")).otherwise(0)).over(upto))
+    s = s.withColumn("last", F.max(F.when(F.col("wet"), F.struct("seq", "us", "c"))).over(back))
+    opens = F.col("wet") & (F.col("last").isNull() | (F.col("seq") - F.col("last.seq") - 1 >= gap))
+    begun = F.when(opens, F.struct(F.col("us").alias("start_us"), (F.col("c") - F.col("units")).alias("c0")))
+    s = s.withColumns({"begun": F.max(begun).over(upto), "_prior": F.max(begun).over(back)})
+    ended = F.struct("_prior.start_us", "_prior.c0", F.col("last.us").alias("end_us"), F.col("last.c").alias("c1"))
+    enough = opens & (F.col("last.c") - F.col("_prior.c0") >= least)
+    return s.withColumn("before", F.max(F.when(enough, ended)).over(upto)).drop("_prior")
 
 
 def node_hours(rain: DataFrame, axis: DataFrame, hours: int = 48, key: str = "node_id", p: dict[str, Any] = PARAMS, slice_hours: float = 720.0) -> DataFrame:
     """Latest rain event per node and evaluation hour over the trailing ``hours``, and the rain of 24 hours.
 
-    Nothing is repeated per window. An hour sees the running sum at its end and
-    before its two beginnings, and the event its last wet sample belongs to. What lies before the
-    window is taken off; if too little is left, the last earlier event of enough
+    Only samples are moved, once, with the slice they fall into. What an hour sees changes where a sample comes or
+    leaves one of the two windows; between two changes it is the same for all hours, which are put in last.
+    What lies before the window is taken off an event; if too little is left, the last earlier event of enough
     rain stands, as far as the window reaches it. Hours without any sample in their window have no row.
     """
-    least, hour = int(p["rain_event"]["min_mm"] * UNIT), 3_600_000_000
-    wet, events = event_states(rain, key, p, slice_hours)
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    at = F.unix_micros(F.col("t").cast("timestamp"))
-    asked = rain.select(key).distinct().withColumn("t", F.explode(axis.agg(F.collect_set("t").alias("ts")).select("ts").scalar()))  # a bounded list of hours
-    point = lambda back, order: F.struct((at - back * hour).alias("pos"), F.lit(order).alias("ord"), F.lit(back).alias("back"))
-    asked = asked.withColumn("q", F.explode(F.array(point(0, 2), point(24, 0), point(hours, 0)))).select(key, "q.pos", "q.ord", "q.back", "t")
-    none = lambda kind: F.lit(None).cast(kind)
-    w = F.struct("us", "c", "event", "next_us")
-    kind = wet.select(w.alias("w")).schema["w"].dataType
-    samples = rain.select(key, us.alias("pos"), F.lit(1).alias("ord"), none("int").alias("back"), none(axis.schema["t"].dataType).alias("t"), none(kind).alias("w"))
-    wets = wet.select(key, F.col("us").alias("pos"), F.lit(1).alias("ord"), none("int").alias("back"), none(axis.schema["t"].dataType).alias("t"), w.alias("w"))
-    every = samples.unionByName(wets).unionByName(asked.withColumn("w", none(kind))).withColumn("_slice", F.floor(F.col("pos") / int(slice_hours * hour)))
-    told = sliced_running(every, [key], "_slice", ["pos", "ord"], maxes={"wet": F.col("w"), "seen": F.when(F.col("ord") == 1, F.col("pos"))}).filter("t is not null")
-    of = lambda back, c: F.max(F.when(F.col("back") == back, F.col(c)))
-    state = told.groupBy(key, "t").agg(of(0, "wet").alias("now"), of(0, "seen").alias("seen"), of(24, "wet.c").alias("c24"), of(hours, "wet").alias("old"))
-    state = state.filter(F.col("seen") >= at - hours * hour).withColumn("_event", F.col("now.event"))
-    j = state.alias("s").join(events.alias("e"), F.col(f"s.{key}").eqNullSafe(F.col(f"e.{key}")) & (F.col("s._event") == F.col("e.event")), "left").select("s.*", "e.start_us", "e.c0", "e.before")
-
-    bound, cut = at - hours * hour, F.coalesce("old.c", F.lit(0))
+    least, width = int(p["rain_event"]["min_mm"] * UNIT), int(slice_hours * HOUR)
+    s = event_states(rain, key, p, slice_hours, hours)
+    us, wet = F.col("us"), F.col("wet")
+    now = F.struct("seq", us.alias("seen"), F.when(wet, us).otherwise(F.col("last.us")).alias("us"), "c", "begun", "before")
+    old = F.struct(F.col("last.c").alias("c"), us.alias("next_us"))  # the first wet sample after those that left
+    none = lambda c: F.lit(None).cast(s.select(c.alias("x")).schema["x"].dataType)
+    change = lambda at, n, c24, o: F.struct(at.alias("pos"), n.alias("now"), c24.alias("c24"), o.alias("old"))
+    changes = F.array(
+        change(us, now, none(F.col("c")), none(old)),
+        F.when(wet, change(us + (24 * HOUR + 1), none(now), F.col("c"), none(old))),
+        F.when(wet, change(F.col("last.us") + (hours * HOUR + 1), none(now), none(F.col("c")), old)),
+    )
+    order = Window.partitionBy(key, "_slice").orderBy("pos", "seq")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    told = s.select(key, "_slice", "seq", F.explode(changes).alias("x")).filter("x.pos is not null").select(key, "_slice", "seq", "x.*")
+    told = told.select(key, "_slice", "pos", F.lead("pos").over(order).alias("next"), *[F.max(c).over(upto).alias(c) for c in ("now", "c24", "old")])
+    ends = F.least("next", (F.col("_slice") + 1) * width, F.col("now.seen") + (hours * HOUR + 1))  # skips nulls
+    told = told.withColumns({"_from": F.greatest(F.col("pos"), F.col("_slice") * width), "_to": ends}).filter("_from < _to")
+    told = told.withColumn("_hour", F.explode(F.sequence(F.floor(F.col("_from") / HOUR), F.floor((F.col("_to") - 1) / HOUR))))
+    asked = axis.select("t", F.unix_micros(F.col("t").cast("timestamp")).alias("at")).filter("at is not null").distinct()  # a bounded list of hours
+    at = F.col("at")
+    j = told.join(F.broadcast(asked.withColumn("_hour", F.floor(at / HOUR))), "_hour").filter((at >= F.col("_from")) & (at < F.col("_to")))
+
+    bound, cut = at - hours * HOUR, F.coalesce("old.c", F.lit(0))
     begin = lambda start: F.when(start >= bound, start).otherwise(F.col("old.next_us"))
-    whole = F.struct((F.col("now.c") - F.greatest(F.col("c0"), cut)).alias("units"), begin(F.col("start_us")).alias("a"), F.col("now.us").alias("b"))
-    prior = F.struct((F.col("before.c1") - F.greatest(F.col("before.c0"), cut)).alias("units"), begin(F.col("before.start_us")).alias("a"), F.col("before.end_us").alias("b"))
+    part = lambda start, c0, end, c1: F.struct((c1 - F.greatest(c0, cut)).alias("units"), begin(start).alias("a"), end.alias("b"))
+    whole = part(F.col("now.begun.start_us"), F.col("now.begun.c0"), F.col("now.us"), F.col("now.c"))
+    prior = part(*[F.col(f"now.before.{c}") for c in ("start_us", "c0", "end_us", "c1")])
     use = lambda e: F.when((e["b"] >= bound) & (e["units"] >= least), e)
     j = j.withColumn("e", F.coalesce(use(whole), use(prior)))
-    r24 = F.when(F.col("seen") >= at - 24 * hour, (F.coalesce("now.c", F.lit(0)) - F.coalesce("c24", F.lit(0))) / F.lit(float(UNIT)))
+    r24 = F.when(F.col("now.seen") >= at - 24 * HOUR, (F.col("now.c") - F.coalesce("c24", F.lit(0))) / F.lit(float(UNIT)))
     return j.select(
         key, "t", r24.alias("rain_24h_mm"), (F.col("e.units") / F.lit(float(UNIT))).alias("event_mm"),
         F.greatest(F.lit(1.0), (F.col("e.b") - F.col("e.a")) / 3.6e9 + 1.0).alias("event_hours"),

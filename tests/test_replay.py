@@ -64,6 +64,28 @@ def test_alert_rows_may_stand_for_several(spark):
     assert (got["alerts"], got["alerted_cells"], got["hits"], got["misses"], got["mean_lead_h"]) == (6, 2, 1, 1, 20.0)
 
 
+def test_only_samples_are_moved_and_once(spark):
+    rain = spark.createDataFrame([("a", START + timedelta(hours=h), 1.0) for h in range(9)], "node_id string, ts timestamp, mm double")
+    axis = spark.createDataFrame([(START + timedelta(hours=h),) for h in range(200)], "t timestamp")
+    got = node_hours(rain, axis)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(node_id") == 1
+    assert "Generate explode(sequence" in plan.partition("Exchange hashpartitioning(node_id")[0]  # hours come in after it
+    assert got.count() == 9 + 48
+
+
+def test_odd_samples(spark):
+    series = {"a": [(START + timedelta(hours=h), mm) for h, mm in ((0, 3.0), (5, 0.0), (30, 1.5), (31, 0.5), (100, 0.0))], None: [(START + timedelta(hours=2), 4.0)]}
+    rows = [(n, ts, mm) for n, s in series.items() for ts, mm in s] + [("a", None, 50.0), ("a", None, None), ("dateless", None, 9.0)]
+    rain = spark.createDataFrame(rows, "node_id string, ts timestamp, mm double")
+    hours_of = [START + timedelta(hours=h) for h in range(-2, 160)]
+    axis = spark.createDataFrame([(t,) for t in [*hours_of, START, None]], "t timestamp")
+    for slice_hours in (720.0, 10.0):
+        got = {(r["node_id"], r["t"]): tuple(r)[2:] for r in node_hours(rain, axis, slice_hours=slice_hours).collect()}
+        want = {(n, t): window(s, t, 48) for n, s in series.items() for t in hours_of}
+        assert got == {k: v for k, v in want.items() if v}
+
+
 def test_no_rain(spark):
     rain = spark.createDataFrame([], "node_id string, ts timestamp, mm double")
     assert node_hours(rain, spark.createDataFrame([(START,)], "t timestamp")).count() == 0
