@@ -214,8 +214,8 @@ def pairs(fx: Frames):
     """Challenger runs with the champion assessment nearest in time."""
     out = asof_join(
         fx["fx_runs"], fx["fx_rated"], ["cell_id"], "computed_at", "computed_at", ["id", "score", "level"],
-        direction="nearest", tolerance_hours=720, tie="id", bucket_hours=24 * 90,
-    ).filter(F.col("match").isNotNull())
+        direction="nearest", tolerance_hours=720, tie="id", bucket_hours=24 * 90, inner=True,
+    )
     return out.select("id", "cell_id", "probability", F.col("match.id").alias("assess_id"), F.col("match.score").alias("score"), F.col("match.level").alias("level"))
 
 
@@ -261,10 +261,9 @@ TRUTH = """select e.event_id, e.cell_id,
 
 def truth_table(fx: Frames):
     """Events with the last value of both engines inside the look-back."""
-    one = asof_join(fx["fx_truth"], fx["fx_assess"], ["cell_id"], "event_time", "computed_at", ["id", "score"], tolerance_hours=1440, tie="id", bucket_hours=24 * 90)
-    one = one.withColumn("champion", F.col("match.score")).drop("match")
-    two = asof_join(one, fx["fx_runs"], ["cell_id"], "event_time", "computed_at", ["id", "probability"], tolerance_hours=1440, tie="id", bucket_hours=24 * 90)
-    return two.withColumn("challenger", F.col("match.probability")).drop("match")
+    look = {"tolerance_hours": 1440, "tie": "id", "bucket_hours": 24 * 90}
+    one = asof_join(fx["fx_truth"], fx["fx_assess"], ["cell_id"], "event_time", "computed_at", ["id", "score"], into={"score": "champion"}, **look)
+    return asof_join(one, fx["fx_runs"], ["cell_id"], "event_time", "computed_at", ["id", "probability"], into={"probability": "challenger"}, **look)
 
 
 @query("join20_last_before_event", f"select event_id, round(champion, 6) as champion, round(challenger, 6) as challenger from ({TRUTH}) t")
